@@ -1,8 +1,8 @@
 """Quality by nearest-neighbour voting over latent-semantic vectors.
 
 A document's terms are hashed pairs of neighbouring bytes: they see scripts,
-capitals, symbols, separators and repetition alike in any language. Counts are
-damped, weighted by inverse document frequency and projected onto ``DIMENSIONS``
+capitals, symbols and separators alike in any language. A word that repeats the
+one before it adds to each of ``ECHOES`` terms kept for that. Counts are damped, weighted by inverse document frequency and projected onto ``DIMENSIONS``
 singular vectors of the labelled sample. The labelled vectors are broadcast;
 every document's cosines with all of them are taken exactly, a block of
 documents at a time, and the labels of the nearest vote, weighted by a power of
@@ -31,13 +31,14 @@ from prosemill.session import ship
 
 PER_LABEL = 2048
 TERMS, DIMENSIONS, NEIGHBOURS, SHARPNESS = 4096, 64, 25, 4
+ECHOES = 16
 FOLDS, THRESHOLD = 5, 0.3
 #: Documents of a block, bytes whose terms are counted at once.
 BLOCK, PIECE = 256, 1 << 20
 
 
 def term_counts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Counts of hashed byte pairs: a row for each document."""
+    """Counts of hashed byte pairs, then of repeated words: a row for each document."""
     n = len(at) - 1
     out = np.zeros(n * TERMS, np.float32)
     for lo, hi in B.slices(at, PIECE):
@@ -46,14 +47,20 @@ def term_counts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
             x = data[a:b].astype(np.uint32)
             if len(x) < 2:
                 continue
-            term = ((x[:-1] * np.uint32(0x9E3779B1) + x[1:] * np.uint32(0x85EBCA77)) >> np.uint32(20)).astype(np.int64)
+            term = ((x[:-1] * np.uint32(0x9E3779B1) + x[1:] * np.uint32(0x85EBCA77)) >> np.uint32(8)).astype(np.int64) % (TERMS - ECHOES)
             doc = np.searchsorted(at[lo : hi + 1], np.arange(a, b - 1), "right") - 1 if hi > lo + 1 else np.zeros(len(term), np.int64)
             whole = np.ones(len(term), bool)
             last = at[lo + 1 : hi] - 1 - a  # a pair that spans two documents
             whole[last[(last >= 0) & (last < len(term))]] = False
             found = np.bincount((doc * TERMS + term)[whole], minlength=(hi - lo) * TERMS)
             out[lo * TERMS : hi * TERMS] += found
-    return out.reshape(n, TERMS)
+    out = out.reshape(n, TERMS)
+    word, pointers = B.hashed(data, at)
+    again = np.zeros(len(word) + 1, np.int64)
+    again[2:] = np.cumsum(word[1:] == word[:-1]) if len(word) else 0
+    first = np.minimum(pointers[:-1] + 1, pointers[1:])  # a first word repeats none
+    out[:, TERMS - ECHOES :] = (again[pointers[1:]] - again[first])[:, None]
+    return out
 
 
 def _sample_terms(batches):

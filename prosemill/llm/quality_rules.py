@@ -122,4 +122,7 @@ def judge(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None, th
     total = F.aggregate("grams", F.lit(0.0), lambda a, b: a + F.get(weight, b))
     df = df.withColumn("llr", F.when(F.size("grams") > 0, F.round(total / F.size("grams"), 9)).otherwise(F.lit(0.0)))
     kept = ~F.col("base_failed") & (F.col("llr") >= threshold)
-    return df.select(*[F.col(x).alias(c) for c, x in zip(carry, inner)], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "llr")
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr"]
+    # a generator of one row: without it the optimizer would copy all of the above into a caller's filter on ``kept``
+    verdict = df.withColumn("kept", kept).select(*inner, F.explode_outer(F.array(F.struct(*names))).alias("verdict"))
+    return verdict.select(*[F.col(x).alias(c) for c, x in zip(carry, inner)], *[F.col(f"verdict.{n}").alias(n) for n in names])

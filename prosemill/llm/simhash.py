@@ -242,19 +242,22 @@ def links(distinct: DataFrame, tile: int = TILE, task_rows: int = TASK_ROWS) ->
 
 
 def near_duplicates(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    """The carried columns (``doc_id`` if None) with ``fingerprint`` (16 hex digits) and ``component_id``.
+    """The carried columns (``doc_id`` if None), ``fingerprint`` (16 hex digits), ``component_id``, ``representative``.
 
     ``component_id`` is the least ``doc_id`` that the document reaches over links, itself included;
-    null only if no reached document has an id.
+    null only if no reached document has an id. The representative is the row with that id (of several
+    texts, the one of the least hash; rows equal in both are representatives together).
     """
     carry = ["doc_id"] if carry is None else carry
     inner = [f"c{i}" for i in range(len(carry))]
-    own = docs.select(*[F.col(f"`{c}`").alias(x) for c, x in zip(carry, inner)], F.col("doc_id").alias("id"), "text")
-    fps = cut(fingerprints(own, [*inner, "id"]))
-    distinct = cut(fps.groupBy("fp").agg(F.min("id").alias("least")))
+    own = docs.select(*[F.col(f"`{c}`").alias(x) for c, x in zip(carry, inner)], F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), "text")
+    fps = cut(fingerprints(own, [*inner, "id", "hash"]))
+    # false sorts before true: an id comes before none
+    distinct = cut(fps.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("least")))
     labels = components(links(distinct.select("fp")))
     member = distinct.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    named = member.groupBy("label").agg(F.min("least").alias("component_id"))
-    member = member.select("fp", "label").join(named, "label").select("fp", "component_id")
+    named = member.groupBy("label").agg(F.min("least").alias("first"))
+    member = member.select("fp", "label").join(named, "label").select("fp", "first")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return fps.join(member, "fp").select(*[F.col(x).alias(c) for c, x in zip(carry, inner)], digits, "component_id")
+    first = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("hash") == F.col("first.hash"))
+    return fps.join(member, "fp").select(*[F.col(x).alias(c) for c, x in zip(carry, inner)], digits, F.col("first.id").alias("component_id"), first.alias("representative"))
