@@ -6,6 +6,8 @@ any slice follows from prefix sums; a final mix spreads it over all bits.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -143,3 +145,10 @@ def bucket_edges(values: np.ndarray, bits: int, exponent: int) -> np.ndarray:
     """Where each of 2**exponent buckets of ascending ``bits``-bit values begins (and the last ends)."""
     edges = np.arange(1, 1 << exponent, dtype=np.uint64) << np.uint64(bits - exponent)
     return np.concatenate([[0], np.searchsorted(values, edges), [len(values)]])
+
+
+def trim() -> None:
+    """Gives freed memory back to the system: a worker outlives the stage that made it large."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

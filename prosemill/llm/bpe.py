@@ -21,7 +21,6 @@ import hashlib
 import heapq
 import json
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,7 @@ from prosemill.llm import blocks as B
 from prosemill.session import ship
 
 #: Text bytes whose new words are merged together, and words remembered between such steps.
-STEP, REMEMBERED = 8 << 20, 300_000
+STEP, REMEMBERED = 4 << 20, 200_000
 #: White_Space of Unicode.
 _BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -140,88 +139,107 @@ def merge_all(v: Vocabulary, data: np.ndarray, ends: np.ndarray) -> tuple[np.nda
     return symbol[alive], np.cumsum(alive)[ends - 1]
 
 
-def encode_words(v: Vocabulary, words: list[bytes]) -> list[np.ndarray]:
-    """The ids of each of some texts without ASCII white space."""
-    out: list[list] = [[] for _ in words]
-    plain, owner = [], []
-    for k, w in enumerate(words):
-        text = w.decode("utf-8", "replace")
-        parts = v.split.split(text) if any(m in w for m in v.markers) else [text]
-        for i, p in enumerate(parts):
-            if i % 2:
-                out[k].append(v.special[p])
-            elif p:
-                out[k].append(None)  # filled in below
-                plain.append(normalized(p))
-                owner.append(k)
-    pieces: list[bytes] = []
-    bounds, done = [], 0
-    for t in v.pieces.findall("\n".join(plain)) if plain else []:
-        if t == "\n":
-            bounds.append(len(pieces))
-        else:
-            pieces.append(t.encode())
-    bounds.append(len(pieces))
-    number: dict[bytes, int] = {}
-    which = np.array([number.setdefault(p, len(number)) for p in pieces], np.int64)
-    none = np.zeros(0, np.int64)
-    if number:
-        distinct = list(number)
-        ids, ends = merge_all(v, np.frombuffer(b"".join(distinct), np.uint8), np.cumsum([len(p) for p in distinct]))
-        ids_of = np.split(ids, ends[:-1])
-    parts_of = []
-    for hi in bounds if plain else []:
-        parts_of.append(np.concatenate([ids_of[k] for k in which[done:hi]]) if hi > done + 1 else ids_of[which[done]] if hi > done else none)
-        done = hi
-    taken = iter(parts_of)
-    return [np.concatenate([next(taken) if x is None else np.array([x]) for x in o]) if len(o) > 1 else (next(taken) if o[0] is None else np.array(o)) if o else none for o in out]
-
-
-@lru_cache(maxsize=2)
-def _vocabulary(text: str) -> Vocabulary:
-    return Vocabulary(text)
+class Encoder:
+    """Remembers words (by hash) and the pieces that they are split into, with the text of their ids and tokens."""
+
+    def __init__(self, v: Vocabulary, remembered: int = REMEMBERED):
+        self.v, self.remembered = v, remembered
+        self.words: dict[int, tuple[int, bytes, bytes]] = {}
+        self.pieces: dict[str, tuple[int, bytes, bytes]] = {"": (0, b"", b"")}
+        for text, i in v.special.items():
+            self.pieces[f"\n{text}"] = (1, v.number[i], v.token[i])  # no piece of a text holds a line end
+
+    def split(self, words: list[bytes]) -> list[list[str]]:
+        """The pieces of each of some words without white space."""
+        v, joined = self.v, b"\n".join(words)
+        if not any(m in joined for m in v.markers):
+            out: list[list[str]] = []
+            own: list[str] = []
+            for t in v.pieces.findall(normalized(joined.decode("utf-8", "replace"))):
+                if t == "\n":
+                    out.append(own)
+                    own = []
+                else:
+                    own.append(t)
+            out.append(own)
+            return out
+        parts = [v.split.split(w.decode("utf-8", "replace")) for w in words]
+        return [[x for i, p in enumerate(ps) for x in ([f"\n{p}"] if i % 2 else v.pieces.findall(normalized(p)))] for ps in parts]
+
+    def forget(self) -> None:
+        """Starts anew once too much is remembered."""
+        if len(self.words) > self.remembered:
+            self.words.clear()
+            self.pieces = {k: x for k, x in self.pieces.items() if k == "" or k[0] == "\n"}
+
+    def learn(self, keys: list[int], words: list[bytes]) -> None:
+        """Encodes words that are not remembered yet."""
+        v, pieces = self.v, self.pieces
+        split = self.split(words) if words else []
+        new = [p for p in dict.fromkeys(x for own in split for x in own) if p not in pieces]
+        if new:
+            raw = [p.encode() for p in new]
+            ids, ends = merge_all(v, np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(p) for p in raw]))
+            ids, lo = ids.tolist(), 0
+            for p, hi in zip(new, ends.tolist()):
+                own = ids[lo:hi]
+                lo = hi
+                pieces[p] = (len(own), b" ".join([v.number[x] for x in own]), b" ".join([v.token[x] for x in own]))
+        for k, own in zip(keys, split):
+            if len(own) == 1:
+                self.words[k] = pieces[own[0]]
+            else:
+                of = [pieces[x] for x in own]
+                self.words[k] = (sum(x[0] for x in of), b" ".join([x[1] for x in of]), b" ".join([x[2] for x in of]))
+
+
+_vocabularies: dict[str, Vocabulary] = {}
+
+
+def vocabulary(text: str) -> Vocabulary:
+    """The vocabulary of a tokenizer file's text, built once in a process."""
+    if text not in _vocabularies:
+        _vocabularies.clear()
+        _vocabularies[text] = Vocabulary(text)
+    return _vocabularies[text]
 
 
 def _run(spec, names: list[str], with_ids: bool):
     def run(batches):
-        v = _vocabulary(spec.value)
-        memory: dict[int, tuple[bytes, bytes, np.ndarray]] = {}
+        encoder = Encoder(vocabulary(spec.value))
         for batch in batches:
             data, at = B.column(batch, "text")
             for lo, hi in B.slices(at, STEP):
                 part, offsets = data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
                 hashes, pointers = B.hashed(part, offsets)
                 distinct, first, of = np.unique(hashes, return_index=True, return_inverse=True)
-                if len(memory) > REMEMBERED:
-                    memory.clear()
                 keys = distinct.tolist()
-                new = [i for i, k in enumerate(keys) if k not in memory]
+                encoder.forget()
+                new = [i for i, k in enumerate(keys) if k not in encoder.words]
                 if new:
                     begin, end = _bounds(part, offsets)
-                    raw = part.tobytes()
-                    at_word = first[new]
-                    words = [raw[a:b] for a, b in zip(begin[at_word].tolist(), end[at_word].tolist())]
-                    for i, ids in zip(new, encode_words(v, words)):
-                        memory[keys[i]] = (b" ".join([v.number[x] for x in ids.tolist()]), b" ".join([v.token[x] for x in ids.tolist()]), ids.astype(np.int32))
-                known = [memory[k] for k in keys]
-                counts = np.array([len(x[2]) for x in known], np.int64)
-                numbers, tokens = [x[0] for x in known], [x[1] for x in known]
-                per_word = counts[of] if len(of) else np.zeros(0, np.int64)
+                    at_word, raw = first[new], part.tobytes()
+                    encoder.learn([keys[i] for i in new], [raw[a:b] for a, b in zip(begin[at_word].tolist(), end[at_word].tolist())])
+                known = [encoder.words[k] for k in keys]
+                numbers, tokens = [x[1] for x in known], [x[2] for x in known]
+                per_word = np.array([x[0] for x in known], np.int64)[of] if len(of) else np.zeros(0, np.int64)
                 total = np.concatenate([[0], np.cumsum(per_word)])
                 n, ids_digest, text_digest, ids_rows = [], [], [], []
                 for i in range(hi - lo):
                     a, b = pointers[i], pointers[i + 1]
                     own = of[a:b]
                     own = own[per_word[a:b] > 0].tolist()
+                    ids = b" ".join([numbers[x] for x in own])
                     n.append(int(total[b] - total[a]))
-                    ids_digest.append(hashlib.sha256(b" ".join([numbers[x] for x in own])).hexdigest())
+                    ids_digest.append(hashlib.sha256(ids).hexdigest())
                     text_digest.append(hashlib.sha256(b" ".join([tokens[x] for x in own])).hexdigest())
                     if with_ids:
-                        ids_rows.append(np.concatenate([known[x][2] for x in own]) if own else np.zeros(0, np.int32))
-                columns = [*(batch.column(x).slice(lo, hi - lo) for x in names), pa.array(n, pa.int64()), pa.array(ids_digest), pa.array(text_digest)]
+                        ids_rows.append(np.fromstring(ids.decode(), np.int32, sep=" ") if own else np.zeros(0, np.int32))
+                columns = [*(batch.column(x).slice(lo, hi - lo) for x in names), pa.array(n, pa.int64()), pa.array(ids_digest, pa.string()), pa.array(text_digest, pa.string())]
                 if with_ids:
-                    columns.append(pa.array(ids_rows, pa.list_(pa.int32())))
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.concatenate(ids_rows))))
                 yield pa.RecordBatch.from_arrays(columns, [*names, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])])
+                B.trim()
 
     return run
 

@@ -61,6 +61,7 @@ _COUNTED = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("counts",
 
 
 def _table(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
+    B.trim()
     return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
 

@@ -209,6 +209,7 @@ def _compare(key, table):
     child = place > 0
     parent = start + (place - 1) // 2
     signed = values.view(np.int64)
+    B.trim()
     return pa.table({"a": signed[order[child]], "b": signed[order[parent[child]]]})
 
 

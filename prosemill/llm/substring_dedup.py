@@ -108,6 +108,7 @@ class _Chunk:
 
 
 def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
+    B.trim()
     return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
 
@@ -205,6 +206,8 @@ def _finish(window, bits, exponent, names, with_text, arrow):
             digest.append(hashlib.sha256(b" ".join(kept)).hexdigest())
             if with_text:
                 text.append(kept_text(raw, own).decode() if own.any() else None)
+        del c, gone
+        B.trim()
         out = [table[x] for x in names]
         if with_text:
             was = table["text"].to_pylist()
