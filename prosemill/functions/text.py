@@ -18,8 +18,15 @@ EMOJI = "[\U0001f300-\U0001faff☀-➿]"
 
 
 def running(lengths: Column) -> Column:
-    """The sum up to each element, itself included."""
-    return F.aggregate(lengths, F.array().cast("array<bigint>"), lambda a, x: F.array_append(a, F.coalesce(F.get(a, F.size(a) - 1), F.lit(0).cast("bigint")) + x.cast("bigint")))
+    """The sum up to each element, itself included.
+
+    The fold writes its sums into a string, which grows by plain copies of bytes; an array would be
+    copied element by element.
+    """
+    zero = F.struct(F.lit(0).cast("bigint").alias("t"), F.lit("").alias("s"))
+    add = lambda a, x: F.struct((a["t"] + x).cast("bigint").alias("t"), F.concat(a["s"], (a["t"] + x).cast("string"), F.lit(",")).alias("s"))
+    sums = F.aggregate(lengths, zero, add, lambda a: F.split(F.rtrim(a["s"], F.lit(",")), ","))
+    return F.transform(F.filter(sums, lambda x: x != ""), lambda x: x.cast("bigint"))
 
 
 def bytes_of(c: Column) -> Column:
@@ -30,7 +37,15 @@ def add_parts(df: DataFrame, name: str, pieces: Column) -> DataFrame:
     """Adds ``name``, an array of (at, s): the pieces of a text in a row with the byte where each begins."""
     df = df.withColumn("_pieces", pieces)
     df = df.withColumn("_ends", running(F.transform("_pieces", bytes_of)))
-    return df.withColumn(name, F.transform("_pieces", lambda s, i: F.struct((F.get("_ends", i) - bytes_of(s)).alias("at"), s.alias("s")))).drop("_pieces", "_ends")
+    # named a second time outside the lambda: a column used once would be inlined and computed for every element
+    parts = F.when(F.size("_ends") >= 0, F.transform("_pieces", lambda s, i: F.struct((F.get("_ends", i) - bytes_of(s)).alias("at"), s.alias("s"))))
+    return df.withColumn(name, parts).drop("_pieces", "_ends")
+
+
+def pin(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with some columns computed here and now: a generator of one row, into which no later expression is inlined."""
+    rest = [c for c in df.columns if c not in names]
+    return df.select(*rest, F.explode_outer(F.array(F.struct(*names))).alias("_pinned")).select(*rest, *[F.col(f"_pinned.{n}").alias(n) for n in names])
 
 
 def add_sentences(df: DataFrame, text: str = "text") -> DataFrame:
@@ -132,11 +147,11 @@ def kebab(c: Column) -> Column:
 
 
 def canonical_stem(stem: Column) -> Column:
-    """A file stem without version words: separators to spaces, cut at the last copy/backup/old/new/final/draft, no trailing (n), kebab."""
-    s = F.regexp_replace(F.lower(stem), r"[-_.\s]+", " ")
-    for word in ("copy", "backup", "old", "new", "final", "final2", "draft"):
-        s = F.regexp_replace(s, f"^(.*) {word}.*$", "$1")
-    return kebab(F.regexp_replace(s, r"\s*\(\d+\)\s*$", ""))
+    """A file stem without version words: cut at the last of each in turn, without a trailing (n), lower-case and hyphenated."""
+    s = F.translate(stem, "-_", "  ")
+    for word in (" copy", " backup", " old", " new", " final", " final final", " final2", " draft"):
+        s = F.regexp_replace(s, f"(?s)^(.*){word}.*$", "$1")
+    return F.replace(F.lower(F.trim(F.regexp_replace(s, r"\s*\(\d+\)$", ""))), F.lit(" "), F.lit("-"))
 
 
 def phrase_pattern(phrases) -> str:

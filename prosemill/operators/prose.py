@@ -390,7 +390,7 @@ STAGES |= {"D12": _cadence_stages(), "D14": _repetition_stages(), "D25": _sectio
 
 def prepared(docs: DataFrame, patterns: dict[str, str]) -> DataFrame:
     """Documents with sentences, masks, lines, paragraphs, headings and the matches asked for."""
-    df = add_masks(X.add_sentences(docs))
+    df = X.pin(add_masks(X.add_sentences(docs)), "sents", "masks", "ignored")
     c = F.coalesce(F.col("text"), F.lit(""))
     df = X.add_parts(df, "rows", F.split(c, r"(?<=\n)"))
     df = X.add_parts(df, "_cut", F.split(c, r"(?<=\n\n)(?!\z)|(?=\n\n)"))
