@@ -169,7 +169,7 @@ def exchange(counts: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
             m[was] -= o
             m[:, was] -= i
             m[was, was] -= self_count
-            rows, columns = m.sum(1), m.sum(0)
+            rows, columns = m.sum(1) + i, m.sum(0) + o  # what the symbol adds to them wherever it goes
             diagonal = np.diag(m)
             gain = (_entropy(m + o[None, :]) - _entropy(m)).sum(1) + (_entropy(m + i[:, None]) - _entropy(m)).sum(0)
             gain += _entropy(diagonal + o + i + self_count) + _entropy(diagonal) - _entropy(diagonal + o) - _entropy(diagonal + i)
