@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MARK = r"(?:#|- |\* |[0-9](?:[0-9]|[^\S\n])*[.)])"
@@ -183,3 +183,44 @@ def _spans(between: str, matched: str, at: str) -> Column:
 def bounded(span: Column) -> Column:
     """Whether no word goes on at either side; a plain suffix may follow."""
     return ~span["before"].rlike(rf"[{WORDY}]\z") & span["after"].rlike(rf"^(?:s|es|ed|ing|ly|d)?(?![{WORDY}])")
+
+
+def first_bounded(text: Column, term: str) -> Column:
+    """1-based place of the first whole-word occurrence of a term, 0 without one."""
+    return F.regexp_instr(text, F.lit(rf"(?<![{WORDY}])" + phrase_pattern([term])[4:] + rf"(?=(?:s|es|ed|ing|ly|d)?(?![{WORDY}]))"))
+
+
+def snippet(text: Column, at: Column, to: Column) -> Column:
+    """The text between two byte offsets, trimmed."""
+    return trim(F.decode(F.substring(F.encode(text, "UTF-8"), (at + 1).cast("int"), (to - at).cast("int")), "UTF-8"))
+
+
+def capitalized(c: Column) -> Column:
+    return F.concat(F.upper(F.left(c, F.lit(1))), F.substring(c, 2, 1_000_000_000))
+
+
+def yaml_quoted(c: Column) -> Column:
+    """A double-quoted YAML scalar."""
+    return F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+
+
+def heading_slugs(headings: DataFrame) -> DataFrame:
+    """(doc_id, at, slug): kebab-case titles; a slug that a document has had gets -1, -2, ..."""
+    own = headings.withColumn("base", kebab(F.col("title")))
+    k = F.row_number().over(Window.partitionBy("doc_id", "base").orderBy("at")) - 1
+    return own.withColumn("k", k).select("doc_id", "at", F.when(F.col("k") == 0, F.col("base")).otherwise(F.concat_ws("-", "base", F.col("k").cast("string"))).alias("slug"))
+
+
+def line_slice(text: Column, start: Column, end: Column) -> Column:
+    """Lines start to end, 1-based, held within the text."""
+    own = lines(text)
+    lo = F.greatest(start, F.lit(1))
+    return F.array_join(F.slice(own, lo.cast("int"), F.greatest(F.least(end, F.size(own)) - lo + 1, F.lit(0)).cast("int")), "\n")
+
+
+def contains_text(df: DataFrame, needle: str, *columns: str) -> DataFrame:
+    """Rows in which any of the columns holds the needle, whatever its case."""
+    hit = F.lit(False)
+    for c in columns:
+        hit = hit | F.coalesce(F.lower(F.col(c)).contains(needle.lower()), F.lit(False))
+    return df.filter(hit)

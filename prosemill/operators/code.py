@@ -314,3 +314,115 @@ def python_index(files: DataFrame, calls_per_function: int = 200) -> DataFrame:
     """Functions, methods and classes of Python files, with their calls: one Arrow pass, a file at a time."""
     ship(files.sparkSession)
     return files.filter(language(F.col("path")) == "python").select("path", "text").mapInArrow(_python_index(calls_per_function), _INDEX)
+
+
+_CFG_NODES = "path string, function string, node int, kind string, line int, n_statements int"
+_CFG = _CFG_NODES + ", edges array<struct<`to`:int,kind:string,condition:string>>"
+
+
+def _python_cfg():
+    exits = {"exit", "quit", "_exit", "abort"}
+
+    class Build:
+        """Nodes and edges of one function: a node for each straight run of statements and each branch."""
+
+        def __init__(self, node):
+            self.nodes, self.edges = [], []
+            entry = self.node("entry", node.lineno)
+            last = self.body(node.body, entry, [])
+            if last is not None:
+                self.edge(last, self.node("return", node.end_lineno), "next")
+
+        def node(self, kind, line, n=0):
+            self.nodes.append([kind, line, n])
+            return len(self.nodes) - 1
+
+        def edge(self, a, b, kind, condition=None):
+            self.edges.append((a, b, kind, condition))
+
+        def body(self, statements, at, loops):
+            """The node after some statements, or None if none of them falls through."""
+            for s in statements:
+                if at is None:
+                    at = self.node("block", s.lineno)  # nothing leads here
+                if isinstance(s, (ast.Return, ast.Raise)):
+                    self.edge(at, self.node("return" if isinstance(s, ast.Return) else "panic", s.lineno, 1), "next")
+                    at = None
+                elif isinstance(s, ast.Expr) and isinstance(s.value, ast.Call) and getattr(s.value.func, "attr", getattr(s.value.func, "id", "")) in exits:
+                    self.edge(at, self.node("exit", s.lineno, 1), "next")
+                    at = None
+                elif isinstance(s, (ast.If, ast.While, ast.For, ast.AsyncFor)):
+                    at = self.split(s, at, loops)
+                elif isinstance(s, (ast.Break, ast.Continue)) and loops:
+                    self.edge(at, loops[-1][isinstance(s, ast.Break)], "break" if isinstance(s, ast.Break) else "continue")
+                    at = None
+                elif isinstance(s, (ast.Try, ast.Match)):
+                    parts = [s.body, *[h.body for h in s.handlers]] if isinstance(s, ast.Try) else [c.body for c in s.cases]
+                    top = self.node("try" if isinstance(s, ast.Try) else "match", s.lineno)
+                    self.edge(at, top, "next")
+                    after = self.node("block", s.end_lineno)
+                    for k, p in enumerate(parts):
+                        start = self.node("block", p[0].lineno)
+                        self.edge(top, start, "exception" if isinstance(s, ast.Try) and k else "next")
+                        end = self.body(p, start, loops)
+                        if end is not None:
+                            self.edge(end, after, "next")
+                    at = self.body(s.finalbody, after, loops) if isinstance(s, ast.Try) and s.finalbody else after
+                elif isinstance(s, (ast.With, ast.AsyncWith)):
+                    at = self.body(s.body, at, loops)
+                else:
+                    if self.nodes[at][0] != "block":
+                        new = self.node("block", s.lineno)
+                        self.edge(at, new, "next")
+                        at = new
+                    self.nodes[at][2] += 1
+            return at
+
+        def split(self, s, at, loops):
+            loop = not isinstance(s, ast.If)
+            test = ast.unparse(s.test if not isinstance(s, (ast.For, ast.AsyncFor)) else s.iter)
+            top = self.node("loop" if loop else "branch", s.lineno)
+            self.edge(at, top, "next")
+            after = self.node("block", s.end_lineno)
+            start = self.node("block", s.body[0].lineno)
+            self.edge(top, start, "true-branch", test)
+            end = self.body(s.body, start, [*loops, (top, after)] if loop else loops)
+            if end is not None:
+                self.edge(end, top if loop else after, "back" if loop else "next")
+            if s.orelse:
+                other = self.node("block", s.orelse[0].lineno)
+                self.edge(top, other, "false-branch", test)
+                end = self.body(s.orelse, other, loops)
+                if end is not None:
+                    self.edge(end, after, "next")
+            else:
+                self.edge(top, after, "false-branch", test)
+            return after
+
+    def run(batches):
+        edge = pa.list_(pa.struct([("to", pa.int32()), ("kind", pa.string()), ("condition", pa.string())]))
+        schema = pa.schema([("path", pa.string()), ("function", pa.string()), ("node", pa.int32()), ("kind", pa.string()), ("line", pa.int32()), ("n_statements", pa.int32()), ("edges", edge)])
+        for batch in batches:
+            out = []
+            for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist()):
+                try:
+                    tree = ast.parse(text or "")
+                except (SyntaxError, ValueError, RecursionError, MemoryError):
+                    continue
+                named = [("", n) for n in tree.body] + [(f"{c.name}::", n) for c in tree.body if isinstance(c, ast.ClassDef) for n in c.body]
+                for prefix, f in named:
+                    if isinstance(f, (ast.FunctionDef, ast.AsyncFunctionDef)):
+                        b = Build(f)
+                        for i, (kind, line, n) in enumerate(b.nodes):
+                            out.append({"path": path, "function": prefix + f.name, "node": i, "kind": kind, "line": line, "n_statements": n, "edges": [{"to": t, "kind": k, "condition": c} for a, t, k, c in b.edges if a == i]})
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    return run
+
+
+def python_cfg(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the control flow of every Python function: one Arrow pass, a file at a time."""
+    ship(files.sparkSession)
+    whole = files.filter(language(F.col("path")) == "python").select("path", "text").mapInArrow(_python_cfg(), _CFG)
+    edges = whole.select("path", "function", F.col("node").alias("from"), F.explode("edges").alias("x")).select("path", "function", "from", "x.*")
+    return whole.drop("edges"), edges

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prosemill.functions.text import jaccard
@@ -90,19 +90,19 @@ def components(nodes: DataFrame, edges: DataFrame, key: str = "path", most: int
 
 
 def simple_paths(edges: DataFrame, entries: DataFrame, exits: DataFrame, by: list[str], most_steps: int = 64) -> DataFrame:
-    """(by, path, conditions): paths from entries that stop at their first exit and visit no node twice.
+    """(by, steps, conditions): paths from entries that stop at their first exit and visit no node twice.
 
     ``edges`` (by, from, to, kind, condition). Every path is carried as an array; ``most_steps`` bounds their length.
     """
     own = edges.select(*by, F.col("from").alias("node"), "to", F.when(F.col("condition").isNotNull(), F.concat(F.when(F.col("kind") == "false-branch", "!").otherwise(""), "condition")).alias("c"))
     last = exits.select(*by, "node").distinct().withColumn("done", F.lit(True))
-    open_ = entries.select(*by, "node", F.array("node").alias("path"), F.array().cast("array<string>").alias("conditions"))
+    open_ = entries.select(*by, "node", F.array("node").alias("steps"), F.array().cast("array<string>").alias("conditions"))
     out = []
     for _ in range(most_steps):
         marked = _checkpointed(open_.join(last, [*by, "node"], "left"))
-        out.append(marked.filter("done").select(*by, "path", "conditions"))
-        open_ = marked.filter("done IS NULL").drop("done").join(own, [*by, "node"]).filter(~F.array_contains("path", F.col("to")))
-        open_ = open_.select(*by, F.col("to").alias("node"), F.array_append("path", F.col("to")).alias("path"), F.when(F.col("c").isNull(), F.col("conditions")).otherwise(F.array_append("conditions", F.col("c"))).alias("conditions"))
+        out.append(marked.filter("done").select(*by, "steps", "conditions"))
+        open_ = marked.filter("done IS NULL").drop("done").join(own, [*by, "node"]).filter(~F.array_contains("steps", F.col("to")))
+        open_ = open_.select(*by, F.col("to").alias("node"), F.array_append("steps", F.col("to")).alias("steps"), F.when(F.col("c").isNull(), F.col("conditions")).otherwise(F.array_append("conditions", F.col("c"))).alias("conditions"))
         if not marked.filter("done IS NULL").limit(1).count():
             break
     return reduce(DataFrame.union, out)
@@ -230,3 +230,49 @@ def escalations(uses: DataFrame, by: list[str]) -> DataFrame:
     w = uses.filter(F.lower("context").contains("warn")).select(*key, F.col("line").alias("warning_line"))
     e = uses.filter(F.lower("context").contains("error")).select(*key, F.col("line").alias("error_line"))
     return w.join(e, key).filter("warning_line < error_line")
+
+
+def edge_kind(kind: Column) -> Column:
+    """One of ``mod``, ``use``, ``import``, or ``other``, whatever the case and plural of a kind."""
+    k = F.regexp_replace(F.lower(F.trim(kind)), "s$", "")
+    return F.when(k.isin("mod", "use", "import"), k).otherwise("other")
+
+
+def shown_edges(edges: DataFrame, nodes: DataFrame, kinds: list[str] | None = None, resolved_only: bool = False) -> DataFrame:
+    """Edges of some kinds whose ends are both nodes."""
+    out = edges.filter(F.col("kind").isin(kinds)) if kinds else edges
+    out = out.filter("resolved") if resolved_only else out
+    known = nodes.select("path").distinct()
+    out = out.join(known.withColumnRenamed("path", "_from"), F.col("from") == F.col("_from"), "left_semi")
+    return out.join(known.withColumnRenamed("path", "_to"), F.col("to") == F.col("_to"), "left_semi")
+
+
+def component_sizes(labels: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(component, n_nodes, n_edges, languages) of labelled components."""
+    ids = labels.select(F.col("path").alias("from"), "component")
+    inside = edges.join(ids, "from").groupBy("component").agg(F.count("*").alias("n_edges"))
+    by_language = labels.join(nodes.select("path", "language"), "path").groupBy("component", "language").count()
+    sizes = by_language.groupBy("component").agg(F.sum("count").alias("n_nodes"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("language", "count")))).alias("languages"))
+    return sizes.join(inside, "component", "left").na.fill(0, ["n_edges"])
+
+
+def call_lists(calls: DataFrame, function: str) -> DataFrame:
+    """(role, other, n): callers of a function, what it calls, and its unresolved calls."""
+    into = calls.filter(F.col("callee") == function).select(F.lit("caller").alias("role"), F.col("caller").alias("other"))
+    out = calls.filter((F.col("caller") == function) & F.col("callee").isNotNull()).select(F.lit("callee"), "callee")
+    lost = calls.filter((F.col("caller") == function) & F.col("callee").isNull()).select(F.lit("unresolved"), "raw")
+    return into.union(out).union(lost).groupBy("role", "other").agg(F.count("*").alias("n"))
+
+
+def guard(before_nodes: DataFrame, after_nodes: DataFrame, mapping: DataFrame) -> DataFrame:
+    """(old, issue) of a refactoring: removed paths that a mapping does not explain. Empty means it may pass."""
+    removed = snapshot_diff(before_nodes, after_nodes, ["path"]).filter("change = 'removed'")
+    return mapping_issues(removed, mapping, after_nodes)
+
+
+def exit_path_findings(paths: DataFrame, by: list[str]) -> DataFrame:
+    """(by, steps, conditions, contradiction) of paths of more than two nodes under a condition; a path that needs a condition and its opposite cannot run."""
+    own = paths.filter((F.size("steps") > 2) & (F.size("conditions") >= 1))
+    opposite = F.exists("conditions", lambda c: F.array_contains("conditions", F.concat(F.lit("!"), c)))
+    own = own.withColumn("contradiction", opposite)
+    return own.withColumn("steps", F.array_join("steps", " -> ")).withColumn("conditions", F.array_join("conditions", " && ")).select(*by, "steps", "conditions", "contradiction")

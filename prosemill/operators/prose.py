@@ -419,3 +419,9 @@ def findings(docs: DataFrame, cfg: C.Config | None = None, detectors: list[str]
     return out.filter(whole | ~F.array_contains("ignored", F.col("line"))).drop("ignored")
 
 
+def with_suggestions(found: DataFrame) -> DataFrame:
+    """Findings with ``suggestion``: a plainer word for the phrase, or null."""
+    plain = F.create_map(*[F.lit(x) for pair in C.REPLACEMENTS.items() for x in pair])
+    return found.withColumn("suggestion", F.try_element_at(plain, F.lower("snippet")))
+
+

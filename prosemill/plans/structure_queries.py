@@ -228,7 +228,7 @@ def cfg_paths(spark, sf_dir):
     nodes, e = _cfg(spark, sf_dir)
     real = e.join(nodes.select("fn", F.col("node").alias("to")), ["fn", "to"], "left_semi")
     found = G.simple_paths(real, nodes.filter("kind = 'entry'"), G.exit_nodes(nodes), ["fn"])
-    return found.select("fn", F.array_join("path", ">").alias("path"))
+    return found.select("fn", F.array_join("steps", ">").alias("path"))
 
 
 @query(f"WITH {_CFG} SELECT fn, count(*) AS n_nodes, count(*) FILTER (s = 'F' AND node <> 1) AS n_exits, count(*) AS n_edges FROM l GROUP BY fn")
@@ -439,3 +439,66 @@ def coverage_lookup(spark, sf_dir):
     c = n.filter("n_nationkey % 2 = 0").select(F.col("n_name").alias("file"))
     return K.coverage_for(p, c).select("path", F.lit(2).cast("long").alias("n"))
 
+
+
+@query("""WITH k AS (SELECT doc_id, unnest(['Section ' || lang, 'Section ' || source, 'Section ' || lang]) AS title, unnest([0, 1, 2]) AS p FROM documents)
+SELECT doc_id, CAST(p AS BIGINT) AS "at", CASE WHEN k = 0 THEN s ELSE s || '-' || k END AS slug FROM (SELECT *, lower(replace(title, ' ', '-')) AS s, row_number() OVER (PARTITION BY doc_id, title ORDER BY p) - 1 AS k FROM k)""")
+def heading_slugs(spark, sf_dir):
+    from prosemill.functions.text import heading_slugs as slugs
+
+    d = table(spark, sf_dir, "documents")
+    titles = F.array(F.concat(F.lit("Section "), "lang"), F.concat(F.lit("Section "), "source"), F.concat(F.lit("Section "), "lang"))
+    return slugs(d.select("doc_id", F.posexplode(titles).alias("at", "title")).withColumn("at", F.col("at").cast("long")))
+
+
+@query(f"WITH {RESOLVED} SELECT \"from\", \"to\", kind FROM e SEMI JOIN v ON e.\"to\" = v.path WHERE kind = 'use'")
+def shown_edges(spark, sf_dir):
+    return G.shown_edges(edges(spark, sf_dir), vertices(spark, sf_dir), ["use"])
+
+
+@query("""WITH b AS (SELECT o_orderkey AS p FROM orders), a AS (SELECT o_orderkey AS p FROM orders WHERE o_orderkey % 7 <> 0) SELECT 'o' || p AS old, 'unmapped' AS issue FROM b ANTI JOIN a USING (p)""")
+def refactor_guard(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    name = F.concat(F.lit("o"), "o_orderkey").alias("path")
+    none = spark.createDataFrame([], "old string, action string, targets array<string>")
+    return G.guard(o.select(name), o.filter("o_orderkey % 7 <> 0").select(name), none)
+
+
+@query("""SELECT 'c' || c_custkey AS path, c_nationkey % 2 = 0 AS git_tracked FROM customer""")
+def git_tracked(spark, sf_dir):
+    from prosemill.sources.files import tracked
+
+    c = table(spark, sf_dir, "customer")
+    path = F.concat(F.lit("c"), "c_custkey").alias("path")
+    return tracked(c.select(path), c.filter("c_nationkey % 2 = 0").select(path))
+
+
+@query("""SELECT 'r' || r_regionkey || '/Cargo.toml' AS path, 'lib_' || lower(replace(r_name, ' ', '_')) AS name FROM region""")
+def cargo_manifests(spark, sf_dir):
+    from prosemill.sources.files import cargo_manifests as manifests
+
+    r = table(spark, sf_dir, "region")
+    text = F.concat(F.lit('[package]\nname = "lib-'), F.lower(F.translate("r_name", " ", "-")), F.lit('"\n'))
+    return manifests(r.select(F.concat(F.lit("r"), "r_regionkey", F.lit("/Cargo.toml")).alias("path"), text.alias("text"))).select("path", "name")
+
+
+@query()
+def python_control_flow(spark, sf_dir):
+    """Exit paths of the Python functions of the derived source tree."""
+    n, e = K.python_cfg(code_files(spark, sf_dir))
+    by = ["path", "function"]
+    return G.simple_paths(e, n.filter("kind = 'entry'").select(*by, "node"), G.exit_nodes(n), by)
+
+
+@query("""SELECT 'n' || n_nationkey AS path, n_regionkey % 2 = 0 AS reachable FROM nation""")
+def reachable_symbols(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    name = F.concat(F.lit("n"), "n_nationkey").alias("symbol")
+    return K.reachable_symbols(n.select(name), n.filter("n_regionkey % 2 = 0").select(name)).select(F.col("symbol").alias("path"), "reachable")
+
+
+@query("SELECT doc_id, source FROM documents WHERE contains(lower(source), 'c1')")
+def text_search(spark, sf_dir):
+    from prosemill.functions.text import contains_text
+
+    return contains_text(table(spark, sf_dir, "documents").select("doc_id", "source"), "C1", "source")

@@ -40,3 +40,45 @@ def yaml_config(text: str) -> dict:
     import yaml
 
     return yaml.safe_load(text) or {}
+
+
+def tracked(files: DataFrame, listed: DataFrame) -> DataFrame:
+    """Files with ``git_tracked``: whether a listing of tracked paths has them."""
+    known = listed.select("path").distinct().withColumn("git_tracked", F.lit(True))
+    return files.join(known, "path", "left").withColumn("git_tracked", F.coalesce("git_tracked", F.lit(False)))
+
+
+def cargo_manifests(files: DataFrame) -> DataFrame:
+    """(path, name, members, lib_path): package names (hyphens as underscores), members and library paths of Cargo manifests."""
+    own = files.filter(F.col("path").rlike(r"(?:^|/)Cargo\.toml$"))
+    section = lambda name: F.regexp_extract("text", rf"(?s)(?:^|\n)\[{name}\]\s*\n(.*?)(?:\n\[|\z)", 1)
+    value = lambda body, key: F.regexp_extract(body, rf'(?m)^\s*{key}\s*=\s*"([^"]*)"', 1)
+    lib = value(section("lib"), "name")
+    members = F.regexp_extract_all(F.regexp_extract(section("workspace"), r"(?s)members\s*=\s*\[(.*?)\]", 1), F.lit('"([^"]*)"'), 1)
+    return own.select("path", F.translate(F.when(lib != "", lib).otherwise(value(section("package"), "name")), "-", "_").alias("name"), members.alias("members"), value(section("lib"), "path").alias("lib_path"))
+
+
+def configured(text: str):
+    """A ``Config`` from YAML. Keys that are not known are ignored; a profile or ``profile_defaults`` that sets some rules has the plain defaults for the others."""
+    from dataclasses import replace
+
+    from prosemill.config import Config, Profile, Rules
+
+    d = yaml_config(text)
+    names = {"call_to_action_phrases": "calls_to_action", "template_phrases": "templates", "confidence_phrases": "confidence", "max_bullet_items": "max_bullets", "max_exclamations_per_paragraph": "max_exclamations", "min_sentences_per_section": "min_section_sentences", "enable_triad_slop": "triad"}
+
+    def rules(x: dict | None) -> Rules:
+        known = {names.get(k, k): tuple(v) if isinstance(v, list) else v for k, v in (x or {}).items()}
+        return Rules(**{k: v for k, v in known.items() if k in Rules.__dataclass_fields__})
+
+    out = Config()
+    for key, name, inner in (("buzzwords", "buzzwords", "throttle"), ("transitions", "transitions", "throttle"), ("puffery", "puffery", "ban"), ("weasel", "weasel", "ban"), ("marketing_cliches", "marketing", "ban"), ("templates", "templates", "ban"), ("whitelist", "allowed_phrases", "allowed_phrases")):
+        if isinstance(d.get(key), dict) and inner in d[key]:
+            out = replace(out, **{name: tuple(d[key][inner] or ())})
+    limits = {"em_dashes_per_paragraph": "em_dashes", "connectors_per_sentence": "connectors", "rule_of_three_per_paragraph": "rule_of_three", "bold_spans_per_paragraph": "bold_spans", "bold_lead_bullets_per_list": "bold_lead_bullets", "warn_threshold_per_100w": "warn_per_100", "fail_threshold_per_100w": "fail_per_100"}
+    found = {**(d.get("limits") or {}), **(d.get("scores") or {})}
+    out = replace(out, **{limits[k]: int(v) for k, v in found.items() if k in limits})
+    if "profile_defaults" in d:
+        out = replace(out, rules=rules(d["profile_defaults"]))
+    profiles = tuple(Profile(p["name"], tuple(p.get("globs") or ()), p.get("extends"), rules(p.get("rules"))) for p in d.get("profiles") or [] if str(p.get("name") or "").strip())
+    return replace(out, profiles=profiles)

@@ -45,3 +45,31 @@ def diff_markdown(changes: DataFrame) -> DataFrame:
 def exit_status(reports: DataFrame) -> DataFrame:
     """One row: 1 if any document's verdict is ``fail``, else 0."""
     return reports.agg(F.coalesce(F.max((F.col("verdict") == "fail").cast("int")), F.lit(0)).alias("status"))
+
+
+def yaml_text(rows: DataFrame, key: str) -> str:
+    """A YAML list of a bounded report: calibration values, mapping templates."""
+    import yaml
+
+    return yaml.safe_dump({key: [r.asDict(recursive=True) for r in rows.collect()]}, sort_keys=False)
+
+
+def human_report(found: DataFrame, n: int = 20) -> DataFrame:
+    """(text): the first n findings in order of document and place, a line each."""
+    top = found.orderBy("doc_id", "at", "detector").limit(n)
+    return top.select(F.format_string("%s:%s:%s %s [%s] %s", F.col("doc_id").cast("string"), F.col("line").cast("string"), F.col("column").cast("string"), "severity", "category", "snippet").alias("text"))
+
+
+def fix_prompt(found: DataFrame) -> DataFrame:
+    """(doc_id, prompt): what to change in each document, in order of place."""
+    line = F.concat(F.lit("- line "), F.col("line").cast("string"), F.lit(": "), "message")
+    return found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", line.alias("s")))).alias("x")).select("doc_id", F.concat(F.lit("Fix:\n"), F.array_join(F.transform("x", lambda x: x["s"]), "\n")).alias("prompt"))
+
+
+def review_bundle(n: int = 8, **parts: DataFrame) -> DataFrame:
+    """(part, sample): up to n rows of each report as one JSON text, in the order of all columns."""
+    out = []
+    for name, df in parts.items():
+        top = df.orderBy(*df.columns).limit(n)
+        out.append(top.agg(F.to_json(F.sort_array(F.collect_list(F.struct(*df.columns)))).alias("sample")).select(F.lit(name).alias("part"), "sample"))
+    return reduce(DataFrame.union, out)

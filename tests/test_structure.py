@@ -84,7 +84,7 @@ def test_cfg(spark):
     n = spark.createDataFrame([(1, 0, "entry", 1, 0), (1, 1, "branch", 2, 1), (1, 2, "return", 3, 1), (1, 3, "return", 4, 1), (1, 4, "block", 9, 1)], "fn int, node int, kind string, line int, n_statements int")
     e = spark.createDataFrame([(1, 0, 1, "next", None), (1, 1, 2, "true-branch", "x > 0"), (1, 1, 3, "false-branch", "x > 0")], "fn int, from int, to int, kind string, condition string")
     start = n.filter("kind = 'entry'").select("fn", "node")
-    paths = rows(G.simple_paths(e, start, G.exit_nodes(n), ["fn"]), "path", "conditions")
+    paths = rows(G.simple_paths(e, start, G.exit_nodes(n), ["fn"]), "steps", "conditions")
     assert paths == [([0, 1, 2], ["x > 0"]), ([0, 1, 3], ["!x > 0"])]
     assert rows(G.dead_branches(n, e, start, ["fn"]), "node") == [4]
     assert "flowchart TD" in sinks.mermaid(n, e, ["fn"]).first()["mermaid"]
@@ -182,3 +182,45 @@ def test_partitions_do_not_matter(spark):
     d = spark.createDataFrame([(i, f"We leverage it {i}. Again! Again! # no") for i in range(20)], "doc_id long, text string")
     key = ("doc_id", "detector", "at")
     assert rows(L.lint(d.repartition(1)), *key) == rows(L.lint(d.repartition(7)), *key)
+
+
+def test_python_cfg(spark):
+    text = "def f(x):\n    if x > 0:\n        return 1\n    while x:\n        x += 1\n        if x == 3:\n            break\n    try:\n        g()\n    except E:\n        raise\n    exit()\n    dead()\n"
+    n, e = K.python_cfg(spark.createDataFrame([("a.py", text), ("b.py", "(")], "path string, text string"))
+    by = ["path", "function"]
+    start = n.filter("kind = 'entry'").select(*by, "node")
+    assert {r["kind"] for r in n.collect()} >= {"entry", "branch", "loop", "try", "return", "panic", "exit"}
+    assert {r["line"] for r in G.dead_branches(n, e, start, by).collect()} == {13}
+    found = G.exit_path_findings(G.simple_paths(e, start, G.exit_nodes(n), by), by).collect()
+    assert any(r["conditions"] == "x > 0" for r in found) and not any(r["contradiction"] for r in found)
+
+
+def test_config_and_manifest(spark):
+    cfg = files_source.configured("buzzwords: {throttle: [zap]}\nlimits: {em_dashes_per_paragraph: 5}\nprofile_defaults: {max_sentence_length: 9}\nprofiles:\n- {name: a, globs: ['x/**'], rules: {broad_terms: [Thing]}}\nunknown: 1\n")
+    assert cfg.buzzwords == ("zap",) and cfg.em_dashes == 5 and cfg.rules.max_sentence_length == 9 and cfg.rules.broad_terms == () and cfg.resolved("a").broad_terms == ("thing",)
+    m = files_source.cargo_manifests(spark.createDataFrame([("Cargo.toml", '[workspace]\nmembers = ["core", "cli"]\n'), ("core/Cargo.toml", '[package]\nname = "demo-core"\n\n[lib]\npath = "src/l.rs"\n')], "path string, text string"))
+    assert {r["path"]: (r["name"], r["members"], r["lib_path"]) for r in m.collect()} == {"Cargo.toml": ("", ["core", "cli"], ""), "core/Cargo.toml": ("demo_core", [], "src/l.rs")}
+
+
+def test_more_sinks(spark):
+    d = spark.createDataFrame([(1, "We delve into it."), (2, "We utilize it.")], "doc_id long, text string")
+    found = L.findings(d, detectors=["D3"])
+    from prosemill.operators.prose import with_suggestions
+
+    assert rows(with_suggestions(found), "suggestion") == ["look at", "use"]
+    assert sinks.human_report(found).first()["text"].startswith("1:1:4 hint [buzzword]") and sinks.fix_prompt(found).count() == 2
+    assert {r["part"] for r in sinks.review_bundle(a=found.select("doc_id"), b=d).collect()} == {"a", "b"}
+    assert "unmapped" in sinks.yaml_text(G.mapping_template(d.select(F.lit("p").alias("path")), spark.createDataFrame([], "old string, new string, score double")), "mapping")
+    heads = spark.createDataFrame([(1, 0, "A b"), (1, 9, "a B!"), (2, 0, "A b")], "doc_id long, at long, title string")
+    assert rows(X.heading_slugs(heads), "doc_id", "slug") == [(1, "a-b"), (1, "a-b-1"), (2, "a-b")]
+    assert X.contains_text(d, "DELVE", "text").count() == 1
+    r = d.filter("doc_id = 1").select(X.first_bounded(F.col("text"), "delve").alias("a"), X.snippet(F.col("text"), F.lit(3), F.lit(8)).alias("b"), X.line_slice(F.lit("a\nb\nc"), F.lit(2), F.lit(9)).alias("c"), X.capitalized(F.lit("éa")).alias("d"), X.yaml_quoted(F.lit('a"b')).alias("e"), G.edge_kind(F.lit("Imports ")).alias("f")).first()
+    assert tuple(r) == (4, "delve", "b\nc", "Éa", '"a\\"b"', "import")
+    v = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y")], "path string, language string")
+    e = spark.createDataFrame([("a", "b", "use", True), ("a", "zz", "use", False)], "from string, to string, kind string, resolved boolean")
+    assert G.shown_edges(e, v).count() == 1
+    sizes = {r["component"]: (r["n_nodes"], r["n_edges"]) for r in G.component_sizes(G.components(v, e.filter("resolved")), e.filter("resolved"), v).collect()}
+    assert sizes == {"a": (2, 1), "c": (1, 0)}
+    assert rows(G.guard(v, v.filter("path <> 'c'"), spark.createDataFrame([], "old string, action string, targets array<string>")), "old", "issue") == [("c", "unmapped")]
+    calls = spark.createDataFrame([("a", "b", "f", "F"), ("a", "c", None, "x"), ("a", "f", "g", "G")], "file string, caller string, callee string, raw string")
+    assert rows(G.call_lists(calls, "f"), "role", "other") == [("callee", "g"), ("caller", "b")]
