@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prosemill.functions.text import jaccard
+from prosemill.session import cut
 
 
 def resolved(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -50,23 +51,17 @@ def orphans(nodes: DataFrame, edges: DataFrame, key: str = "path") -> DataFrame:
     return nodes.select(key).join(edges.select(F.col("to").alias(key)).distinct(), key, "left_anti")
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    if df.sparkSession.sparkContext.getCheckpointDir() is None and (told := df.sparkSession.conf.get("spark.checkpoint.dir", None)):
-        df.sparkSession.sparkContext.setCheckpointDir(told)
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
-
-
 def reachable(edges: DataFrame, starts: DataFrame, by: list[str] = (), most: int = 10_000) -> DataFrame:
     """(by, node) reached from (by, node) ``starts`` along (by, from, to): breadth first, new nodes only."""
     by = list(by)
-    seen = _checkpointed(starts.select(*by, "node").distinct())
+    seen = cut(starts.select(*by, "node").distinct())
     front = seen
     for _ in range(most):
         step = front.join(edges.select(*by, F.col("from").alias("node"), "to"), [*by, "node"]).select(*by, F.col("to").alias("node")).distinct()
-        front = _checkpointed(step.join(seen, [*by, "node"], "left_anti"))
+        front = cut(step.join(seen, [*by, "node"], "left_anti"))
         if not front.limit(1).count():
             break
-        seen = _checkpointed(seen.union(front))
+        seen = cut(seen.union(front))
     return seen
 
 
@@ -76,13 +71,13 @@ def unreachable(nodes: DataFrame, edges: DataFrame, starts: DataFrame, by: list[
 
 def components(nodes: DataFrame, edges: DataFrame, key: str = "path", most: int = 10_000) -> DataFrame:
     """(key, component): the least key that each node reaches in either direction."""
-    both = _checkpointed(edges.select(F.col("from").alias("a"), F.col("to").alias("b")).union(edges.select("to", "from")).distinct())
-    labels = _checkpointed(nodes.select(F.col(key), F.col(key).alias("component")).distinct())
+    both = cut(edges.select(F.col("from").alias("a"), F.col("to").alias("b")).union(edges.select("to", "from")).distinct())
+    labels = cut(nodes.select(F.col(key), F.col(key).alias("component")).distinct())
     for _ in range(most):
         near = both.join(labels, F.col("b") == F.col(key)).groupBy("a").agg(F.min("component").alias("least"))
         step = labels.join(near, F.col(key) == F.col("a"), "left").select(key, F.col("component").alias("was"), F.least("component", "least").alias("component"))
         jump = labels.select(F.col(key).alias("via"), F.col("component").alias("over"))
-        step = _checkpointed(step.join(jump, F.col("component") == F.col("via"), "left").select(key, "was", F.least("component", "over").alias("component")))
+        step = cut(step.join(jump, F.col("component") == F.col("via"), "left").select(key, "was", F.least("component", "over").alias("component")))
         labels = step.select(key, "component")
         if not step.filter("was <> component").limit(1).count():
             break
@@ -99,7 +94,7 @@ def simple_paths(edges: DataFrame, entries: DataFrame, exits: DataFrame, by: lis
     open_ = entries.select(*by, "node", F.array("node").alias("steps"), F.array().cast("array<string>").alias("conditions"))
     out = []
     for _ in range(most_steps):
-        marked = _checkpointed(open_.join(last, [*by, "node"], "left"))
+        marked = cut(open_.join(last, [*by, "node"], "left"))
         out.append(marked.filter("done").select(*by, "steps", "conditions"))
         open_ = marked.filter("done IS NULL").drop("done").join(own, [*by, "node"]).filter(~F.array_contains("steps", F.col("to")))
         open_ = open_.select(*by, F.col("to").alias("node"), F.array_append("steps", F.col("to")).alias("steps"), F.when(F.col("c").isNull(), F.col("conditions")).otherwise(F.array_append("conditions", F.col("c"))).alias("conditions"))
