@@ -49,14 +49,13 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     if len(words) <= shingle:
         return xxhash.xxh64_intdigest(joined, SEED)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.concatenate([[0], ends[:-shingle]]).tolist()
-    digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())], np.uint64)
+    starts, stops = np.concatenate([[0], ends[:-shingle]]), ends[shingle - 1 :] - 1
+    digest, n = xxhash.xxh64_intdigest, len(stops)
     set_bits = np.zeros(64, np.int64)
-    for lo in range(0, len(h), 1 << 16):
-        part = np.ascontiguousarray(h[lo : lo + (1 << 16)]).astype("<u8").view(np.uint8).reshape(-1, 8)
-        set_bits += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(_BITS[set_bits * 2 > len(h)].sum(dtype=np.uint64))
+    for lo in range(0, n, 1 << 16):
+        part = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[lo : lo + (1 << 16)].tolist(), stops[lo : lo + (1 << 16)].tolist())], "<u8")
+        set_bits += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(_BITS[set_bits * 2 > n].sum(dtype=np.uint64))
 
 
 def _fingerprints(names: list[str]):
@@ -255,10 +254,9 @@ def near_duplicates(docs: DataFrame, carry: list[str] | None = None) -> DataFram
     fps = cut(fingerprints(own, [*inner, "id", "hash"]))
     # false sorts before true: an id comes before none
     distinct = cut(fps.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("least")))
-    labels = components(links(distinct.select("fp")))
-    member = distinct.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    named = member.groupBy("label").agg(F.min("least").alias("first"))
-    member = member.select("fp", "label").join(named, "label").select("fp", "first")
+    labels = components(links(distinct.select("fp")), distinct.select(F.col("fp").alias("node"), F.col("least").alias("name")))
+    # cut, so that either side of the last join is an exchange of its own and the rows of one fingerprint can be split
+    member = cut(distinct.join(labels, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("label", "least").alias("first")))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     first = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("hash") == F.col("first.hash"))
     return fps.join(member, "fp").select(*[F.col(x).alias(c) for c, x in zip(carry, inner)], digits, F.col("first.id").alias("component_id"), first.alias("representative"))
