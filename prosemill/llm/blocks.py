@@ -92,16 +92,35 @@ def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
 
 
+def pieces(data: np.ndarray, at: np.ndarray, separator: np.ndarray = SPACE, limit: int | None = None) -> Iterator[tuple[int, int, int, int]]:
+    """(first row, end row, first byte, end byte) of parts of about ``limit`` bytes; a longer document is cut between words."""
+    limit = limit or SLICE
+    for lo, hi in slices(at, limit):
+        a, end = int(at[lo]), int(at[hi])
+        while end - a > limit:
+            b = a + limit
+            gaps = np.flatnonzero(separator[data[a:b]])
+            if not len(gaps):  # one word fills the part: go on to its end
+                while b < end and not (ahead := np.flatnonzero(separator[data[b : b + limit]])).size:
+                    b += limit
+                b = min(end, b + int(ahead[0]) + 1) if b < end else end
+            else:
+                b = a + int(gaps[-1]) + 1
+            yield lo, hi, a, b
+            a = b
+        yield lo, hi, a, end
+
+
 def hashed(data: np.ndarray, at: np.ndarray, separator: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """The hash of every word of a column, and where each document's words begin."""
-    out, pointers, base = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], 0
-    for lo, hi in slices(at):
-        part, offsets = data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
+    out, pointers, base = [np.zeros(0, np.uint64)], np.zeros(len(at), np.int64), 0
+    for lo, hi, a, b in pieces(data, at, separator):
+        part, offsets = data[a:b], np.clip(at[lo : hi + 1] - a, 0, b - a)
         begin, end, p = words(part, offsets, separator)
         out.append(word_hashes(part, begin, end))
-        pointers.append(p[1:] + base)
+        pointers[lo + 1 : hi + 1] = p[1:] + base
         base += len(begin)
-    return np.concatenate(out), np.concatenate(pointers)
+    return np.concatenate(out), pointers
 
 
 def rolling(h: np.ndarray, k: int, second: bool = False) -> np.ndarray:

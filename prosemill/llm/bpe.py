@@ -245,11 +245,12 @@ def _run(spec, names: list[str], with_ids: bool):
 
 
 def _bounds(part: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    begins, ends = [], []
-    for lo, hi in B.slices(offsets):
-        begin, end, _ = B.words(part[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-        begins.append(begin + offsets[lo])
-        ends.append(end + offsets[lo])
+    """Starts and ends of all words."""
+    begins, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lo, hi, a, b in B.pieces(part, offsets):
+        begin, end, _ = B.words(part[a:b], np.clip(offsets[lo : hi + 1] - a, 0, b - a))
+        begins.append(begin + a)
+        ends.append(end + a)
     return np.concatenate(begins), np.concatenate(ends)
 
 

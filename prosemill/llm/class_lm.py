@@ -47,13 +47,7 @@ _LOWER[65:91] += 32
 def _words(table, name: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of lower-cased texts, and where documents begin."""
     data, at = B.column(table, name)
-    out, pointers, base = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], 0
-    for lo, hi in B.slices(at):
-        h, p = B.hashed(_LOWER[data[at[lo] : at[hi]]], at[lo : hi + 1] - at[lo])
-        out.append(h)
-        pointers.append(p[1:] + base)
-        base += len(h)
-    return np.concatenate(out), np.concatenate(pointers)
+    return B.hashed(_LOWER[data[at[0] : at[-1]]], at - at[0])
 
 
 _ASK = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("words", pa.binary()), ("counts", pa.binary())])

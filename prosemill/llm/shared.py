@@ -2,37 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prosemill.session import checkpoint_dir, cut  # noqa: F401  operators take them from here
+
 #: Java regex of the word separators of most contracts: space and \x09-\x0D.
 SPACES = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a folder of our own only in local mode without that setting."""
-    context = spark.sparkContext
-    if known := context.getCheckpointDir():
-        return known
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    if not told:
-        master = context.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        told = tempfile.mkdtemp(prefix="prosemill-checkpoint-")
-    context.setCheckpointDir(told)
-    return context.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once, kept in the shared folder; its lineage ends there, so lost executors cost no recomputation."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

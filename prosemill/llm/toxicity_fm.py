@@ -36,6 +36,9 @@ BUCKETS, FEATURES, LEAST, FACTORS = 1 << 18, 1024, 25.0, 8
 FOLDS, THRESHOLD = 5, 0.5
 _SEPARATOR = np.ones(256, bool)
 _SEPARATOR[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
+#: Separators of texts that are not lower-cased yet.
+_RAW_SEPARATOR = _SEPARATOR.copy()
+_RAW_SEPARATOR[65:91] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -43,9 +46,9 @@ _LOWER[65:91] += 32
 def terms(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(document, bucket) of every term, with repeats."""
     docs, out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for lo, hi in B.slices(at):
-        part = _LOWER[data[at[lo] : at[hi]]]
-        begin, end, pointers = B.words(part, at[lo : hi + 1] - at[lo], _SEPARATOR)
+    for lo, hi, a, b in B.pieces(data, at, _RAW_SEPARATOR):
+        part = _LOWER[data[a:b]]
+        begin, end, pointers = B.words(part, np.clip(at[lo : hi + 1] - a, 0, b - a), _SEPARATOR)
         doc = np.repeat(np.arange(lo, hi), np.diff(pointers))
         for tag, size in ((0, None), (1, 4), (2, 5)):
             stop = end if size is None else np.minimum(end, begin + size)

@@ -372,3 +372,19 @@ def test_hashes_of_slices():
     assert r[0] == r[2] != r[1]
     values = np.sort(RNG.integers(0, 2**63, 1000).astype(np.uint64))
     assert (blocks.unpack(blocks.pack(values)) == values).all()
+
+
+def test_long_texts_are_cut_between_words():
+    texts = ["", "abc " * 50, "x" * 300, "tail", " \n", "y" * 90 + " z"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    whole = blocks.hashed(data, at)
+    old, blocks.SLICE = blocks.SLICE, 64
+    try:
+        parts = list(blocks.pieces(data, at, limit=64))
+        assert parts[0][2] == 0 and parts[-1][3] == len(data) and all(a[3] == b[2] for a, b in zip(parts, parts[1:]))
+        assert max(b - a for _, _, a, b in parts) <= 364
+        got = [np.concatenate(x) for x in zip(*[(blocks.hashed(data[at[i] : at[i + 1]], at[i : i + 2] - at[i])[0],) for i in range(len(texts))])][0]
+    finally:
+        blocks.SLICE = old
+    assert (got == whole[0]).all() and list(whole[1]) == [0, 0, 50, 51, 52, 52, 54]
