@@ -304,3 +304,87 @@ def lint_findings(spark, sf_dir):
 def text_scalars(spark, sf_dir):
     c = F.col("text")
     return docs(spark, sf_dir).select("doc_id", F.octet_length(c).cast("long").alias("bytes"), F.length(c).cast("long").alias("chars"), X.kebab(c).alias("slug"))
+
+
+# Derived corpora: what the raw text lacks is written around or into it, the same way on both sides.
+def _derived(spark, sf_dir, text, *detectors: str, cfg: C.Config | None = None) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    return findings(d, cfg or C.Config(), list(detectors)).join(_unmasked(spark, sf_dir), "doc_id", "left_semi")
+
+
+_t = F.col("text")
+
+
+@query(f"SELECT doc_id, CAST(count(*) AS BIGINT) AS paragraphs FROM (SELECT doc_id, unnest(string_split(replace(text, ', ', ' — '), chr(10) || chr(10))) AS p FROM documents WHERE {MASKED}) WHERE length(p) - length(replace(p, '—', '')) > 1 GROUP BY doc_id")
+def em_dashes(spark, sf_dir):
+    return _derived(spark, sf_dir, F.replace(_t, F.lit(", "), F.lit(" — ")), "D17").groupBy("doc_id").agg(F.count("*").alias("paragraphs"))
+
+
+@query(f"SELECT doc_id, 'from ' || lang || ' to ' || source || ' to ' || doc_id AS snippet FROM documents WHERE {MASKED}")
+def exaggerated_ranges(spark, sf_dir):
+    text = F.concat(F.lit("We go from "), "lang", F.lit(" to "), "source", F.lit(" to "), "doc_id", F.lit(".\n"), F.replace(_t, F.lit("from"), F.lit("fr")))
+    return _derived(spark, sf_dir, text, "D7").select("doc_id", "snippet")
+
+
+@query(f"SELECT doc_id, 'Why?' AS snippet FROM documents WHERE {MASKED} AND NOT regexp_matches(text, '^\\s*$')")
+def question_leads(spark, sf_dir):
+    return _derived(spark, sf_dir, F.concat(F.lit("Why? How? "), _t), "D10").select("doc_id", "snippet")
+
+
+@query(f"SELECT doc_id, CAST(len(regexp_extract_all(replace(text, ', ', '? '), '\\?\\s+[a-z]')) AS BIGINT) AS n FROM documents WHERE {MASKED} AND regexp_matches(replace(text, ', ', '? '), '\\?\\s+[a-z]')")
+def mid_sentence_questions(spark, sf_dir):
+    return _derived(spark, sf_dir, F.replace(_t, F.lit(", "), F.lit("? ")), "D11").groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT doc_id, CAST(2 * (length(text) - length(replace(text, ' the ', ''))) // 5 AS BIGINT) AS n FROM documents WHERE {MASKED} AND contains(text, ' the ') AND NOT regexp_matches(text, '[“”‘’]')")
+def curly_quotes(spark, sf_dir):
+    found = _derived(spark, sf_dir, F.replace(_t, F.lit(" the "), F.lit(" “the” ")), "D30")
+    plain = docs(spark, sf_dir).filter(~F.col("text").rlike("[“”‘’]")).select("doc_id")
+    return found.join(plain, "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT doc_id, CAST(len(string_split(text, chr(10))) AS INTEGER) AS items FROM documents WHERE {MASKED} AND len(string_split(text, chr(10))) > 7 AND NOT regexp_matches(text, chr(10) || '$')")
+def long_lists(spark, sf_dir):
+    found = _derived(spark, sf_dir, F.concat(F.lit("- "), F.replace(_t, F.lit("\n"), F.lit("\n- "))), "D20")
+    plain = docs(spark, sf_dir).filter(~F.col("text").endswith("\n")).select("doc_id")
+    return found.join(plain, "doc_id", "left_semi").select("doc_id", F.regexp_extract("message", r"^(\d+)", 1).cast("int").alias("items"))
+
+
+@query(f"SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n FROM documents WHERE {MASKED} AND NOT regexp_matches(text, chr(10) || '$')")
+def emoji_bullets(spark, sf_dir):
+    found = _derived(spark, sf_dir, F.concat(F.lit("- ✅ "), F.replace(_t, F.lit("\n"), F.lit("\n- ✅ "))), "D21")
+    plain = docs(spark, sf_dir).filter(~F.col("text").endswith("\n")).select("doc_id")
+    return found.join(plain, "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT d AS detector, count(*) AS n FROM documents, (SELECT unnest(['D19a', 'D19b', 'D19c', 'D19e', 'D19f', 'D19g', 'D19h', 'D26']) AS d) WHERE {MASKED} AND NOT regexp_matches(text, '(?:^|' || chr(10) || ')\\s*#') GROUP BY d")
+def heading_rules(spark, sf_dir):
+    """Every rule on headings, on documents between headings that break each of them."""
+    head = "#### deep one\n\n# Why so?\n\n# \U0001f680 go\n\n# Two Capital Words\n\n# misc\n\n# summary\n\n# conclusion\n\n"
+    rules = replace(C.DEFAULT_RULES, max_headings=3, required_headings=("goal",), banned_headings=("^misc$",))
+    d = docs(spark, sf_dir).filter(~F.col("text").rlike(r"(?:^|\n)\s*#")).select("doc_id", F.concat(F.lit(head), "text").alias("text"))
+    found = findings(d, C.Config(rules=rules), ["D19a", "D19b", "D19c", "D19e", "D19f", "D19g", "D19h", "D26"]).join(_unmasked(spark, sf_dir), "doc_id", "left_semi")
+    return found.groupBy("detector").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {SENTENCES} SELECT doc_id, 1::BIGINT AS thin FROM sent WHERE {MASKED} AND NOT doc_id IN (SELECT doc_id FROM documents WHERE regexp_matches(text, '(?:^|' || chr(10) || ')\\s*(?:#|[-*+]\\s|[0-9][0-9\\s]*[.)])')) GROUP BY doc_id HAVING count(*) < 20")
+def thin_sections(spark, sf_dir):
+    """Documents of fewer than 20 sentences below one heading."""
+    plain = docs(spark, sf_dir).filter(~F.col("text").rlike(r"(?:^|\n)\s*(?:#|[-*+]\s|[0-9][0-9\s]*[.)])"))
+    d = plain.select("doc_id", F.concat(F.lit("# head\n"), "text").alias("text"))
+    found = findings(d, C.Config(rules=replace(C.DEFAULT_RULES, min_section_sentences=20)), ["D25"]).join(_unmasked(spark, sf_dir), "doc_id", "left_semi")
+    return found.groupBy("doc_id").agg(F.count("*").alias("thin"))
+
+
+@query(f"SELECT doc_id, CAST(strlen('<!-- x:off -->' || source || '<!-- x:on -->') AS BIGINT) AS off_bytes, CAST(strlen('https://a.b/' || source) AS BIGINT) AS url_bytes, CAST(strlen(source) + 2 AS BIGINT) AS code_bytes FROM documents WHERE {MASKED}")
+def off_url_and_code_masks(spark, sf_dir):
+    text = F.concat(F.lit("<!-- x:off -->"), "source", F.lit("<!-- x:on -->\n`"), "source", F.lit("` https://a.b/"), "source", F.lit("\n"), "text")
+    d = table(spark, sf_dir, "documents").select("doc_id", text.alias("text")).join(_unmasked(spark, sf_dir), "doc_id", "left_semi")
+    size = lambda k: (F.get("masks", k)["to"] - F.get("masks", k)["at"])
+    return add_masks(d).select("doc_id", size(0).alias("off_bytes"), size(2).alias("url_bytes"), size(1).alias("code_bytes"))
+
+
+@query(f"WITH {SENTENCES}, w AS (SELECT doc_id, {WORDS.format('s')} AS n FROM sent WHERE {MASKED}) SELECT 'sentence-length' AS category, count(*) AS n FROM w WHERE n > 28")
+def category_filter(spark, sf_dir):
+    found = L.selected(_tuned(spark, sf_dir, "D9", "D14"), only=["sentence_length"])
+    return found.groupBy("category").agg(F.count("*").alias("n"))
