@@ -35,7 +35,6 @@ sent AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k,
 """
 WORDS = "len(list_filter(string_split_regex({0}, '\\s+'), lambda w: w <> ''))"
 NORMAL = r"trim(translate(regexp_replace(regexp_replace({0}, '[^\p{L}\p{N}\s]', '', 'g'), '\s+', ' ', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))"
-MASKED = "doc_id NOT IN (SELECT doc_id FROM documents WHERE regexp_matches(text, 'https?://|www\\.|`|~~~'))"
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,26 +77,21 @@ def naive_sentences(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.explode(X.naive_sentences(F.col("text"))).alias("n")).groupBy("doc_id").agg(F.count("*").alias("sentences"), F.sum("n").cast("long").alias("words"))
 
 
-@query(f"WITH {SENTENCES}, w AS (SELECT doc_id, {WORDS.format('s')} AS n FROM sent WHERE {MASKED}) SELECT doc_id, count(*) AS n, CAST(max(n) AS INTEGER) AS longest FROM w WHERE n > 28 GROUP BY doc_id")
+@query(f"WITH {SENTENCES}, w AS (SELECT doc_id, {WORDS.format('s')} AS n FROM sent) SELECT doc_id, count(*) AS n, CAST(max(n) AS INTEGER) AS longest FROM w WHERE n > 28 GROUP BY doc_id")
 def long_sentences(spark, sf_dir):
     found = findings(docs(spark, sf_dir), detectors=["D9"])
-    found = found.join(_unmasked(spark, sf_dir), "doc_id", "left_semi")
+    found = found
     return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.regexp_extract("message", r"^(\d+)", 1).cast("int")).alias("longest"))
 
 
-def _unmasked(spark, sf_dir) -> DataFrame:
-    """Documents that hold nothing to mask: DuckDB has no masks of its own in these oracles."""
-    return docs(spark, sf_dir).filter(~F.coalesce(F.col("text").rlike(r"https?://|www\.|`|~~~"), F.lit(False))).select("doc_id")
-
-
 def _tuned(spark, sf_dir, *detectors: str, cfg: C.Config | None = None) -> DataFrame:
-    return findings(docs(spark, sf_dir), cfg or tuned(), list(detectors)).join(_unmasked(spark, sf_dir), "doc_id", "left_semi")
+    return findings(docs(spark, sf_dir), cfg or tuned(), list(detectors))
 
 
 def _phrase_sql(word: str, category: str, severity: str) -> str:
     # separators are doubled, so neighbouring hits do not share one
     edge = r"[^\p{L}\p{N}_''-]"
-    return rf"""WITH t AS (SELECT doc_id, regexp_replace(text, '({edge})', '\1\1', 'g') AS t FROM documents WHERE {MASKED}),
+    return rf"""WITH t AS (SELECT doc_id, regexp_replace(text, '({edge})', '\1\1', 'g') AS t FROM documents),
 h AS (SELECT doc_id, len(regexp_extract_all(t, '(?i)(?:^|{edge}){word}(?:s|es|ed|ing|ly|d)?(?:{edge}|$)')) AS n FROM t)
 SELECT doc_id, '{category}' AS category, '{severity}' AS severity, CAST(n AS BIGINT) AS n FROM h WHERE n > 0"""
 
@@ -123,7 +117,7 @@ def call_to_action(spark, sf_dir):
 
 def _sentence_phrase_sql(words: str, drop: str, category: str, severity: str) -> str:
     edge = r"[^\p{L}\p{N}_''-]"
-    return rf"""WITH {SENTENCES}, t AS (SELECT doc_id, i, s, regexp_replace(s, '({edge})', '\1\1', 'g') AS t FROM sent WHERE {MASKED}),
+    return rf"""WITH {SENTENCES}, t AS (SELECT doc_id, i, s, regexp_replace(s, '({edge})', '\1\1', 'g') AS t FROM sent),
 h AS (SELECT doc_id, s, len(regexp_extract_all(t, '(?i)(?:^|{edge})(?:{words})(?:s|es|ed|ing|ly|d)?(?:{edge}|$)')) AS n FROM t)
 SELECT doc_id, '{category}' AS category, {severity} AS severity, CAST(sum(n) AS BIGINT) AS n FROM h WHERE n > 0 AND NOT ({drop}) GROUP BY ALL"""
 
@@ -152,7 +146,7 @@ def confidence_phrases(spark, sf_dir):
     return _by_document(_tuned(spark, sf_dir, "D24a"))
 
 
-@query(rf"SELECT doc_id, CAST(len(regexp_extract_all(text, '(?i)\bto the\b')) + CASE WHEN regexp_matches(text, '(?i)^de') THEN 1 ELSE 0 END AS BIGINT) AS n FROM documents WHERE {MASKED} AND (regexp_matches(text, '(?i)\bto the\b') OR regexp_matches(text, '(?i)^de'))")
+@query(rf"SELECT doc_id, CAST(len(regexp_extract_all(text, '(?i)\bto the\b')) + CASE WHEN regexp_matches(text, '(?i)^de') THEN 1 ELSE 0 END AS BIGINT) AS n FROM documents WHERE (regexp_matches(text, '(?i)\bto the\b') OR regexp_matches(text, '(?i)^de'))")
 def templates(spark, sf_dir):
     return _tuned(spark, sf_dir, "D6").groupBy("doc_id").agg(F.count("*").alias("n"))
 
@@ -160,41 +154,41 @@ def templates(spark, sf_dir):
 _CONNECTED = " + ".join(f"(length(lower(s)) - length(replace(lower(s), '{t}', ''))) // {len(t)}" for t in C.CONNECTORS)
 
 
-@query(f"WITH {SENTENCES.replace("coalesce(text, '')", "replace(replace(coalesce(text, ''), ' the ', ' thus '), ' and ', ' therefore ')")} SELECT doc_id, count(*) AS n FROM sent WHERE {MASKED} AND ({_CONNECTED}) > 1 GROUP BY doc_id")
+@query(f"WITH {SENTENCES.replace("coalesce(text, '')", "replace(replace(coalesce(text, ''), ' the ', ' thus '), ' and ', ' therefore ')")} SELECT doc_id, count(*) AS n FROM sent WHERE ({_CONNECTED}) > 1 GROUP BY doc_id")
 def connectors(spark, sf_dir):
     """Common words stand in for connectors, of which the corpus has none."""
     d = docs(spark, sf_dir).withColumn("text", F.replace(F.replace("text", F.lit(" the "), F.lit(" thus ")), F.lit(" and "), F.lit(" therefore ")))
-    return findings(d, tuned(), ["D8"]).join(_unmasked(spark, sf_dir), "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n"))
+    return findings(d, tuned(), ["D8"]).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query(rf"""WITH {SENTENCES}, n AS (SELECT doc_id, i, {NORMAL.replace("{0}", "s")} AS t FROM sent WHERE {MASKED}),
+@query(rf"""WITH {SENTENCES}, n AS (SELECT doc_id, i, {NORMAL.replace("{0}", "s")} AS t FROM sent),
 r AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id, t ORDER BY i) AS k FROM n WHERE strlen(t) >= 12) SELECT doc_id, count(*) AS n FROM r WHERE k > 1 GROUP BY doc_id""")
 def repetition(spark, sf_dir):
     return _tuned(spark, sf_dir, "D14").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query(rf"""WITH {SENTENCES}, f AS (SELECT doc_id, i, CASE WHEN regexp_matches(s, '^[#*-]') THEN NULL ELSE lower(regexp_replace(regexp_replace(regexp_extract(s, '^\s*(\S+)', 1), '^[^\p{{L}}\p{{N}}]+', ''), '[^\p{{L}}\p{{N}}]+$', '')) END AS w FROM sent WHERE {MASKED}),
+@query(rf"""WITH {SENTENCES}, f AS (SELECT doc_id, i, CASE WHEN regexp_matches(s, '^[#*-]') THEN NULL ELSE lower(regexp_replace(regexp_replace(regexp_extract(s, '^\s*(\S+)', 1), '^[^\p{{L}}\p{{N}}]+', ''), '[^\p{{L}}\p{{N}}]+$', '')) END AS w FROM sent),
 g AS (SELECT doc_id, w, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM f) SELECT doc_id, count(*) AS n FROM g WHERE w = p AND w IN ('the', 'of', 'de', 'die') GROUP BY doc_id""")
 def cadence(spark, sf_dir):
     return _tuned(spark, sf_dir, "D12").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query(rf"WITH p AS (SELECT doc_id, length(p) - length(replace(p, '!', '')) AS n FROM (SELECT doc_id, unnest(string_split_regex(text, '\n[ \t]*\n')) AS p FROM documents WHERE {MASKED})) SELECT doc_id, count(*) AS paragraphs FROM p WHERE n > 1 GROUP BY doc_id")
+@query(rf"WITH p AS (SELECT doc_id, length(p) - length(replace(p, '!', '')) AS n FROM (SELECT doc_id, unnest(string_split_regex(text, '\n[ \t]*\n')) AS p FROM documents)) SELECT doc_id, count(*) AS paragraphs FROM p WHERE n > 1 GROUP BY doc_id")
 def exclamations(spark, sf_dir):
     return _tuned(spark, sf_dir, "D15").groupBy("doc_id").agg(F.count("*").alias("paragraphs"))
 
 
-@query(rf"SELECT doc_id, CAST(len(regexp_extract_all(text, '(?i)(?:[\p{{L}}\p{{N}}_-]+),\s+[\p{{L}}\p{{N}}_-]+,\s+(?:and|&)\s+[\p{{L}}\p{{N}}_-]+')) AS BIGINT) AS n FROM documents WHERE {MASKED} AND regexp_matches(text, '(?i)(?:[\p{{L}}\p{{N}}_-]+),\s+[\p{{L}}\p{{N}}_-]+,\s+(?:and|&)\s+[\p{{L}}\p{{N}}_-]+')")
+@query(rf"SELECT doc_id, CAST(len(regexp_extract_all(text, '(?i)(?:[\p{{L}}\p{{N}}_-]+),\s+[\p{{L}}\p{{N}}_-]+,\s+(?:and|&)\s+[\p{{L}}\p{{N}}_-]+')) AS BIGINT) AS n FROM documents WHERE regexp_matches(text, '(?i)(?:[\p{{L}}\p{{N}}_-]+),\s+[\p{{L}}\p{{N}}_-]+,\s+(?:and|&)\s+[\p{{L}}\p{{N}}_-]+')")
 def rule_of_three(spark, sf_dir):
     return _tuned(spark, sf_dir, "D16").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query(rf"WITH p AS (SELECT doc_id, len(regexp_extract_all(p, '(?s)\*\*[^*]+\*\*|__[^_]+__')) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS p FROM documents WHERE {MASKED})) SELECT doc_id, count(*) AS paragraphs FROM p WHERE n > 3 GROUP BY doc_id")
+@query(rf"WITH p AS (SELECT doc_id, len(regexp_extract_all(p, '(?s)\*\*[^*]+\*\*|__[^_]+__')) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS p FROM documents)) SELECT doc_id, count(*) AS paragraphs FROM p WHERE n > 3 GROUP BY doc_id")
 def bold_spans(spark, sf_dir):
     return _tuned(spark, sf_dir, "D18").groupBy("doc_id").agg(F.count("*").alias("paragraphs"))
 
 
-@query(rf"""WITH {SENTENCES}, n AS (SELECT doc_id, {WORDS.format('s')} AS n FROM sent WHERE {MASKED} AND NOT starts_with(s, '#')), a AS (SELECT doc_id, count(*) AS c FROM sent GROUP BY doc_id)
+@query(rf"""WITH {SENTENCES}, n AS (SELECT doc_id, {WORDS.format('s')} AS n FROM sent WHERE NOT starts_with(s, '#')), a AS (SELECT doc_id, count(*) AS c FROM sent GROUP BY doc_id)
 SELECT doc_id FROM n JOIN a USING (doc_id) WHERE n >= 3 AND c >= 5 GROUP BY doc_id HAVING count(*) >= 8 AND stddev_pop(n) / avg(n) < 0.9""")
 def uniform_lengths(spark, sf_dir):
     return _tuned(spark, sf_dir, "D31").select("doc_id")
@@ -204,40 +198,40 @@ _EDGE = r"[^\p{L}\p{N}_]"
 _PASSIVE = rf"(?i)(?:^|{_EDGE})(?:is|are|was|were|be|been|being)\s+(?:[\p{{L}}\p{{N}}_]+ed|[\p{{L}}\p{{N}}_]+en|made|done|said|seen|known|shown|built|sent|left|found|told|thought|used|called|considered|designed|intended)(?:{_EDGE}|$)"
 
 
-@query(rf"WITH {SENTENCES} SELECT doc_id FROM sent WHERE {MASKED} GROUP BY doc_id HAVING count(*) >= 6 AND count(*) FILTER (regexp_matches(s, '{_PASSIVE}')) > 0.02 * count(*)")
+@query(rf"WITH {SENTENCES} SELECT doc_id FROM sent GROUP BY doc_id HAVING count(*) >= 6 AND count(*) FILTER (regexp_matches(s, '{_PASSIVE}')) > 0.02 * count(*)")
 def passive_density(spark, sf_dir):
     return _tuned(spark, sf_dir, "D32").select("doc_id")
 
 
-@query(rf"""WITH {SENTENCES}, t AS (SELECT doc_id, list_filter(string_split_regex(s, '\s+'), lambda w: w <> '') AS w FROM sent WHERE {MASKED} AND NOT regexp_matches(s, '^[#*-]')),
+@query(rf"""WITH {SENTENCES}, t AS (SELECT doc_id, list_filter(string_split_regex(s, '\s+'), lambda w: w <> '') AS w FROM sent WHERE NOT regexp_matches(s, '^[#*-]')),
 o AS (SELECT doc_id, lower(w[1] || ' ' || w[2]) AS o FROM t WHERE len(w) >= 2), c AS (SELECT doc_id, o, count(*) AS n, sum(count(*)) OVER (PARTITION BY doc_id) AS total FROM o GROUP BY doc_id, o)
 SELECT doc_id, arg_min(o, (-n, o)) AS opening FROM c WHERE n >= 4 AND n > 0.4 * total GROUP BY doc_id""")
 def repeated_openings(spark, sf_dir):
     return _tuned(spark, sf_dir, "D33").select("doc_id", F.regexp_replace("message", "^opening: ", "").alias("opening"))
 
 
-@query(rf"SELECT doc_id, CAST(len(regexp_extract_all(text, '\b\d{{2,}}%')) AS BIGINT) AS n FROM documents WHERE {MASKED} AND regexp_matches(text, '\b\d{{2,}}%')")
+@query(rf"SELECT doc_id, CAST(len(regexp_extract_all(text, '\b\d{{2,}}%')) AS BIGINT) AS n FROM documents WHERE regexp_matches(text, '\b\d{{2,}}%')")
 def percent_claims(spark, sf_dir):
     return _tuned(spark, sf_dir, "D24b").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query(rf"WITH {SENTENCES} SELECT doc_id, count(*) AS n FROM sent WHERE {MASKED} AND NOT starts_with(s, '#') AND NOT {_SPECIFIC} AND regexp_matches(s, '(?i)(?:^|[^\p{{L}}\p{{N}}_''-])(?:there|that)(?:s|es|ed|ing|ly|d)?(?:[^\p{{L}}\p{{N}}_''-]|$)') GROUP BY doc_id")
+@query(rf"WITH {SENTENCES} SELECT doc_id, count(*) AS n FROM sent WHERE NOT starts_with(s, '#') AND NOT {_SPECIFIC} AND regexp_matches(s, '(?i)(?:^|[^\p{{L}}\p{{N}}_''-])(?:there|that)(?:s|es|ed|ing|ly|d)?(?:[^\p{{L}}\p{{N}}_''-]|$)') GROUP BY doc_id")
 def broad_terms(spark, sf_dir):
     return _tuned(spark, sf_dir, "D13").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT doc_id, CASE WHEN NOT regexp_matches(text, 'the') THEN 1 ELSE 0 END AS missing, CAST(len(regexp_extract_all(text, '[0-9]{{3}}')) AS BIGINT) AS forbidden FROM documents WHERE {MASKED} AND (NOT regexp_matches(text, 'the') OR regexp_matches(text, '[0-9]{{3}}'))")
+@query(f"SELECT doc_id, CASE WHEN NOT regexp_matches(text, 'the') THEN 1 ELSE 0 END AS missing, CAST(len(regexp_extract_all(text, '[0-9]{{3}}')) AS BIGINT) AS forbidden FROM documents WHERE (NOT regexp_matches(text, 'the') OR regexp_matches(text, '[0-9]{{3}}'))")
 def required_and_forbidden(spark, sf_dir):
     found = _tuned(spark, sf_dir, "D28", "D29")
     return found.groupBy("doc_id").agg(F.count(F.when(F.col("detector") == "D28", 1)).cast("int").alias("missing"), F.count(F.when(F.col("detector") == "D29", 1)).alias("forbidden"))
 
 
-@query(f"SELECT doc_id, 1 AS missing FROM documents WHERE {MASKED} AND len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '^\\s*```'))) < 1")
+@query(f"SELECT doc_id, 1 AS missing FROM documents WHERE len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '^\\s*```'))) < 1")
 def min_code_blocks(spark, sf_dir):
     return _tuned(spark, sf_dir, "D27").select("doc_id", F.lit(1).alias("missing"))
 
 
-@query(rf"""WITH {SENTENCES}, w AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, {WORDS.format('s')} AS n FROM sent WHERE {MASKED}) WHERE n > 28 GROUP BY doc_id),
+@query(rf"""WITH {SENTENCES}, w AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, {WORDS.format('s')} AS n FROM sent) WHERE n > 28 GROUP BY doc_id),
 d AS (SELECT doc_id, len(list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: regexp_matches(x, '\p{{L}}'))) AS words, coalesce(n, 0) AS n FROM documents LEFT JOIN w USING (doc_id))
 SELECT doc_id, CAST(words AS BIGINT) AS word_count, CAST(n AS BIGINT) AS n_findings, round(CASE WHEN words = 0 THEN n ELSE n * 100.0::DOUBLE / words END, 6) AS density FROM d""")
 def density_report(spark, sf_dir):
@@ -245,7 +239,7 @@ def density_report(spark, sf_dir):
     return L.document_reports(own, _tuned(spark, sf_dir, "D9")).select("doc_id", "word_count", "n_findings", "density")
 
 
-@query(rf"WITH {SENTENCES}, w AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, {WORDS.format('s')} AS n FROM sent WHERE {MASKED}) WHERE n > 28 GROUP BY doc_id) SELECT doc_id, n AS n_findings FROM w ORDER BY n DESC, doc_id LIMIT 8")
+@query(rf"WITH {SENTENCES}, w AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, {WORDS.format('s')} AS n FROM sent) WHERE n > 28 GROUP BY doc_id) SELECT doc_id, n AS n_findings FROM w ORDER BY n DESC, doc_id LIMIT 8")
 def most_findings(spark, sf_dir):
     own = docs(spark, sf_dir)
     return L.ranked_files(L.document_reports(own, _tuned(spark, sf_dir, "D9"))).select("doc_id", "n_findings")
@@ -261,18 +255,17 @@ def markdown(spark, sf_dir) -> DataFrame:
     return d.select("doc_id", parts.alias("text"))
 
 
-@query(f"SELECT doc_id, CAST(strlen(t) - strlen(regexp_extract(t, '```\\nwith this\\n```\\n[\\s\\S]*$')) AS BIGINT) AS fence_at, CAST(18 AS BIGINT) AS fence_bytes FROM (SELECT doc_id, {_MD} AS t, text FROM documents) WHERE NOT regexp_matches(text, '`|~~~')")
+@query(f"SELECT doc_id, CAST(strlen(t) - strlen(regexp_extract(t, '```\\nwith this\\n```\\n[\\s\\S]*$')) AS BIGINT) AS fence_at, CAST(18 AS BIGINT) AS fence_bytes FROM (SELECT doc_id, {_MD} AS t, text FROM documents)")
 def fence_masks(spark, sf_dir):
-    d = markdown(spark, sf_dir).filter(~F.col("text").rlike(r"`(?!``)[^`\n]|~~~"))
+    d = markdown(spark, sf_dir)
     m = add_masks(d).select("doc_id", F.explode("masks").alias("m"), "text").filter(F.substring(F.encode("text", "UTF-8"), (F.col("m.at") + 1).cast("int"), F.lit(3)) == F.lit(b"```"))
     return m.select("doc_id", F.col("m.at").alias("fence_at"), (F.col("m.to") - F.col("m.at")).alias("fence_bytes"))
 
 
-@query("SELECT doc_id, 1 AS rhetorical, 1 AS bold_lists FROM documents WHERE NOT regexp_matches(text, '`|~~~') AND text IS NOT NULL")
+@query("SELECT doc_id, 1 AS rhetorical, 1 AS bold_lists FROM documents WHERE text IS NOT NULL")
 def markdown_structure(spark, sf_dir):
-    found = findings(markdown(spark, sf_dir).filter(~F.col("text").rlike(r"`(?!``)[^`\n]|~~~")), detectors=["D19b", "D22"])
-    plain = docs(spark, sf_dir).filter(~F.col("text").rlike("`|~~~")).select("doc_id")
-    return found.join(plain, "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.when(F.col("detector") == "D19b", 1)).alias("rhetorical"), F.max(F.when(F.col("detector") == "D22", 1)).alias("bold_lists"))
+    found = findings(markdown(spark, sf_dir), detectors=["D19b", "D22"])
+    return found.groupBy("doc_id").agg(F.max(F.when(F.col("detector") == "D19b", 1)).alias("rhetorical"), F.max(F.when(F.col("detector") == "D22", 1)).alias("bold_lists"))
 
 
 @query("SELECT doc_id, CASE WHEN source LIKE 'src1%' THEN 'first' WHEN lang = 'de' THEN 'german' ELSE 'default' END AS profile FROM documents")
@@ -309,82 +302,78 @@ def text_scalars(spark, sf_dir):
 # Derived corpora: what the raw text lacks is written around or into it, the same way on both sides.
 def _derived(spark, sf_dir, text, *detectors: str, cfg: C.Config | None = None) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
-    return findings(d, cfg or C.Config(), list(detectors)).join(_unmasked(spark, sf_dir), "doc_id", "left_semi")
+    return findings(d, cfg or C.Config(), list(detectors))
 
 
 _t = F.col("text")
 
 
-@query(f"SELECT doc_id, CAST(count(*) AS BIGINT) AS paragraphs FROM (SELECT doc_id, unnest(string_split(replace(text, ', ', ' — '), chr(10) || chr(10))) AS p FROM documents WHERE {MASKED}) WHERE length(p) - length(replace(p, '—', '')) > 1 GROUP BY doc_id")
+@query(f"SELECT doc_id, CAST(count(*) AS BIGINT) AS paragraphs FROM (SELECT doc_id, unnest(string_split(replace(text, ', ', ' — '), chr(10) || chr(10))) AS p FROM documents) WHERE length(p) - length(replace(p, '—', '')) > 1 GROUP BY doc_id")
 def em_dashes(spark, sf_dir):
     return _derived(spark, sf_dir, F.replace(_t, F.lit(", "), F.lit(" — ")), "D17").groupBy("doc_id").agg(F.count("*").alias("paragraphs"))
 
 
-@query(f"SELECT doc_id, 'from ' || lang || ' to ' || source || ' to ' || doc_id AS snippet FROM documents WHERE {MASKED}")
+@query(f"SELECT doc_id, 'from ' || lang || ' to ' || source || ' to ' || doc_id AS snippet FROM documents")
 def exaggerated_ranges(spark, sf_dir):
     text = F.concat(F.lit("We go from "), "lang", F.lit(" to "), "source", F.lit(" to "), "doc_id", F.lit(".\n"), F.replace(_t, F.lit("from"), F.lit("fr")))
     return _derived(spark, sf_dir, text, "D7").select("doc_id", "snippet")
 
 
-@query(f"SELECT doc_id, 'Why?' AS snippet FROM documents WHERE {MASKED} AND NOT regexp_matches(text, '^\\s*$')")
+@query(f"SELECT doc_id, 'Why?' AS snippet FROM documents WHERE NOT regexp_matches(text, '^\\s*$')")
 def question_leads(spark, sf_dir):
     return _derived(spark, sf_dir, F.concat(F.lit("Why? How? "), _t), "D10").select("doc_id", "snippet")
 
 
-@query(f"SELECT doc_id, CAST(len(regexp_extract_all(replace(text, ', ', '? '), '\\?\\s+[a-z]')) AS BIGINT) AS n FROM documents WHERE {MASKED} AND regexp_matches(replace(text, ', ', '? '), '\\?\\s+[a-z]')")
+@query(f"SELECT doc_id, CAST(len(regexp_extract_all(replace(text, ', ', '? '), '\\?\\s+[a-z]')) AS BIGINT) AS n FROM documents WHERE regexp_matches(replace(text, ', ', '? '), '\\?\\s+[a-z]')")
 def mid_sentence_questions(spark, sf_dir):
     return _derived(spark, sf_dir, F.replace(_t, F.lit(", "), F.lit("? ")), "D11").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT doc_id, CAST(2 * (length(text) - length(replace(text, ' the ', ''))) // 5 AS BIGINT) AS n FROM documents WHERE {MASKED} AND contains(text, ' the ') AND NOT regexp_matches(text, '[“”‘’]')")
+@query("SELECT doc_id, CAST(length(t) - length(regexp_replace(t, '[“”‘’]', '', 'g')) AS BIGINT) AS n FROM (SELECT doc_id, replace(text, ' the ', ' “the” ') AS t FROM documents) WHERE regexp_matches(t, '[“”‘’]')")
 def curly_quotes(spark, sf_dir):
-    found = _derived(spark, sf_dir, F.replace(_t, F.lit(" the "), F.lit(" “the” ")), "D30")
-    plain = docs(spark, sf_dir).filter(~F.col("text").rlike("[“”‘’]")).select("doc_id")
-    return found.join(plain, "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n"))
+    return _derived(spark, sf_dir, F.replace(_t, F.lit(" the "), F.lit(" “the” ")), "D30").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT doc_id, CAST(len(string_split(text, chr(10))) AS INTEGER) AS items FROM documents WHERE {MASKED} AND len(string_split(text, chr(10))) > 7 AND NOT regexp_matches(text, chr(10) || '$')")
+@query(f"SELECT doc_id, CAST(len(string_split(text, chr(10))) AS INTEGER) AS items FROM documents WHERE len(string_split(text, chr(10))) > 7")
 def long_lists(spark, sf_dir):
     found = _derived(spark, sf_dir, F.concat(F.lit("- "), F.replace(_t, F.lit("\n"), F.lit("\n- "))), "D20")
-    plain = docs(spark, sf_dir).filter(~F.col("text").endswith("\n")).select("doc_id")
-    return found.join(plain, "doc_id", "left_semi").select("doc_id", F.regexp_extract("message", r"^(\d+)", 1).cast("int").alias("items"))
+    return found.select("doc_id", F.regexp_extract("message", r"^(\d+)", 1).cast("int").alias("items"))
 
 
-@query(f"SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n FROM documents WHERE {MASKED} AND NOT regexp_matches(text, chr(10) || '$')")
+@query(f"SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n FROM documents")
 def emoji_bullets(spark, sf_dir):
     found = _derived(spark, sf_dir, F.concat(F.lit("- ✅ "), F.replace(_t, F.lit("\n"), F.lit("\n- ✅ "))), "D21")
-    plain = docs(spark, sf_dir).filter(~F.col("text").endswith("\n")).select("doc_id")
-    return found.join(plain, "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n"))
+    return found.groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT d AS detector, count(*) AS n FROM documents, (SELECT unnest(['D19a', 'D19b', 'D19c', 'D19e', 'D19f', 'D19g', 'D19h', 'D26']) AS d) WHERE {MASKED} AND NOT regexp_matches(text, '(?:^|' || chr(10) || ')\\s*#') GROUP BY d")
+@query(f"SELECT d AS detector, count(*) AS n FROM documents, (SELECT unnest(['D19a', 'D19b', 'D19c', 'D19e', 'D19f', 'D19g', 'D19h', 'D26']) AS d) WHERE NOT regexp_matches(text, '(?:^|' || chr(10) || ')\\s*#') GROUP BY d")
 def heading_rules(spark, sf_dir):
     """Every rule on headings, on documents between headings that break each of them."""
     head = "#### deep one\n\n# Why so?\n\n# \U0001f680 go\n\n# Two Capital Words\n\n# misc\n\n# summary\n\n# conclusion\n\n"
     rules = replace(C.DEFAULT_RULES, max_headings=3, required_headings=("goal",), banned_headings=("^misc$",))
     d = docs(spark, sf_dir).filter(~F.col("text").rlike(r"(?:^|\n)\s*#")).select("doc_id", F.concat(F.lit(head), "text").alias("text"))
-    found = findings(d, C.Config(rules=rules), ["D19a", "D19b", "D19c", "D19e", "D19f", "D19g", "D19h", "D26"]).join(_unmasked(spark, sf_dir), "doc_id", "left_semi")
+    found = findings(d, C.Config(rules=rules), ["D19a", "D19b", "D19c", "D19e", "D19f", "D19g", "D19h", "D26"])
     return found.groupBy("detector").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {SENTENCES} SELECT doc_id, 1::BIGINT AS thin FROM sent WHERE {MASKED} AND NOT doc_id IN (SELECT doc_id FROM documents WHERE regexp_matches(text, '(?:^|' || chr(10) || ')\\s*(?:#|[-*+]\\s|[0-9][0-9\\s]*[.)])')) GROUP BY doc_id HAVING count(*) < 20")
+@query(f"WITH {SENTENCES} SELECT doc_id, 1::BIGINT AS thin FROM sent WHERE NOT doc_id IN (SELECT doc_id FROM documents WHERE regexp_matches(text, '(?:^|' || chr(10) || ')\\s*(?:#|[-*+]\\s|[0-9][0-9\\s]*[.)])')) GROUP BY doc_id HAVING count(*) < 20")
 def thin_sections(spark, sf_dir):
     """Documents of fewer than 20 sentences below one heading."""
     plain = docs(spark, sf_dir).filter(~F.col("text").rlike(r"(?:^|\n)\s*(?:#|[-*+]\s|[0-9][0-9\s]*[.)])"))
     d = plain.select("doc_id", F.concat(F.lit("# head\n"), "text").alias("text"))
-    found = findings(d, C.Config(rules=replace(C.DEFAULT_RULES, min_section_sentences=20)), ["D25"]).join(_unmasked(spark, sf_dir), "doc_id", "left_semi")
+    found = findings(d, C.Config(rules=replace(C.DEFAULT_RULES, min_section_sentences=20)), ["D25"])
     return found.groupBy("doc_id").agg(F.count("*").alias("thin"))
 
 
-@query(f"SELECT doc_id, CAST(strlen('<!-- x:off -->' || source || '<!-- x:on -->') AS BIGINT) AS off_bytes, CAST(strlen('https://a.b/' || source) AS BIGINT) AS url_bytes, CAST(strlen(source) + 2 AS BIGINT) AS code_bytes FROM documents WHERE {MASKED}")
+@query(f"SELECT doc_id, CAST(strlen('<!-- x:off -->' || source || '<!-- x:on -->') AS BIGINT) AS off_bytes, CAST(strlen('https://a.b/' || source) AS BIGINT) AS url_bytes, CAST(strlen(source) + 2 AS BIGINT) AS code_bytes FROM documents")
 def off_url_and_code_masks(spark, sf_dir):
     text = F.concat(F.lit("<!-- x:off -->"), "source", F.lit("<!-- x:on -->\n`"), "source", F.lit("` https://a.b/"), "source", F.lit("\n"), "text")
-    d = table(spark, sf_dir, "documents").select("doc_id", text.alias("text")).join(_unmasked(spark, sf_dir), "doc_id", "left_semi")
+    d = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
     size = lambda k: (F.get("masks", k)["to"] - F.get("masks", k)["at"])
     return add_masks(d).select("doc_id", size(0).alias("off_bytes"), size(2).alias("url_bytes"), size(1).alias("code_bytes"))
 
 
-@query(f"WITH {SENTENCES}, w AS (SELECT doc_id, {WORDS.format('s')} AS n FROM sent WHERE {MASKED}) SELECT 'sentence-length' AS category, count(*) AS n FROM w WHERE n > 28")
+@query(f"WITH {SENTENCES}, w AS (SELECT doc_id, {WORDS.format('s')} AS n FROM sent) SELECT 'sentence-length' AS category, count(*) AS n FROM w WHERE n > 28")
 def category_filter(spark, sf_dir):
     found = L.selected(_tuned(spark, sf_dir, "D9", "D14"), only=["sentence_length"])
     return found.groupBy("category").agg(F.count("*").alias("n"))
