@@ -11,7 +11,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prosemill.functions.text import jaccard
 from prosemill.session import cut
 
 
@@ -27,7 +26,8 @@ def edge_stats(edges: DataFrame) -> DataFrame:
 
 def degrees(nodes: DataFrame, edges: DataFrame, key: str = "path") -> DataFrame:
     """(key, n_in, n_out) of every node, from resolved edges."""
-    ends = edges.select(F.col("from").alias(key), F.lit(0).alias("i"), F.lit(1).alias("o")).union(edges.select(F.col("to"), F.lit(1), F.lit(0)))
+    end = lambda c, i, o: F.struct(F.col(c).alias(key), F.lit(i).alias("i"), F.lit(o).alias("o"))
+    ends = edges.select(F.explode(F.array(end("from", 0, 1), end("to", 1, 0))).alias("e")).select("e.*")
     sums = ends.groupBy(key).agg(F.sum("i").alias("n_in"), F.sum("o").alias("n_out"))
     return nodes.select(key).join(sums, key, "left").select(key, F.coalesce("n_in", F.lit(0)).cast("long").alias("n_in"), F.coalesce("n_out", F.lit(0)).cast("long").alias("n_out"))
 
@@ -133,22 +133,24 @@ def neighbours(edges: DataFrame) -> DataFrame:
 def rename_candidates(removed: DataFrame, added: DataFrame, before: DataFrame, after: DataFrame, top: int = 3) -> DataFrame:
     """(old, new, score): likely new names of removed paths, by shared neighbours and base name.
 
-    A score above 0 needs a common neighbour or base name, so candidates come from equi-joins on those,
-    not from all pairs.
+    A score above 0 needs a common neighbour or base name, so candidates come from an equi-join on those, not from
+    all pairs, and set sizes are counted: no node's neighbours are gathered.
     """
-    base = lambda c: F.substring_index(c, "/", -1)
-    features = lambda nodes, edges, name: (
-        nodes.select(F.col("path").alias(name)).join(edges, F.col(name) == F.col("from")).select(name, F.concat(F.lit(">"), "to").alias("f"))
-        .union(nodes.select(F.col("path").alias(name)).join(edges, F.col(name) == F.col("to")).select(name, F.concat(F.lit("<"), "from").alias("f")))
-        .union(nodes.select(F.col("path").alias(name), F.concat(F.lit("="), base(F.col("path"))).alias("f")))
-    )
-    pairs = features(removed, before, "old").join(features(added, after, "new"), "f").select("old", "new").distinct()
-    empty = F.array().cast("array<string>")
-    side = lambda edges, name: neighbours(edges).select(F.col("path").alias(name), F.col("out").alias(f"{name}_out"), F.col("in").alias(f"{name}_in"))
-    joined = pairs.join(side(before, "old"), "old", "left").join(side(after, "new"), "new", "left")
-    get = lambda c: F.coalesce(c, empty)
-    score = 0.65 * jaccard(get("old_out"), get("new_out")) + 0.35 * jaccard(get("old_in"), get("new_in")) + F.when(base(F.col("old")) == base(F.col("new")), 0.2).otherwise(0.0)
-    scored = joined.withColumn("raw", F.least(score, F.lit(1.0))).filter("raw > 0").withColumn("score", F.round("raw", 3))
+
+    def features(paths: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+        end = lambda mine, other, kind: F.struct(F.col(mine).alias(name), F.lit(kind).alias("kind"), F.col(other).alias("other"))
+        around = edges.select(F.explode(F.array(end("from", "to", "out"), end("to", "from", "in"))).alias("e")).select("e.*").distinct()
+        own = paths.select(F.col("path").alias(name)).distinct()
+        return around.join(own, name, "left_semi").unionByName(own.select(name, F.lit("base").alias("kind"), F.substring_index(name, "/", -1).alias("other")))
+
+    count = lambda kind: F.count(F.when(F.col("kind") == kind, 1))
+    old, new = features(removed, before, "old"), features(added, after, "new")
+    sizes = lambda f, name: f.groupBy(name).agg(count("out").alias(f"{name}_out"), count("in").alias(f"{name}_in"))
+    shared = old.join(new, ["kind", "other"]).groupBy("old", "new").agg(count("out").alias("out"), count("in").alias("in"), count("base").alias("base"))
+    both = shared.join(sizes(old, "old"), "old").join(sizes(new, "new"), "new")
+    overlap = lambda k: F.coalesce(F.try_divide(F.col(k), F.col(f"old_{k}") + F.col(f"new_{k}") - F.col(k)), F.lit(0.0))
+    score = F.least(0.65 * overlap("out") + 0.35 * overlap("in") + F.when(F.col("base") > 0, 0.2).otherwise(0.0), F.lit(1.0))
+    scored = both.withColumn("raw", score).filter("raw > 0").withColumn("score", F.round("raw", 3))
     order = Window.partitionBy("old").orderBy(F.desc("raw"), "new")
     return scored.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= top).select("old", "new", "score")
 

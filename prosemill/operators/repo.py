@@ -75,32 +75,38 @@ def scanned(files: DataFrame, extensions=PROSE, ignore=(), max_kb: int | None =
     return out if max_kb is None else out.filter(F.col("size_bytes") <= max_kb * 1024)
 
 
-def _issue(files: DataFrame, category: str, condition: Column, what: Column | None = None) -> DataFrame:
-    return files.filter(condition).select(F.lit(category).alias("category"), (F.col("path") if what is None else what).alias("path"))
-
-
 def issues(files: DataFrame, rules: RepoRules | None = None) -> DataFrame:
-    """(category, path) of every rule. Lock files and duplicate variants group by directory; the rest is narrow."""
+    """(category, path) of every rule.
+
+    The rules on one path are one array, exploded in one pass; banned directories, lock files and
+    duplicate variants are grouped by directory after that.
+    """
     rules = rules or RepoRules()
     path, name = F.col("path"), file_name(F.col("path"))
     banned = F.array(*[F.lit(d.lower()) for d in rules.banned_dirs])
     dirs = F.split(F.lower(directory(path)), "/")
-    inside = F.arrays_overlap(dirs, banned)
     first = F.array_position(F.transform(dirs, lambda d: F.array_contains(banned, d)), True)
+    inside, lower = first > 0, F.lower(name)
+    stray = ~path.contains("/") & lower.endswith(".md") & ~lower.isin(*ROOT_ALLOWED) & ~lower.startswith("license") & lower.rlike("|".join(ROOT_HINTS))
+    tests = {
+        "banned-file": F.array_contains(banned, lower),
+        "slop": matches(path, rules.slop),
+        "suspicious-name": reduce(Column.__or__, [name.rlike(p) for p in rules.suspicious]),
+        "large-json": matches(path, rules.large) & ~matches(path, rules.large_allowed) & (F.col("size_bytes") > rules.large_kb * 1024),
+        "stray-markdown": stray,
+    }
+    issue = lambda category, where: F.struct(F.lit(category).alias("category"), where.alias("path"))
+    top = F.array_join(F.slice(F.split(path, "/"), F.lit(1), first.cast("int")), "/")
+    found = F.when(inside, F.array(issue("banned-dir", top))).otherwise(F.filter(F.array(*[F.when(c, issue(k, path)) for k, c in tests.items()]), lambda x: x.isNotNull()))
     own = files.filter(~matches(path, rules.ignore))
-    out = [_issue(own, "banned-dir", inside, F.array_join(F.slice(F.split(path, "/"), F.lit(1), first.cast("int")), "/")).distinct()]
-    own = own.filter(~inside)
-    out.append(_issue(own, "banned-file", F.array_contains(banned, F.lower(name))))
-    out.append(_issue(own, "slop", matches(path, rules.slop)))
-    out.append(_issue(own, "suspicious-name", reduce(Column.__or__, [name.rlike(p) for p in rules.suspicious])))
+    narrow = own.select(F.explode(found).alias("x")).select("x.*")
+    dirs_once = narrow.filter("category = 'banned-dir'").distinct()
+    out = [dirs_once, narrow.filter("category <> 'banned-dir'")]
+    open_ = own.filter(~inside)
     if rules.locks:
-        locks = own.filter(name.isin("package-lock.json", "yarn.lock")).select(directory(path).alias("path"), name.alias("name"))
+        locks = open_.filter(name.isin("package-lock.json", "yarn.lock")).select(directory(path).alias("path"), name.alias("name"))
         out.append(locks.groupBy("path").agg(F.countDistinct("name").alias("n")).filter("n > 1").select(F.lit("lockfile").alias("category"), "path"))
-    out.append(_issue(own, "large-json", matches(path, rules.large) & ~matches(path, rules.large_allowed) & (F.col("size_bytes") > rules.large_kb * 1024)))
-    lower = F.lower(name)
-    stray = ~path.contains("/") & lower.endswith(".md") & ~lower.isin(*ROOT_ALLOWED) & ~lower.startswith("license") & lower.rlike("|".join(ROOT_HINTS))
-    out.append(_issue(own, "stray-markdown", stray))
-    out.append(duplicate_variants(own).select(F.lit("dup-variants").alias("category"), F.array_join("members", ", ").alias("path")))
+    out.append(duplicate_variants(open_).select(F.lit("dup-variants").alias("category"), F.array_join("members", ", ").alias("path")))
     return reduce(DataFrame.unionByName, out)
 
 
