@@ -17,16 +17,14 @@ WORDY = r"\p{L}\p{N}_'\-"
 EMOJI = "[\U0001f300-\U0001faff☀-➿]"
 
 
-def running(lengths: Column) -> Column:
-    """The sum up to each element, itself included.
+#: Sums up to each element of an array of lengths, itself included. The fold writes its sums into a string, which
+#: grows by plain copies of bytes; an array would be copied element by element.
+_RUNNING = "transform(filter(aggregate({0}, named_struct('t', 0L, 's', ''), (a, x) -> named_struct('t', a.t + x, 's', concat(a.s, cast(a.t + x AS string), ',')), a -> split(trim(TRAILING ',' FROM a.s), ',')), x -> x <> ''), x -> cast(x AS bigint))"
 
-    The fold writes its sums into a string, which grows by plain copies of bytes; an array would be
-    copied element by element.
-    """
-    zero = F.struct(F.lit(0).cast("bigint").alias("t"), F.lit("").alias("s"))
-    add = lambda a, x: F.struct((a["t"] + x).cast("bigint").alias("t"), F.concat(a["s"], (a["t"] + x).cast("string"), F.lit(",")).alias("s"))
-    sums = F.aggregate(lengths, zero, add, lambda a: F.split(F.rtrim(a["s"], F.lit(",")), ","))
-    return F.transform(F.filter(sums, lambda x: x != ""), lambda x: x.cast("bigint"))
+
+def running(lengths: str) -> Column:
+    """The sum up to each element of an array column of longs, itself included."""
+    return F.expr(_RUNNING.format(lengths))
 
 
 def bytes_of(c: Column) -> Column:
@@ -36,7 +34,7 @@ def bytes_of(c: Column) -> Column:
 def add_parts(df: DataFrame, name: str, pieces: Column) -> DataFrame:
     """Adds ``name``, an array of (at, s): the pieces of a text in a row with the byte where each begins."""
     df = df.withColumn("_pieces", pieces)
-    df = df.withColumn("_ends", running(F.transform("_pieces", bytes_of)))
+    df = df.withColumn("_ends", running("transform(_pieces, s -> cast(octet_length(s) AS bigint))"))
     # named a second time outside the lambda: a column used once would be inlined and computed for every element
     parts = F.when(F.size("_ends") >= 0, F.transform("_pieces", lambda s, i: F.struct((F.get("_ends", i) - bytes_of(s)).alias("at"), s.alias("s"))))
     return df.withColumn(name, parts).drop("_pieces", "_ends")
@@ -164,20 +162,15 @@ def add_spans(df: DataFrame, patterns: dict[str, str], text: str = "text") -> Da
     c = F.coalesce(F.col(text), F.lit(""))
     hit = {n: c.rlike(p) for n, p in patterns.items()}
     df = df.withColumns({f"_b_{n}": F.when(hit[n], F.split(c, p, -1)).otherwise(F.array(F.lit(""))) for n, p in patterns.items()} | {f"_m_{n}": F.when(hit[n], F.regexp_extract_all(c, F.lit(p), 0)).otherwise(F.array().cast("array<string>")) for n, p in patterns.items()})
-    df = df.withColumns({f"_at_{n}": running(_steps(f"_b_{n}", f"_m_{n}")) for n in patterns})
-    df = df.withColumns({n: _spans(f"_b_{n}", f"_m_{n}", f"_at_{n}") for n in patterns})
+    df = df.withColumns({f"_at_{n}": running(_STEPS.format(n)) for n in patterns})
+    df = df.withColumns({n: F.expr(_SPANS.format(n)) for n in patterns})
     return df.drop(*[f"_{x}_{n}" for n in patterns for x in ("b", "m", "at")])
 
 
-def _steps(between: str, matched: str) -> Column:
-    """From each match to the next: the match before it and the text between."""
-    return F.transform(matched, lambda m, k: bytes_of(F.get(between, k)) + F.coalesce(bytes_of(F.get(matched, k - 1)), F.lit(0).cast("bigint")))
-
-
-def _spans(between: str, matched: str, at: str) -> Column:
-    before = lambda k: F.concat(F.coalesce(F.get(matched, k - 1), F.lit("")), F.get(between, k))
-    after = lambda k: F.concat(F.get(between, k + 1), F.coalesce(F.get(matched, k + 1), F.lit("")))
-    return F.transform(matched, lambda m, k: F.struct(F.get(at, k).alias("at"), (F.get(at, k) + bytes_of(m)).alias("to"), m.alias("m"), before(k).alias("before"), after(k).alias("after")))
+# As text, these reach the parser in one call each: a configuration can hold a hundred patterns.
+#: From each match to the next: the match before it and the text between.
+_STEPS = "transform(`_m_{0}`, (m, k) -> cast(octet_length(get(`_b_{0}`, k)) AS bigint) + coalesce(cast(octet_length(get(`_m_{0}`, k - 1)) AS bigint), 0L))"
+_SPANS = "transform(`_m_{0}`, (m, k) -> named_struct('at', get(`_at_{0}`, k), 'to', get(`_at_{0}`, k) + cast(octet_length(m) AS bigint), 'm', m, 'before', concat(coalesce(get(`_m_{0}`, k - 1), ''), get(`_b_{0}`, k)), 'after', concat(get(`_b_{0}`, k + 1), coalesce(get(`_m_{0}`, k + 1), ''))))"
 
 
 def bounded(span: Column) -> Column:

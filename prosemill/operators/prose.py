@@ -91,10 +91,18 @@ def _matches(detector, category, severity, name, pattern, condition=None):
     return build, lambda cfg: {name: pattern}
 
 
+def _template_stage(cfg: C.Config) -> dict[str, Column]:
+    """The matches of all patterns in one array: patterns may match the same words."""
+    names = [f"_tpl{i}" for i in range(len(cfg.templates) + len(cfg.rules.templates))]
+    return {"tpl": F.concat(*names)} if names else {}
+
+
 def _templates(cfg: C.Config) -> Column:
-    patterns = [*cfg.templates, *cfg.rules.templates]
-    parts = [F.transform(F.filter(f"_tpl{i}", lambda x: visible(x["at"], "template") & ~_allowed(cfg, x["m"])), lambda x: F.struct(F.lit("D6").alias("detector"), F.when(F.lower(x["m"]).contains("not"), "negative-parallel").otherwise("template").alias("category"), F.lit("error").alias("severity"), x["at"].alias("at"), x["to"].alias("to"), X.trim(x["m"]).alias("snippet"), F.lit("template phrase").alias("message"))) for i in range(len(patterns))]
-    return F.concat(*parts) if parts else _none()
+    if not cfg.templates and not cfg.rules.templates:
+        return _none()
+    kind = lambda x: F.when(F.lower(x["m"]).contains("not"), "negative-parallel").otherwise("template")
+    seen = F.filter("tpl", lambda x: visible(x["at"], "template") & ~_allowed(cfg, x["m"]))
+    return F.transform(seen, lambda x: F.struct(F.lit("D6").alias("detector"), kind(x).alias("category"), F.lit("error").alias("severity"), x["at"].alias("at"), x["to"].alias("to"), X.trim(x["m"]).alias("snippet"), F.lit("template phrase").alias("message")))
 
 
 def _connectors(cfg: C.Config) -> Column:
@@ -385,7 +393,7 @@ DETECTORS: dict[str, tuple[Callable, Callable]] = {
     "D33": (_openings, _PLAIN),
 }
 
-STAGES |= {"D12": _cadence_stages(), "D14": _repetition_stages(), "D25": _section_stages(), "D33": _opening_stages()}
+STAGES |= {"D6": [_template_stage], "D12": _cadence_stages(), "D14": _repetition_stages(), "D25": _section_stages(), "D33": _opening_stages()}
 
 
 def prepared(docs: DataFrame, patterns: dict[str, str]) -> DataFrame:

@@ -61,7 +61,7 @@ def paragraphs(spark, sf_dir):
 @query(r"WITH l AS (SELECT doc_id, unnest(list_transform(string_split_regex(regexp_replace(coalesce(text, ''), '\r?\n$', ''), '\r?\n'), lambda x, j: {'i': j, 'p': x})) AS u FROM documents) SELECT doc_id, CAST(u.i AS INTEGER) AS line, u.p AS text, CAST(sum(strlen(u.p) + 1) OVER (PARTITION BY doc_id ORDER BY u.i) - strlen(u.p) - 1 AS BIGINT) AS start_byte FROM l")
 def line_offsets(spark, sf_dir):
     df = docs(spark, sf_dir).withColumn("l", X.lines(F.col("text")))
-    df = df.withColumn("ends", X.running(F.transform("l", lambda s: X.bytes_of(s) + 1)))
+    df = df.withColumn("ends", X.running("transform(l, s -> cast(octet_length(s) + 1 AS bigint))"))
     out = df.select("doc_id", "ends", F.posexplode("l").alias("i", "t"))
     return out.select("doc_id", (F.col("i") + 1).alias("line"), F.col("t").alias("text"), (F.get("ends", "i") - F.octet_length("t") - 1).cast("long").alias("start_byte"))
 
