@@ -9,11 +9,15 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+#: Rows of an Arrow batch where the session has Spark's default: texts are long, and a batch stands in several buffers at once.
+BATCH_ROWS, SPARK_ROWS = 1_000, "10000"
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors through Spark's own file server, once for each application."""
+    """Sends this package to the executors through Spark's own file server, once for each application, and keeps Arrow batches small."""
     context = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == SPARK_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if context.applicationId in _shipped:
         return
     root = Path(__file__).parent
