@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text hashed at once; a longer document is a slice of its own.
-SLICE = 1 << 20
+SLICE = 1 << 18
 _BYTE_STEP, _WORD_STEP, _WORD_STEP_2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xF1357AEA2E62A9C5
 _TABLE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -37,12 +37,12 @@ def powers(step: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd step modulo 2**64, and of its inverse."""
     up, down = _powers.get(step, (np.ones(0, np.uint64),) * 2)
     if len(up) < n:
-        size, inverse = 1 << max(10, (n - 1).bit_length()), pow(step, -1, 1 << 64)
+        size, inverse = (n // 65_536 + 1) * 65_536, pow(step, -1, 1 << 64)
         base = np.full(size, step, np.uint64), np.full(size, inverse, np.uint64)
         for x in base:
             x[0] = 1
         up, down = (np.multiply.accumulate(x) for x in base)
-        if size <= 1 << 21:
+        if size <= 1 << 20:
             _powers[step] = up, down
     return up[:n], down[:n]
 

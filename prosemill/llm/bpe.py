@@ -33,7 +33,7 @@ from prosemill.llm import blocks as B
 from prosemill.session import ship
 
 #: Text bytes whose new words are merged together, and words remembered between such steps.
-STEP, REMEMBERED = 4 << 20, 200_000
+STEP, REMEMBERED = 2 << 20, 120_000
 #: White_Space of Unicode.
 _BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 

@@ -39,7 +39,7 @@ from prosemill.session import ship
 FREQUENT, GROUPS, CLASSES, SWEEPS = 800, 160, 48, 6
 #: Added to counts, as in the base score, and to transitions; weight of the bigram against the class alone.
 ADD, TRANSITION = 0.1, 5.0
-CHUNK, BUCKET = 8 << 20, 2_000_000
+CHUNK, BUCKET = 4 << 20, 2_000_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 

@@ -37,7 +37,7 @@ from prosemill.session import ship
 
 WINDOW = 35
 #: Text bytes of a chunk, on average.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 #: Hashes that a bucket of round 1 gets, about.
 BUCKET = 2_000_000
 _ASK = "chunk long, bucket int, one binary, two binary"
@@ -53,15 +53,12 @@ class _Chunk:
         self.words, self.pointers = B.hashed(self.data, self.at)
         n = len(self.words)
         sizes = np.diff(self.pointers)
-        doc = np.repeat(np.arange(len(sizes)), sizes)
-        place = np.arange(n) - self.pointers[:-1][doc]
-        held = B.window_starts(self.pointers, self.block, n) & (sizes >= window)[doc]
-        roll = np.zeros(n, np.uint64)
-        full = B.rolling(self.words, self.block)
-        roll[: len(full)] = full
-        roll >>= np.uint64(64 - bits)
-        self.probes, counts = np.unique(roll[held], return_counts=True)
-        self.anchor_at = np.flatnonzero(held & (place % self.block == 0))
+        held = B.window_starts(self.pointers, self.block, n) & np.repeat(sizes >= window, sizes)
+        roll = B.rolling(self.words, self.block) >> np.uint64(64 - bits)
+        self.probes, counts = np.unique(roll[held[: len(roll)]], return_counts=True)
+        place = (np.arange(n, dtype=np.int32) - np.repeat(self.pointers[:-1].astype(np.int32), sizes)) % self.block
+        self.anchor_at = np.flatnonzero(held & (place == 0))
+        del held, place
         self.anchor_of = roll[self.anchor_at]
         self.anchors = np.unique(self.anchor_of)
         self.twice = counts[np.searchsorted(self.probes, self.anchors)] > 1
