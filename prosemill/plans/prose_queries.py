@@ -305,44 +305,43 @@ def _derived(spark, sf_dir, text, *detectors: str, cfg: C.Config | None = None)
     return findings(d, cfg or C.Config(), list(detectors))
 
 
-_t = F.col("text")
 
 
 @query(f"SELECT doc_id, CAST(count(*) AS BIGINT) AS paragraphs FROM (SELECT doc_id, unnest(string_split(replace(text, ', ', ' — '), chr(10) || chr(10))) AS p FROM documents) WHERE length(p) - length(replace(p, '—', '')) > 1 GROUP BY doc_id")
 def em_dashes(spark, sf_dir):
-    return _derived(spark, sf_dir, F.replace(_t, F.lit(", "), F.lit(" — ")), "D17").groupBy("doc_id").agg(F.count("*").alias("paragraphs"))
+    return _derived(spark, sf_dir, F.replace(F.col("text"), F.lit(", "), F.lit(" — ")), "D17").groupBy("doc_id").agg(F.count("*").alias("paragraphs"))
 
 
 @query(f"SELECT doc_id, 'from ' || lang || ' to ' || source || ' to ' || doc_id AS snippet FROM documents")
 def exaggerated_ranges(spark, sf_dir):
-    text = F.concat(F.lit("We go from "), "lang", F.lit(" to "), "source", F.lit(" to "), "doc_id", F.lit(".\n"), F.replace(_t, F.lit("from"), F.lit("fr")))
+    text = F.concat(F.lit("We go from "), "lang", F.lit(" to "), "source", F.lit(" to "), "doc_id", F.lit(".\n"), F.replace(F.col("text"), F.lit("from"), F.lit("fr")))
     return _derived(spark, sf_dir, text, "D7").select("doc_id", "snippet")
 
 
 @query(f"SELECT doc_id, 'Why?' AS snippet FROM documents WHERE NOT regexp_matches(text, '^\\s*$')")
 def question_leads(spark, sf_dir):
-    return _derived(spark, sf_dir, F.concat(F.lit("Why? How? "), _t), "D10").select("doc_id", "snippet")
+    return _derived(spark, sf_dir, F.concat(F.lit("Why? How? "), F.col("text")), "D10").select("doc_id", "snippet")
 
 
 @query(f"SELECT doc_id, CAST(len(regexp_extract_all(replace(text, ', ', '? '), '\\?\\s+[a-z]')) AS BIGINT) AS n FROM documents WHERE regexp_matches(replace(text, ', ', '? '), '\\?\\s+[a-z]')")
 def mid_sentence_questions(spark, sf_dir):
-    return _derived(spark, sf_dir, F.replace(_t, F.lit(", "), F.lit("? ")), "D11").groupBy("doc_id").agg(F.count("*").alias("n"))
+    return _derived(spark, sf_dir, F.replace(F.col("text"), F.lit(", "), F.lit("? ")), "D11").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, CAST(length(t) - length(regexp_replace(t, '[“”‘’]', '', 'g')) AS BIGINT) AS n FROM (SELECT doc_id, replace(text, ' the ', ' “the” ') AS t FROM documents) WHERE regexp_matches(t, '[“”‘’]')")
 def curly_quotes(spark, sf_dir):
-    return _derived(spark, sf_dir, F.replace(_t, F.lit(" the "), F.lit(" “the” ")), "D30").groupBy("doc_id").agg(F.count("*").alias("n"))
+    return _derived(spark, sf_dir, F.replace(F.col("text"), F.lit(" the "), F.lit(" “the” ")), "D30").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT doc_id, CAST(len(string_split(text, chr(10))) AS INTEGER) AS items FROM documents WHERE len(string_split(text, chr(10))) > 7")
 def long_lists(spark, sf_dir):
-    found = _derived(spark, sf_dir, F.concat(F.lit("- "), F.replace(_t, F.lit("\n"), F.lit("\n- "))), "D20")
+    found = _derived(spark, sf_dir, F.concat(F.lit("- "), F.replace(F.col("text"), F.lit("\n"), F.lit("\n- "))), "D20")
     return found.select("doc_id", F.regexp_extract("message", r"^(\d+)", 1).cast("int").alias("items"))
 
 
 @query(f"SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n FROM documents")
 def emoji_bullets(spark, sf_dir):
-    found = _derived(spark, sf_dir, F.concat(F.lit("- ✅ "), F.replace(_t, F.lit("\n"), F.lit("\n- ✅ "))), "D21")
+    found = _derived(spark, sf_dir, F.concat(F.lit("- ✅ "), F.replace(F.col("text"), F.lit("\n"), F.lit("\n- ✅ "))), "D21")
     return found.groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
