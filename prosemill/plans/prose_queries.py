@@ -49,7 +49,7 @@ def tuned() -> C.Config:
 
 @query(f"WITH {SENTENCES} SELECT doc_id, i, s AS sentence FROM sent")
 def sentences(spark, sf_dir):
-    df = X.add_sentences(docs(spark, sf_dir))
+    df = X.pin(X.add_sentences(docs(spark, sf_dir)), "sents")
     return df.select("doc_id", F.explode("sents").alias("x")).select("doc_id", "x.i", F.col("x.s").alias("sentence"))
 
 
