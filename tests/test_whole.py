@@ -22,3 +22,19 @@ def test_part_graph_has_all_parts(spark, tmp_path):
     roles = Q.roles(spark, d).first()
     assert (roles["orphans"], roles["sources"]) == (sum(v == (0, 0) for v in want.values()), sum(o > 0 for _, o in want.values()))
     assert {(r["from"], r["to"]) for r in Q.shown_edges(spark, d).collect()} == {e[:2] for e in known if e[2] == "use"}
+
+
+def test_order_graph_has_all_orders(spark, tmp_path):
+    orders = [(1000 + i, i + (1000 if i % 7 else 0)) for i in range(60)] + [(9, 700), (700, 701), (701, 1400)]
+    d = stored(spark, tmp_path, orders=(orders, "o_orderkey long, o_custkey long"))
+    above = {}
+
+    def root(x):
+        while above.setdefault(x, x) != x:
+            x = above[x]
+        return x
+
+    for o, c in orders:
+        a, b = root(f"n{o}"), root(f"n{c}")
+        above[max(a, b)] = min(a, b)
+    assert {r["path"]: r["component"] for r in Q.graph_components(spark, d).collect()} == {n: root(n) for n in list(above)}
