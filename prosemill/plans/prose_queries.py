@@ -350,16 +350,15 @@ def heading_rules(spark, sf_dir):
     """Every rule on headings, on documents between headings that break each of them."""
     head = "#### deep one\n\n# Why so?\n\n# \U0001f680 go\n\n# Two Capital Words\n\n# misc\n\n# summary\n\n# conclusion\n\n"
     rules = replace(C.DEFAULT_RULES, max_headings=3, required_headings=("goal",), banned_headings=("^misc$",))
-    d = docs(spark, sf_dir).filter(~F.col("text").rlike(r"(?:^|\n)\s*#")).select("doc_id", F.concat(F.lit(head), "text").alias("text"))
+    d = docs(spark, sf_dir).select("doc_id", F.concat(F.lit(head), F.coalesce("text", F.lit(""))).alias("text"))
     found = findings(d, C.Config(rules=rules), ["D19a", "D19b", "D19c", "D19e", "D19f", "D19g", "D19h", "D26"])
     return found.groupBy("detector").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {SENTENCES} SELECT doc_id, 1::BIGINT AS thin FROM sent WHERE NOT doc_id IN (SELECT doc_id FROM documents WHERE regexp_matches(text, '(?:^|' || chr(10) || ')\\s*(?:#|[-*+]\\s|[0-9][0-9\\s]*[.)])')) GROUP BY doc_id HAVING count(*) < 20")
 def thin_sections(spark, sf_dir):
-    """Documents of fewer than 20 sentences below one heading."""
-    plain = docs(spark, sf_dir).filter(~F.col("text").rlike(r"(?:^|\n)\s*(?:#|[-*+]\s|[0-9][0-9\s]*[.)])"))
-    d = plain.select("doc_id", F.concat(F.lit("# head\n"), "text").alias("text"))
+    """Sections of fewer than 20 sentences, of documents below one heading."""
+    d = docs(spark, sf_dir).select("doc_id", F.concat(F.lit("# head\n"), F.coalesce("text", F.lit(""))).alias("text"))
     found = findings(d, C.Config(rules=replace(C.DEFAULT_RULES, min_section_sentences=20)), ["D25"])
     return found.groupBy("doc_id").agg(F.count("*").alias("thin"))
 

@@ -38,3 +38,23 @@ def test_order_graph_has_all_orders(spark, tmp_path):
         a, b = root(f"n{o}"), root(f"n{c}")
         above[max(a, b)] = min(a, b)
     assert {r["path"]: r["component"] for r in Q.graph_components(spark, d).collect()} == {n: root(n) for n in list(above)}
+
+
+def test_heading_rules_on_documents_with_headings(spark, tmp_path):
+    texts = [None, "", "Plain words here.", "# goal\n\nText one. Text two.\n\n# more?\n\n- item", "# misc\n\nText.\n\n##### deeper\n\nText.", "1. a\n2. b"]
+    d = stored(spark, tmp_path, documents=(list(enumerate(texts)), "doc_id long, text string"))
+    want = dict.fromkeys(["D19a", "D19b", "D19c", "D19e", "D19f", "D19g", "D19h", "D26"], len(texts))
+    for t in texts:
+        heads = [x for x in (t or "").split("\n") if x.startswith("#")]
+        want["D19a"] += sum(x.startswith("####") for x in heads)
+        want["D19b"] += sum(x.endswith("?") for x in heads)
+        want["D19g"] -= "# goal" in heads
+        want["D19h"] += "# misc" in heads
+    assert {r["detector"]: r["n"] for r in P.heading_rules(spark, d).collect()} == want
+
+
+def test_thin_sections_of_documents_with_headings(spark, tmp_path):
+    long = "One two. " * 25
+    texts = [None, "", long, f"Short.\n\n# next\n\n{long}", "One.\n\n# a\n\nTwo.\n\n# b", "- x\n" * 30, "One. Two. Three."]
+    d = stored(spark, tmp_path, documents=(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r["doc_id"]: r["thin"] for r in P.thin_sections(spark, d).collect()} == {0: 1, 1: 1, 3: 1, 4: 3, 5: 1, 6: 1}
