@@ -286,7 +286,7 @@ def callee_resolution(spark, sf_dir):
 c(file, root, here, chain) AS (SELECT file, a, a, [a] FROM r UNION ALL SELECT c.file, root, l.b, list_append(chain, l.b) FROM c JOIN l ON l.file = c.file AND l.a = c.here)
 SELECT file, root, array_to_string(arg_max(chain, len(chain)), '>') AS chain FROM c GROUP BY file, root HAVING max(len(chain)) >= 3""")
 def pass_chains(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").filter("n_nationkey < 15")
+    n = table(spark, sf_dir, "nation")
     links = n.select(F.concat(F.lit("f"), "n_regionkey").alias("file"), F.col("n_nationkey").alias("caller"), (F.col("n_nationkey") + 5).alias("callee"))
     return G.pass_chains(links).withColumn("chain", F.array_join("chain", ">"))
 
@@ -355,7 +355,7 @@ def comment_ratio(spark, sf_dir):
 
 @query("""SELECT lang || '/m' || doc_id || '.sh' AS path, 'echo 1' || chr(10) AS text FROM documents WHERE doc_id % 4 = 3""")
 def stripped_comments(spark, sf_dir):
-    return K.stripped(code_files(spark, sf_dir).filter("doc_id % 4 = 3"))
+    return K.stripped(code_files(spark, sf_dir))
 
 
 @query("""SELECT lang || '/m' || doc_id || '.py' AS path, unnest(['Base', 'Base::go', 'f' || doc_id, 'g']) AS target, unnest(['class', 'method', 'function', 'function']) AS kind, unnest([NULL, 'inner', NULL, 'f' || doc_id]) AS forwards, unnest([FALSE, FALSE, TRUE, FALSE]) AS placeholder FROM documents WHERE doc_id % 4 = 0 AND doc_id >= 4""")

@@ -58,3 +58,16 @@ def test_thin_sections_of_documents_with_headings(spark, tmp_path):
     texts = [None, "", long, f"Short.\n\n# next\n\n{long}", "One.\n\n# a\n\nTwo.\n\n# b", "- x\n" * 30, "One. Two. Three."]
     d = stored(spark, tmp_path, documents=(list(enumerate(texts)), "doc_id long, text string"))
     assert {r["doc_id"]: r["thin"] for r in P.thin_sections(spark, d).collect()} == {0: 1, 1: 1, 3: 1, 4: 3, 5: 1, 6: 1}
+
+
+def test_stripped_comments_has_python_files(spark, tmp_path):
+    d = stored(spark, tmp_path, documents=([(i, "en") for i in range(8)], "doc_id long, lang string"))
+    got = {r["path"]: r["text"] for r in Q.stripped_comments(spark, d).collect()}
+    assert set(got) == {"en/m0.py", "en/m3.sh", "en/m4.py", "en/m7.sh"}
+    assert got["en/m3.sh"] == "echo 1\n"
+    assert got["en/m4.py"] == "from ..pkg import x\nfrom .m0 import y\n\nclass Base(ABC):\n    def go(self, a, b):\n        return inner(a, b)\n\ndef f4(a):\n    pass\n\ndef g(a):\n    return f4(a)\n"
+
+
+def test_pass_chains_has_all_nations(spark, tmp_path):
+    d = stored(spark, tmp_path, nation=([(k, k % 5) for k in range(25)], "n_nationkey long, n_regionkey long"))
+    assert {r["chain"] for r in Q.pass_chains(spark, d).collect()} == {">".join(str(k) for k in range(r, 30, 5)) for r in range(5)}
