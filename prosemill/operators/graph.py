@@ -84,16 +84,17 @@ def components(nodes: DataFrame, edges: DataFrame, key: str = "path", most: int
     return labels
 
 
-def simple_paths(edges: DataFrame, entries: DataFrame, exits: DataFrame, by: list[str], most_steps: int = 64) -> DataFrame:
+def simple_paths(edges: DataFrame, entries: DataFrame, exits: DataFrame, by: list[str]) -> DataFrame:
     """(by, steps, conditions): paths from entries that stop at their first exit and visit no node twice.
 
-    ``edges`` (by, from, to, kind, condition). Every path is carried as an array; ``most_steps`` bounds their length.
+    ``edges`` (by, from, to, kind, condition). Every path is carried as an array, however long: rounds end when no
+    path is open, which must come because none visits a node twice.
     """
-    own = edges.select(*by, F.col("from").alias("node"), "to", F.when(F.col("condition").isNotNull(), F.concat(F.when(F.col("kind") == "false-branch", "!").otherwise(""), "condition")).alias("c"))
-    last = exits.select(*by, "node").distinct().withColumn("done", F.lit(True))
+    own = cut(edges.select(*by, F.col("from").alias("node"), "to", F.when(F.col("condition").isNotNull(), F.concat(F.when(F.col("kind") == "false-branch", "!").otherwise(""), "condition")).alias("c")))
+    last = cut(exits.select(*by, "node").distinct().withColumn("done", F.lit(True)))
     open_ = entries.select(*by, "node", F.array("node").alias("steps"), F.array().cast("array<string>").alias("conditions"))
     out = []
-    for _ in range(most_steps):
+    while True:
         marked = cut(open_.join(last, [*by, "node"], "left"))
         out.append(marked.filter("done").select(*by, "steps", "conditions"))
         open_ = marked.filter("done IS NULL").drop("done").join(own, [*by, "node"]).filter(~F.array_contains("steps", F.col("to")))

@@ -1,5 +1,7 @@
 """Queries over small tables against brute force: every row takes part."""
 
+from prosemill.operators import code as K
+from prosemill.operators import graph as G
 from prosemill.plans import prose_queries as P
 from prosemill.plans import structure_queries as Q
 
@@ -71,3 +73,13 @@ def test_stripped_comments_has_python_files(spark, tmp_path):
 def test_pass_chains_has_all_nations(spark, tmp_path):
     d = stored(spark, tmp_path, nation=([(k, k % 5) for k in range(25)], "n_nationkey long, n_regionkey long"))
     assert {r["chain"] for r in Q.pass_chains(spark, d).collect()} == {">".join(str(k) for k in range(r, 30, 5)) for r in range(5)}
+
+
+def test_paths_of_many_guards(spark):
+    guards = 33
+    text = "def f(x):\n" + "".join(f"    if x == {i}:\n        return {i}\n" for i in range(guards)) + "    return x\n"
+    n, e = K.python_cfg(spark.createDataFrame([("a.py", text)], "path string, text string"))
+    by = ["path", "function"]
+    found = G.simple_paths(e, n.filter("kind = 'entry'").select(*by, "node"), G.exit_nodes(n), by).collect()
+    longest = [r for r in found if r["conditions"] == [f"!x == {i}" for i in range(guards)]]
+    assert len(found) == guards + 1 and len(longest) == 1 and len(longest[0]["steps"]) > 64
