@@ -1,7 +1,8 @@
 """Text in numpy: words and rolling hashes of whole Arrow columns, without a Python object for each word.
 
-A text hash is polynomial over the odd residues modulo 2**64, so the hash of
-any slice follows from prefix sums; a final mix spreads it over all bits.
+Hashes are chains of multiplications and shifts, not polynomials: a polynomial
+modulo 2**64 gives equal values to texts in the order of Thue and Morse,
+whatever its constants. Two hashes of different ``seed`` are independent.
 """
 
 from __future__ import annotations
@@ -13,12 +14,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Bytes of text hashed at once; a longer document is a slice of its own.
 SLICE = 1 << 18
-_BYTE_STEP, _WORD_STEP, _WORD_STEP_2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xF1357AEA2E62A9C5
-_TABLE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Bytes of a word that are hashed in numpy; longer words go to XXH3 one by one.
+LONG = 64
+_STEPS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
+_STARTS = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0x632BE59BD9B4E019))
+#: Masks of the first bytes of eight.
+KEEP = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -33,18 +38,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(step: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd step modulo 2**64, and of its inverse."""
-    up, down = _powers.get(step, (np.ones(0, np.uint64),) * 2)
-    if len(up) < n:
-        size, inverse = (n // 65_536 + 1) * 65_536, pow(step, -1, 1 << 64)
-        base = np.full(size, step, np.uint64), np.full(size, inverse, np.uint64)
-        for x in base:
-            x[0] = 1
-        up, down = (np.multiply.accumulate(x) for x in base)
-        if size <= 1 << 20:
-            _powers[step] = up, down
-    return up[:n], down[:n]
+def join(a: np.ndarray, b: np.ndarray, seed: int = 0) -> np.ndarray:
+    """One value of two, in their order."""
+    x = a * _STEPS[seed]
+    x += b
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(29)
+    return x
 
 
 def column(batch: pa.RecordBatch | pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -85,11 +86,34 @@ def words(data: np.ndarray, at: np.ndarray, separator: np.ndarray = SPACE) -> tu
     return begin, np.flatnonzero(last) + 1, np.searchsorted(begin, at)
 
 
-def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    up, down = powers(_BYTE_STEP, len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLE[data] * up[: len(data)], out=total[1:])
-    return mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on, as one number; beyond the end stand zeros."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A hash of each word: eight bytes at a time, of all words that are as long; ``LONG`` bytes at most."""
+    at, size = lanes(data), end - begin
+    out = size.astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + _STARTS[seed]
+    short = np.flatnonzero(size <= LONG)
+    left, from_ = (size, begin) if len(short) == len(size) else (size[short], begin[short])
+    done = 0
+    while len(left):
+        block = at[from_ + done] & KEEP[np.minimum(left, 8)]
+        if len(short) == len(out):
+            out = join(out, block, seed)
+        else:
+            out[short] = join(out[short], block, seed)
+        more = left > 8
+        done += 8
+        if not more.any():
+            break
+        short, left, from_ = short[more], left[more] - 8, from_[more]
+    if len(far := np.flatnonzero(size > LONG)):
+        raw = data.tobytes()
+        out[far] = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b], 11 + seed) for a, b in zip(begin[far].tolist(), end[far].tolist())), np.uint64, len(far))
+    return mix(out)
 
 
 def pieces(data: np.ndarray, at: np.ndarray, separator: np.ndarray = SPACE, limit: int | None = None) -> Iterator[tuple[int, int, int, int]]:
@@ -111,26 +135,30 @@ def pieces(data: np.ndarray, at: np.ndarray, separator: np.ndarray = SPACE, limi
         yield lo, hi, a, end
 
 
-def hashed(data: np.ndarray, at: np.ndarray, separator: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+def hashed(data: np.ndarray, at: np.ndarray, separator: np.ndarray = SPACE, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """The hash of every word of a column, and where each document's words begin."""
     out, pointers, base = [np.zeros(0, np.uint64)], np.zeros(len(at), np.int64), 0
     for lo, hi, a, b in pieces(data, at, separator):
         part, offsets = data[a:b], np.clip(at[lo : hi + 1] - a, 0, b - a)
         begin, end, p = words(part, offsets, separator)
-        out.append(word_hashes(part, begin, end))
+        out.append(word_hashes(part, begin, end, seed))
         pointers[lo + 1 : hi + 1] = p[1:] + base
         base += len(begin)
     return np.concatenate(out), pointers
 
 
-def rolling(h: np.ndarray, k: int, second: bool = False) -> np.ndarray:
-    """The hash of each k consecutive words, document ends ignored: mask them with ``window_starts``."""
+def rolling(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
+    """The hash of each k consecutive words, document ends ignored: mask them with ``window_starts``.
+
+    Windows of 2, 4, 8, ... words are joined of two; one of k words of the two that begin and end it.
+    """
     if len(h) < k:
         return np.zeros(0, np.uint64)
-    up, down = powers(_WORD_STEP_2 if second else _WORD_STEP, len(h) + 1)
-    total = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum((mix(h + np.uint64(0x632BE59BD9B4E019)) if second else h) * up[: len(h)], out=total[1:])
-    return mix((total[k:] - total[:-k]) * down[: len(h) - k + 1])
+    size = 1
+    while size * 2 <= k:
+        h = join(h[:-size], h[size:], seed)
+        size *= 2
+    return mix(join(h[: len(h) - (k - size)], h[k - size :], seed)) if k > size else mix(h)
 
 
 def window_starts(pointers: np.ndarray, k: int, n: int) -> np.ndarray:
@@ -160,10 +188,11 @@ def unpack(blob: bytes, base: int = 0) -> np.ndarray:
     return np.cumsum(wide.reshape(-1).view("<u8"), dtype=np.uint64) + np.uint64(base)
 
 
-def bucket_edges(values: np.ndarray, bits: int, exponent: int) -> np.ndarray:
-    """Where each of 2**exponent buckets of ascending ``bits``-bit values begins (and the last ends)."""
-    edges = np.arange(1, 1 << exponent, dtype=np.uint64) << np.uint64(bits - exponent)
-    return np.concatenate([[0], np.searchsorted(values, edges), [len(values)]])
+def bucket_edges(values: np.ndarray, bits: int, exponent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The occupied of 2**exponent buckets of ascending ``bits``-bit values, and where each begins (and the last ends)."""
+    own = values >> np.uint64(bits - exponent) if exponent else np.zeros(len(values), np.uint64)
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(own)), bool), own[1:] != own[:-1]]))
+    return own[first].astype(np.int64), np.append(first, len(values))
 
 
 def trim() -> None:

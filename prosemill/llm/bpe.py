@@ -11,8 +11,12 @@ The vocabulary file (its path is a parameter) is read on the driver and sent to
 the executors: 49 thousand merges, whatever the input. Texts pass through one
 narrow scan; nothing is shuffled.
 
-Null text is empty: no tokens. Texts that hold the strings of special tokens
-give their ids, as the tokenizer does. Extra columns are carried or left out.
+Null, empty and blank texts have no tokens. Texts that hold the strings of special
+tokens give their ids, as the tokenizer does. A very long text is split and
+encoded by itself, its words in parts. Repeated rows each get their result. Extra
+columns are carried or left out, whatever their names. Ranks are distinct, so no
+two merges tie; of overlapping pairs the leftmost is taken. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -139,12 +143,41 @@ def merge_all(v: Vocabulary, data: np.ndarray, ends: np.ndarray) -> tuple[np.nda
     return symbol[alive], np.cumsum(alive)[ends - 1]
 
 
+def distinct_words(part: np.ndarray, begin: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct word first stands, and each word's number among those.
+
+    Words are grouped by their hash and then compared with the first of their group, eight bytes at a time.
+    """
+    _, first, of = np.unique(hashes, return_index=True, return_inverse=True)
+    at, model = B.lanes(part), first[of]
+    size = end - begin
+    same = size == size[model]
+    rows, done, raw = np.flatnonzero(same & (size <= B.LONG)), 0, part.tobytes()
+    for i in np.flatnonzero(same & (size > B.LONG)).tolist():
+        k = model[i]
+        same[i] = i == k or raw[begin[i] : end[i]] == raw[begin[k] : end[k]]
+    while len(rows):
+        equal = (at[begin[rows] + done] ^ at[begin[model[rows]] + done]) & B.KEEP[np.minimum(size[rows] - done, 8)] == 0
+        same[rows[~equal]] = False
+        done += 8
+        rows = rows[equal]
+        rows = rows[size[rows] > done]
+    if same.all():
+        return first, of
+    seen, first, of = {}, [], np.zeros(len(begin), np.int64)
+    for i, (a, b) in enumerate(zip(begin.tolist(), end.tolist())):
+        of[i] = k = seen.setdefault(raw[a:b], len(seen))
+        if k == len(first):
+            first.append(i)
+    return np.array(first, np.int64), of
+
+
 class Encoder:
-    """Remembers words (by hash) and the pieces that they are split into, with the text of their ids and tokens."""
+    """Remembers words and the pieces that they are split into, with the text of their ids and tokens."""
 
     def __init__(self, v: Vocabulary, remembered: int = REMEMBERED):
         self.v, self.remembered = v, remembered
-        self.words: dict[int, tuple[int, bytes, bytes]] = {}
+        self.words: dict[bytes, tuple[int, bytes, bytes]] = {}
         self.pieces: dict[str, tuple[int, bytes, bytes]] = {"": (0, b"", b"")}
         for text, i in v.special.items():
             self.pieces[f"\n{text}"] = (1, v.number[i], v.token[i])  # no piece of a text holds a line end
@@ -172,7 +205,7 @@ class Encoder:
             self.words.clear()
             self.pieces = {k: x for k, x in self.pieces.items() if k == "" or k[0] == "\n"}
 
-    def learn(self, keys: list[int], words: list[bytes]) -> None:
+    def learn(self, words: list[bytes]) -> None:
         """Encodes words that are not remembered yet."""
         v, pieces = self.v, self.pieces
         split = self.split(words) if words else []
@@ -185,7 +218,7 @@ class Encoder:
                 own = ids[lo:hi]
                 lo = hi
                 pieces[p] = (len(own), b" ".join([v.number[x] for x in own]), b" ".join([v.token[x] for x in own]))
-        for k, own in zip(keys, split):
+        for k, own in zip(words, split):
             if len(own) == 1:
                 self.words[k] = pieces[own[0]]
             else:
@@ -212,14 +245,13 @@ def _run(spec, names: list[str], with_ids: bool):
             for lo, hi in B.slices(at, STEP):
                 part, offsets = data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
                 hashes, pointers = B.hashed(part, offsets)
-                distinct, first, of = np.unique(hashes, return_index=True, return_inverse=True)
-                keys = distinct.tolist()
+                begin, end = _bounds(part, offsets)
+                first, of = distinct_words(part, begin, end, hashes)
+                raw = part.tobytes()
+                keys = [raw[a:b] for a, b in zip(begin[first].tolist(), end[first].tolist())]
+                del raw
                 encoder.forget()
-                new = [i for i, k in enumerate(keys) if k not in encoder.words]
-                if new:
-                    begin, end = _bounds(part, offsets)
-                    at_word, raw = first[new], part.tobytes()
-                    encoder.learn([keys[i] for i in new], [raw[a:b] for a, b in zip(begin[at_word].tolist(), end[at_word].tolist())])
+                encoder.learn([k for k in keys if k not in encoder.words])
                 known = [encoder.words[k] for k in keys]
                 numbers, tokens = [x[1] for x in known], [x[2] for x in known]
                 per_word = np.array([x[0] for x in known], np.int64)[of] if len(of) else np.zeros(0, np.int64)

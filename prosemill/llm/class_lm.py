@@ -1,25 +1,38 @@
 """LM scoring with a Brown class-based bigram model.
 
-log10 P(text) sums, over its tokens, the smoothed probability of the token's
-class after the class before it, and of the word within its class. Classes come
-from exchange clustering: each symbol moves to the class that raises the
-likelihood of the class bigrams most, in sweeps, until none moves.
+Words are put into classes by exchange clustering, all words of the training
+texts: the ``FREQUENT`` most frequent by exact exchange (each moves to the class
+that raises the likelihood of the class bigrams most, in sweeps, until none
+moves), then the whole vocabulary in ``SWEEPS`` sweeps of parallel exchange: the
+classes beside each word are counted over the whole corpus, and each word moves
+to the class with the highest gain, taken to first order at the class bigram
+counts of that sweep. Of equal gains the least class wins.
 
-Symbols are the ``FREQUENT`` most frequent training words and ``GROUPS`` groups
-into which a hash puts every other word, known or not, so each word has a class
-and the matrix to cluster is bounded whatever the vocabulary. The end of a text
-is a symbol and a class of its own. Counts are exact and cover all training text:
+    P(word | class before) = (1 - BASE) * P(class | class before) * n(word) / n(class) + BASE * base(word)
+
+Transitions are class bigram counts over all training words, smoothed by the
+classes' own shares. A word without a training count has no class: only the base
+model gives it weight, and the word after it sees the shares of the classes. The
+end of a text is a class of its own.
 
 1. Each chunk of documents sends the hashes of its distinct words with their
-   training counts to hash buckets; a bucket sums them and answers each chunk.
-2. One narrow scan counts symbol bigrams; their sums, at most
-   (FREQUENT + GROUPS + 1) ** 2, reach the driver, which clusters.
-3. Chunks meet their answers and score their documents.
+   training counts to hash buckets, which name the frequent ones.
+2. One narrow scan counts the bigrams of frequent words, of which the driver
+   gets at most (FREQUENT + 2) ** 2, clusters them.
+3. In each sweep chunks send, for each word, how often each class stands before
+   and behind it; buckets sum these, choose, and answer with the classes.
+4. Class bigrams are counted, and chunks score their documents.
 
 A chunk names a word once, so a word that a third of the text consists of costs
-each chunk one entry. Null text is empty: one token, the end. Repeated rows count
-each. Without training text every count is 0 and the model is uniform over its
-classes and words.
+each chunk one entry. Words are told apart by 64 bits of their hash: with n
+distinct words two fall together with a chance of about n * n / 2 ** 65.
+
+Null, empty and blank texts are one token, the end. Repeated rows count each;
+where one id and text is repeated more than ``REPEATED`` times its rows are dealt
+to chunks by their place. A text longer than a chunk makes a chunk of its length.
+Ties of frequency go to the lesser hash. Extra columns are carried or left out,
+whatever their names. An empty table gives an empty result; without training text
+all counts are 0 and the base model alone is left.
 """
 
 from __future__ import annotations
@@ -33,13 +46,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prosemill.llm import blocks as B
-from prosemill.llm.shared import crc_mod, cut, power_of_two, text_bytes
+from prosemill.llm.shared import chunks, crc_mod, cut, power_of_two
 from prosemill.session import ship
 
-FREQUENT, GROUPS, CLASSES, SWEEPS = 800, 160, 48, 6
-#: Added to counts, as in the base score, and to transitions; weight of the bigram against the class alone.
-ADD, TRANSITION = 0.1, 5.0
-CHUNK, BUCKET = 4 << 20, 2_000_000
+FREQUENT, CLASSES, SWEEPS = 1000, 48, 2
+#: Added to counts, as in the base score; pseudo-counts of transitions; weight of the base model.
+ADD, TRANSITION, BASE = 0.1, 5.0, 0.2
+CHUNK, BUCKET, BLOCK = 4 << 20, 500_000, 20_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -50,77 +63,97 @@ def _words(table, name: str = "text") -> tuple[np.ndarray, np.ndarray]:
     return B.hashed(_LOWER[data[at[0] : at[-1]]], at - at[0])
 
 
-_ASK = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("words", pa.binary()), ("counts", pa.binary())])
-_COUNTED = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("counts", pa.binary()), ("top", pa.binary()), ("n", pa.int64()), ("v", pa.int64()), ("group_n", pa.list_(pa.int64())), ("group_v", pa.list_(pa.int64()))])
+def _schema(text: str) -> pa.Schema:
+    types = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    return pa.schema([(c.split()[0], types[c.split()[1]]) for c in text.split(", ")])
 
 
-def _table(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
-    B.trim()
-    return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
+_ASK = "chunk long, bucket int, words binary, counts binary"
+_TOLD = "top binary, n long, v long"
+_BESIDE = "chunk long, bucket int, words binary, kinds binary, ids binary, few binary, many binary"
+_ANSWER = "chunk long, bucket int, labels binary, counts binary"
 
 
-def _distinct(table) -> tuple:
-    h, pointers = _words(table)
-    distinct, of = np.unique(h, return_inverse=True)
-    learn = np.repeat(~table["held"].combine_chunks().to_numpy(zero_copy_only=False), np.diff(pointers))
-    return distinct, of, pointers, np.bincount(of[learn], minlength=len(distinct)).astype("<u4")
+def _table(schema: str, rows: list[tuple]) -> pa.Table:
+    B.trim()
+    fields = _schema(schema)
+    return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows), fields)] if rows else [pa.array([], f.type) for f in fields], schema=fields)
+
+
+class _Chunk:
+    """The distinct words of a chunk, which of them each token is, and which tokens are learned from."""
+
+    def __init__(self, table: pa.Table, exponent: int):
+        h, self.pointers = _words(table)
+        self.distinct, self.of = np.unique(h, return_inverse=True)
+        self.size = np.diff(self.pointers)
+        self.learn = ~table["held"].combine_chunks().to_numpy(zero_copy_only=False)
+        self.buckets, self.edges = B.bucket_edges(self.distinct, 64, exponent)
+        self.base = 64 - exponent
+
+    def slices(self):
+        return zip(self.buckets.tolist(), self.edges[:-1].tolist(), self.edges[1:].tolist())
+
+    def packed(self, bucket: int, lo: int, hi: int) -> bytes:
+        return B.pack(self.distinct[lo:hi], bucket << self.base)
+
+    def sequence(self, label: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Classes of all learned texts, an end before each and behind the last; the tokens' words and places in it."""
+        token = np.repeat(self.learn, self.size)
+        of, size = self.of[token], self.size[self.learn]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        return np.insert(label[of], ends, end), of, np.arange(len(of)) + 1 + np.repeat(np.arange(len(size)), size)
+
+    def answered(self, answers: pa.Table, name: str, default: int) -> np.ndarray:
+        out = np.full(len(self.distinct), default, np.int64)
+        found = {b: x for b, x in zip(answers["bucket"].to_pylist(), answers[name])}
+        for b, lo, hi in self.slices():
+            if b in found and (raw := found[b].as_py()) is not None:
+                out[lo:hi] = np.frombuffer(raw, f"<u{len(raw) // (hi - lo)}")
+        return out
 
 
 def _ask(exponent: int):
     def ask(key, table):
-        distinct, _, _, counts = _distinct(table)
-        e = B.bucket_edges(distinct, 64, exponent)
-        return _table(_ASK, [(key[0].as_py(), b, B.pack(distinct[e[b] : e[b + 1]], b << (64 - exponent)), counts[e[b] : e[b + 1]].tobytes()) for b in range(1 << exponent) if e[b] < e[b + 1]])
+        c = _Chunk(table, exponent)
+        counts = np.bincount(c.of[np.repeat(c.learn, c.size)], minlength=len(c.distinct)).astype("<u4")
+        return _table(_ASK, [(key[0].as_py(), b, c.packed(b, lo, hi), counts[lo:hi].tobytes()) for b, lo, hi in c.slices()])
 
     return ask
 
 
-def _count(exponent: int, frequent: int, groups: int):
+def _count(exponent: int, frequent: int):
     def count(key, table):
-        b = key[0].as_py()
-        asked = [B.unpack(x.as_py(), b << (64 - exponent)) for x in table["words"]]
-        counts = [np.frombuffer(x.as_py(), "<u4") for x in table["counts"]]
-        distinct, of = np.unique(np.concatenate(asked), return_inverse=True)
+        base = key[0].as_py() << (64 - exponent)
+        distinct, of = np.unique(np.concatenate([B.unpack(x.as_py(), base) for x in table["words"]]), return_inverse=True)
         total = np.zeros(len(distinct), np.int64)
-        np.add.at(total, of, np.concatenate(counts))
-        out, lo = [], 0
-        for chunk, x in zip(table["chunk"].to_pylist(), asked):
-            out.append((chunk, b, total[of[lo : lo + len(x)]].astype("<u4" if total.max() < 2**32 else "<u8").tobytes(), None, None, None, None, None))
-            lo += len(x)
+        np.add.at(total, of, np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table["counts"]]))
         best = np.lexsort((distinct, -total))[:frequent]
         best = best[total[best] > 0]
-        group = (distinct % np.uint64(groups)).astype(np.int64)
         top = np.stack([distinct[best].astype("<u8"), total[best].astype("<u8")]).tobytes()
-        n, v = np.bincount(group, total, groups).astype(np.int64), np.bincount(group[total > 0], minlength=groups)
-        out.append((-1, b, None, top, int(total.sum()), int((total > 0).sum()), n.tolist(), v.tolist()))
-        return _table(_COUNTED, out)
+        return _table(_TOLD, [(top, int(total.sum()), int((total > 0).sum()))])
 
     return count
 
 
 class Symbols:
-    """Words to symbols: frequent words first, then groups by hash, then the end."""
+    """Words to numbers: frequent words first, all others together, then the end."""
 
-    def __init__(self, frequent: np.ndarray, groups: int):
+    def __init__(self, frequent: np.ndarray):
         self.order = np.argsort(frequent)
         self.sorted = frequent[self.order]
-        self.first, self.groups = len(frequent), groups
-        self.end = self.first + groups
+        self.other = len(frequent)
+        self.end = self.other + 1
 
     def of(self, h: np.ndarray) -> np.ndarray:
-        out = (h % np.uint64(self.groups)).astype(np.int64) + self.first
-        if self.first and len(h):
-            at = np.minimum(np.searchsorted(self.sorted, h), self.first - 1)
+        out = np.full(len(h), self.other, np.int64)
+        if self.other and len(h):
+            at = np.minimum(np.searchsorted(self.sorted, h), self.other - 1)
             known = self.sorted[at] == h
             out[known] = self.order[at[known]]
         return out
 
 
-def _sequence(symbols: Symbols, h: np.ndarray, pointers: np.ndarray) -> np.ndarray:
-    """Symbols of all texts, each led and ended by the end symbol."""
-    return np.insert(symbols.of(h), np.concatenate([pointers, pointers[-1:]])[:-1], symbols.end)
-
-
 def _bigrams(symbols: Symbols):
     size = symbols.end + 1
 
@@ -130,7 +163,7 @@ def _bigrams(symbols: Symbols):
             total = np.zeros(size * size, np.int64)
             for lo, hi in B.slices(at, 4 << 20):
                 h, pointers = _words(pa.table({"text": batch.column("text").slice(lo, hi - lo)}))
-                s = _sequence(symbols, h, pointers)
+                s = np.insert(symbols.of(h), np.concatenate([pointers, pointers[-1:]])[:-1], symbols.end)
                 total += np.bincount(s[:-1] * size + s[1:], minlength=size * size)
             pair = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int64()), pa.array(total[pair], pa.int64())], ["pair", "n"])
@@ -142,13 +175,16 @@ def _entropy(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def exchange(counts: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
-    """A class for each symbol of a bigram count matrix, the last symbol alone in the last class."""
-    n = len(counts)
+def exchange(counts: np.ndarray, classes: int, sweeps: int = 100, alone: int = 1) -> np.ndarray:
+    """A class for each symbol of a bigram count matrix, the last ``alone`` symbols each alone in the last classes.
+
+    Sweeps go on until no symbol moves, ``sweeps`` at most; of equal gains the least class wins, and staying before moving.
+    """
+    n, free = len(counts), classes - alone
     weight = counts.sum(0) + counts.sum(1)
-    label = np.full(n, classes - 1)
-    order = np.argsort(-weight[:-1], kind="stable")
-    label[order] = np.arange(n - 1) % (classes - 1)
+    label = np.arange(n) - n + classes
+    order = np.argsort(-weight[: n - alone], kind="stable")
+    label[order] = np.arange(n - alone) % free
     member = np.zeros((n, classes))
     member[np.arange(n), label] = 1.0
     into, out = counts.T @ member, counts @ member  # by class before, by class after
@@ -168,7 +204,7 @@ def exchange(counts: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
             gain = (_entropy(m + o[None, :]) - _entropy(m)).sum(1) + (_entropy(m + i[:, None]) - _entropy(m)).sum(0)
             gain += _entropy(diagonal + o + i + self_count) + _entropy(diagonal) - _entropy(diagonal + o) - _entropy(diagonal + i)
             gain -= _entropy(rows + o.sum() + self_count) - _entropy(rows) + _entropy(columns + i.sum() + self_count) - _entropy(columns)
-            gain[classes - 1] = -np.inf
+            gain[free:] = -np.inf
             to = int(np.argmax(gain))
             if gain[to] <= gain[was] + 1e-9:
                 to = was
@@ -188,95 +224,186 @@ def exchange(counts: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
 
 
 class Model:
-    """Class transitions and what word emissions need besides a word's own count."""
+    """Class bigram counts (classes, then no class, then the end) and what follows from them."""
+
+    def __init__(self, bigrams: np.ndarray, tokens: int, types: int, ends: int):
+        self.bigrams, self.ends = bigrams, ends
+        self.none, self.end = len(bigrams) - 2, len(bigrams) - 1
+        rows, columns = bigrams.sum(1), bigrams.sum(0)
+        share = lambda x: (x + ADD) / (x.sum() + ADD * len(x))
+        self.forward = (bigrams + TRANSITION * share(columns)[None, :]) / (rows[:, None] + TRANSITION)
+        self.backward = (bigrams + TRANSITION * share(rows)[:, None]) / (columns[None, :] + TRANSITION)
+        self.size, self.below = np.maximum(columns, 1), tokens + ADD * (types + 1)
+
+    def gains(self) -> np.ndarray:
+        """What each class before and behind a word adds, for each class that the word could be in."""
+        return np.log(np.concatenate([self.backward[:, : self.none], self.forward[: self.none].T]))
+
+    def step(self, before: np.ndarray, own: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """log10 P of tokens by the class before, their own class and their training counts."""
+        by_class = self.forward[before, own] * (count / self.size[own]) * (own != self.none)
+        return np.log10((1 - BASE) * by_class + BASE * (count + ADD) / self.below)
+
+
+def _beside(symbols: Symbols, core: np.ndarray, exponent: int, classes: int, first: bool):
+    """What stands beside each word of a chunk. Labels come from answers or, in the first sweep, from the frequent words."""
+    none, end, size = classes, classes + 1, classes + 2
+
+    def beside(key, table, answers):
+        c = _Chunk(table, exponent)
+        label = c.answered(answers, "labels", none) if answers is not None else core[symbols.of(c.distinct)]
+        s, of, place = c.sequence(label, end)
+        pairs, n = np.unique(np.concatenate([of * (2 * size) + s[place - 1], of * (2 * size) + size + s[place + 1]]), return_counts=True)
+        kinds = np.bincount(pairs // (2 * size), minlength=len(c.distinct))
+        ids, few, large = (pairs % (2 * size)).astype(np.uint8), np.minimum(n, 255).astype(np.uint8), n >= 255
+        at, over = np.concatenate([[0], np.cumsum(kinds)]), np.concatenate([[0], np.cumsum(large)])
+        many, kinds = n[large].astype("<u4"), kinds.astype(np.uint8)
+        out = []
+        for b, lo, hi in c.slices():
+            x, y = at[lo], at[hi]
+            out.append((key[0].as_py(), b, c.packed(b, lo, hi), kinds[lo:hi].tobytes(), ids[x:y].tobytes(), few[x:y].tobytes(), many[over[x] : over[y]].tobytes()))
+        if answers is not None:
+            out.append((key[0].as_py(), -1, _matrix(s, size).tobytes(), None, None, None, None))
+        return _table(_BESIDE, out)
+
+    return (lambda key, table: beside(key, table, None)) if first else beside
+
+
+def _matrix(s: np.ndarray, size: int) -> np.ndarray:
+    return np.bincount(s[:-1] * size + s[1:], minlength=size * size).astype("<i8")
+
+
+def _choose(model: Model, symbols: Symbols, core: np.ndarray | None, exponent: int, with_counts: bool):
+    """Buckets choose classes: by the highest gain, but for frequent words in the first sweep, which have theirs."""
+    gains, none = model.gains(), model.none
+    width = len(gains)
+
+    def choose(key, table):
+        b = key[0].as_py()
+        asked = [B.unpack(x.as_py(), b << (64 - exponent)) for x in table["words"]]
+        distinct, of = np.unique(np.concatenate(asked), return_inverse=True)
+        entry, ids, counts, lo = [], [], [], 0
+        for x, kinds, own, few, many in zip(asked, table["kinds"], table["ids"], table["few"], table["many"]):
+            entry.append(np.repeat(of[lo : lo + len(x)], np.frombuffer(kinds.as_py(), np.uint8)).astype(np.int32))
+            ids.append(np.frombuffer(own.as_py(), np.uint8))
+            n = np.frombuffer(few.as_py(), np.uint8).astype(np.uint32)
+            n[n == 255] = np.frombuffer(many.as_py(), "<u4")
+            counts.append(n)
+            lo += len(x)
+        entry, ids, counts = (np.concatenate(x) for x in (entry, ids, counts))
+        order = np.argsort(entry, kind="stable")
+        entry, ids, counts = entry[order], ids[order], counts[order]
+        label, total = np.full(len(distinct), none, np.uint8), np.zeros(len(distinct), np.int64)
+        for lo in range(0, len(distinct), BLOCK):
+            hi = min(len(distinct), lo + BLOCK)
+            x, y = np.searchsorted(entry, [lo, hi])
+            sums = np.bincount((entry[x:y] - lo).astype(np.int64) * width + ids[x:y], counts[x:y], (hi - lo) * width).reshape(-1, width)
+            total[lo:hi] = sums[:, : width // 2].sum(1)
+            some = total[lo:hi] > 0
+            label[lo:hi][some] = np.argmax(np.round(sums[some] @ gains, 9), axis=1)
+        if core is not None:
+            s = symbols.of(distinct)
+            label[s < symbols.other] = core[s[s < symbols.other]]
+        kind, out, lo = "<u4" if total.max(initial=0) < 2**32 else "<u8", [], 0
+        for chunk, x in zip(table["chunk"].to_pylist(), asked):
+            own = of[lo : lo + len(x)]
+            out.append((chunk, b, label[own].tobytes(), total[own].astype(kind).tobytes() if with_counts else None))
+            lo += len(x)
+        return _table(_ANSWER, out)
+
+    return choose
 
-    def __init__(self, symbols: Symbols, bigrams: np.ndarray, label: np.ndarray, kinds: np.ndarray, classes: int):
-        member = np.zeros((len(label), classes))
-        member[np.arange(len(label)), label] = 1.0
-        m = member.T @ bigrams @ member
-        alone = (m.sum(0) + ADD) / (m.sum() + ADD * classes)
-        self.transition = np.log10((m + TRANSITION * alone[None, :]) / (m.sum(1, keepdims=True) + TRANSITION))
-        size, words = np.bincount(label, bigrams.sum(0), classes), np.bincount(label, kinds, classes)
-        self.below = np.log10(size + ADD * (words + 1))
-        self.symbols, self.label = symbols, label
 
+def _recount(exponent: int, classes: int):
+    def recount(key, table, answers):
+        c = _Chunk(table, exponent)
+        s, _, _ = c.sequence(c.answered(answers, "labels", classes), classes + 1)
+        total = _matrix(s, classes + 2)
+        pair = np.flatnonzero(total)
+        return pa.table({"pair": pa.array(pair, pa.int64()), "n": pa.array(total[pair], pa.int64())})
 
-def _score(model: Model, ends: int, exponent: int):
+    return recount
+
+
+def _score(model: Model, exponent: int):
     names = ["n_tokens", "n_known", "logs", "score"]
 
     def score(key, table, answers):
-        distinct, of, pointers, _ = _distinct(table)
-        e = B.bucket_edges(distinct, 64, exponent)
-        known = np.zeros(len(distinct), np.int64)
-        for b, blob in zip(answers["bucket"].to_pylist(), answers["counts"]):
-            n = e[b + 1] - e[b]
-            raw = blob.as_py()
-            known[e[b] : e[b + 1]] = np.frombuffer(raw, "<u4" if len(raw) == 4 * n else "<u8")
-        size = np.diff(pointers)
-        logs = np.log10(known + ADD)
-        last = model.label[model.symbols.end]
-        kind = model.label[model.symbols.of(distinct)]
-        s = np.insert(kind[of], np.concatenate([pointers, pointers[-1:]])[:-1], last)
-        word = np.insert((logs - model.below[kind])[of], pointers[1:], math.log10(ends + ADD) - model.below[last])
-        step = model.transition[s[:-1], s[1:]] + word
-        at = pointers[:-1] + np.arange(len(size))
-        base = np.insert(logs[of], pointers[1:], math.log10(ends + ADD))
-        some = np.insert((known > 0)[of], pointers[1:], ends > 0)
-        total = [np.add.reduceat(x, at) if len(size) else x for x in (some.astype(np.int64), base, step)]
-        carried = [table[c].combine_chunks() for c in table.column_names if c[0] == "c" and c[1:].isdigit()]
-        return pa.table([*carried, table["held"].combine_chunks(), pa.array(size + 1, pa.int64()), *map(pa.array, total)], names=[*(f"c{i}" for i in range(len(carried))), "held", *names])
+        c = _Chunk(table, exponent)
+        known, label = c.answered(answers, "counts", 0), c.answered(answers, "labels", model.none)
+        ends = c.pointers[1:]
+        own, count = np.insert(label[c.of], ends, model.end), np.insert(known[c.of], ends, model.ends)
+        at = c.pointers[:-1] + np.arange(len(c.size))
+        before = np.concatenate([[model.end], own[:-1]])  # an end stands before each text too
+        step = model.step(before, own, count)
+        total = [np.add.reduceat(x, at) if len(at) else x for x in ((count > 0).astype(np.int64), np.log10(count + ADD), step)]
+        carried = [table[x].combine_chunks() for x in table.column_names if x[0] == "c" and x[1:].isdigit()]
+        return pa.table([*carried, table["held"].combine_chunks(), pa.array(c.size + 1, pa.int64()), *map(pa.array, total)], names=[*(f"c{i}" for i in range(len(carried))), "held", *names])
 
     return score
 
 
-def score(docs: DataFrame, held_out: int = 10, carry: list[str] | None = None, frequent: int = FREQUENT, groups: int = GROUPS, classes: int = CLASSES) -> DataFrame:
+def _unfold(batches):
+    for batch in batches:
+        both = np.concatenate([np.zeros((2, 0), np.uint64), *(np.frombuffer(x.as_py(), "<u8").reshape(2, -1) for x in batch.column("top"))], axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(both[0].astype(np.uint64).view(np.int64)), pa.array(both[1].astype(np.int64))], ["h", "n"])
+
+
+def _unfold_matrix(batches):
+    for batch in batches:
+        if batch.num_rows:
+            total = sum(np.frombuffer(x.as_py(), "<i8") for x in batch.column("words"))
+            pair = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int64()), pa.array(total[pair], pa.int64())], ["pair", "n"])
+
+
+def _summed(pairs: DataFrame, size: int) -> np.ndarray:
+    """A count matrix from rows (pair, n); its size is fixed."""
+    out = np.zeros(size * size)
+    found = pairs.groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    out[found["pair"].to_numpy()] = found["n"].to_numpy()
+    return out.reshape(size, size)
+
+
+def score(docs: DataFrame, held_out: int = 10, carry: list[str] | None = None, frequent: int = FREQUENT, classes: int = CLASSES, sweeps: int = SWEEPS) -> DataFrame:
     """The carried columns (``doc_id`` if None), ``held_out``, token counts, ``base_score``, ``score`` and ``perplexity``.
 
     Documents whose crc32(doc_id as text) modulo ``held_out`` is 0 are scored and not learned from.
+    ``classes`` is 126 at most, ``sweeps`` 1 at least.
     """
     carry = ["doc_id"] if carry is None else carry
     ship(docs.sparkSession)
     inner = [f"c{i}" for i in range(len(carry))]
     held = crc_mod("doc_id", held_out) == 0
-    text = F.col("text").cast("string")
-    size = text_bytes(docs)
-    count = max(32, -(-size // CHUNK))
+    own, size = chunks(docs, dict(zip(inner, carry)), CHUNK, held=held)
     exponent = max(3, power_of_two(size / 24 / BUCKET))
-    own = docs.select(*[F.col(f"`{c}`").alias(x) for c, x in zip(carry, inner)], held.alias("held"), text.alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)).alias("chunk"))
-    ask = own.select("held", "text", "chunk").groupBy("chunk").applyInArrow(_ask(exponent), "chunk long, bucket int, words binary, counts binary")
-    counted = cut(ask.groupBy("bucket").applyInArrow(_count(exponent, frequent, groups), "chunk long, bucket int, counts binary, top binary, n long, v long, group_n array<long>, group_v array<long>"))
-    told = counted.filter("chunk = -1")
+    plain = own.select("held", "text", "chunk").groupBy("chunk")
+    told = cut(plain.applyInArrow(_ask(exponent), _ASK).groupBy("bucket").applyInArrow(_count(exponent, frequent), _TOLD))
     n_words, kinds = told.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     ends = docs.filter(~held).count()
     tokens, vocabulary = n_words + ends, kinds + (ends > 0)
-
-    def unfold(blob):
-        for batch in blob:
-            tops = [np.frombuffer(x.as_py(), "<u8").reshape(2, -1) for x in batch.column("top")]
-            both = np.concatenate([np.zeros((2, 0), np.uint64), *tops], axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(both[0].astype(np.uint64).view(np.int64)), pa.array(both[1].astype(np.int64))], ["h", "n"])
-
-    best = told.select("top").mapInArrow(unfold, "h long, n long").orderBy(F.desc("n"), "h").limit(frequent).collect()
-    top = np.array([r["h"] for r in best], np.int64).view(np.uint64)
-    symbols = Symbols(top, groups)
-    spread = told.select(F.posexplode(F.arrays_zip("group_n", "group_v")).alias("g", "x")).groupBy("g").agg(F.sum("x.group_v").alias("v")).collect()
-    per_symbol = np.concatenate([np.ones(len(top)), np.zeros(groups), [1.0 if ends else 0.0]])
-    for r in spread:
-        per_symbol[symbols.first + r["g"]] = r["v"]
-    np.subtract.at(per_symbol, symbols.first + (top % np.uint64(groups)).astype(np.int64), 1)
-    pairs = docs.filter(~held).select(text.alias("text")).mapInArrow(_bigrams(symbols), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    matrix = np.zeros((symbols.end + 1) ** 2)
-    found = pairs.toArrow()
-    matrix[found["pair"].to_numpy()] = found["n"].to_numpy()
-    matrix = matrix.reshape(symbols.end + 1, -1)
-    # an end leads the next text as well: a text begins after the end symbol
-    label = exchange(matrix, classes, SWEEPS)
-    model = Model(symbols, matrix, label, per_symbol, classes)
+    best = told.select("top").mapInArrow(_unfold, "h long, n long").orderBy(F.desc("n"), "h").limit(frequent).collect()
+    symbols = Symbols(np.array([r["h"] for r in best], np.int64).view(np.uint64))
+    pairs = docs.filter(~held).select(F.col("text").cast("string").alias("text")).mapInArrow(_bigrams(symbols), "pair long, n long")
+    between = _summed(pairs, symbols.end + 1)
+    core = exchange(between, classes + 2, alone=2)
+    member = np.zeros((len(core), classes + 2))
+    member[np.arange(len(core)), core] = 1.0
+    model = Model(member.T @ between @ member, tokens, vocabulary, ends)
+    beside = plain.applyInArrow(_beside(symbols, core, exponent, classes, True), _BESIDE)
+    for k in range(sweeps):
+        chosen = beside.groupBy("bucket").applyInArrow(_choose(model, symbols, None if k else core, exponent, k == sweeps - 1), _ANSWER)
+        answers = cut(chosen)
+        if k < sweeps - 1:
+            both = cut(plain.cogroup(answers.groupBy("chunk")).applyInArrow(_beside(symbols, core, exponent, classes, False), _BESIDE))
+            model = Model(_summed(both.filter("bucket = -1").select("words").mapInArrow(_unfold_matrix, "pair long, n long"), classes + 2), tokens, vocabulary, ends)
+            beside = both.filter("bucket >= 0")
+    final = plain.cogroup(answers.groupBy("chunk")).applyInArrow(_recount(exponent, classes), "pair long, n long")
+    model = Model(_summed(final, classes + 2), tokens, vocabulary, ends)
     names = {f.name: f.dataType for f in own.schema}
     schema = T.StructType([*(T.StructField(x, names[x]) for x in inner), T.StructField("held", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("logs", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    answers = counted.filter("chunk >= 0").select("chunk", "bucket", "counts")
-    done = own.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(model, ends, exponent), schema)
-    below = math.log10(tokens + ADD * (vocabulary + 1))
+    done = own.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(model, exponent), schema)
+    below = math.log10(model.below)
     return done.select(
         *[F.col(x).alias(c) for c, x in zip(carry, inner)],
         F.col("held").alias("held_out"),

@@ -9,6 +9,8 @@ from prosemill.session import checkpoint_dir, cut  # noqa: F401  operators take
 
 #: Java regex of the word separators of most contracts: space and \x09-\x0D.
 SPACES = r"[\x20\x09-\x0D]+"
+#: Rows of one id and text that may stand in one chunk.
+REPEATED = 1_000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -28,9 +30,21 @@ def crc_mod(doc_id: Column | str, n: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def text_bytes(docs: DataFrame, text: str = "text") -> int:
-    """UTF-8 bytes in a column: one pass, one row back."""
-    return docs.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0
+def chunks(docs: DataFrame, named: dict[str, str], chunk_bytes: int, **more: Column) -> tuple[DataFrame, int]:
+    """(rows with ``text`` and ``chunk``, the texts' bytes). ``named``: new names of columns to take along.
+
+    A chunk is a set of whole documents that an operator takes at once, by the hash of id and text, so that each round
+    finds the same chunks. A row that is repeated more than ``REPEATED`` times would fill one chunk: then rows are
+    dealt by their place in the table, which is written down because no second reading need find the same places.
+    """
+    text = F.col("text").cast("string")
+    key = F.xxhash64("doc_id", text)
+    counted = docs.select(key.alias("k"), F.octet_length(text).alias("b")).groupBy("k").agg(F.count("*").alias("n"), F.sum("b").alias("b"))
+    told = counted.agg(F.sum("b").alias("b"), F.max("n").alias("n")).first()
+    size, hot = told["b"] or 0, (told["n"] or 0) > REPEATED
+    chunk = F.pmod(F.xxhash64(key, F.monotonically_increasing_id()) if hot else key, F.lit(max(32, -(-size // chunk_bytes))))
+    own = docs.select(*[F.col(f"`{c}`").alias(x) for x, c in named.items()], *[c.alias(x) for x, c in more.items()], text.alias("text"), chunk.alias("chunk"))
+    return cut(own) if hot else own, size
 
 
 def power_of_two(n: float) -> int:

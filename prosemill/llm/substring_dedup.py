@@ -8,8 +8,9 @@ documents of a few megabytes:
 1. Each chunk sends the distinct hashes of all its rolling 18-word windows
    (probes) and of its aligned blocks (anchors) to hash buckets. A bucket says
    which anchors a second chunk probes; a repeat inside a chunk is seen there.
-2. Hits are extended: every 35-word window that holds a hit anchor asks, by a
-   112-bit hash, whether another chunk has it too.
+2. Hits are extended: every 35-word window that holds a hit anchor asks, by 64
+   and 48 bits of two independent hashes of its words, whether another chunk has
+   it too.
 3. Overlapping repeated windows join into maximal exact repeats; their words go.
 
 A chunk names a hash once however often it holds it, and an answer is a bit for
@@ -17,9 +18,13 @@ each question, so a passage that stands in a third of all documents costs each
 chunk one question and no pair of documents is ever written. The text is
 shuffled once; rounds 2 and 3 reuse that exchange.
 
-Null text has no words. Repeated rows count as occurrences of each other.
-Columns beside ``doc_id`` and ``text`` are carried, whatever their names.
-An empty table gives an empty result.
+Null, empty and blank texts have no words. Repeated rows count as occurrences of
+each other; where one id and text is repeated more than ``REPEATED`` times, rows
+are dealt to chunks by their place too, and that is written down first. Columns
+beside ``doc_id`` and ``text`` are carried, whatever their names. A text longer
+than a chunk makes a chunk of that length; its words are hashed in parts. All
+occurrences of a window go, so there are no ties. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prosemill.llm import blocks as B
-from prosemill.llm.shared import power_of_two, text_bytes
+from prosemill.llm.shared import chunks, power_of_two
 from prosemill.session import ship
 
 WINDOW = 35
@@ -64,20 +69,18 @@ class _Chunk:
         self.twice = counts[np.searchsorted(self.probes, self.anchors)] > 1
         self.long = B.window_starts(self.pointers, window, n)
 
-    def edges(self, values: np.ndarray, bits: int) -> np.ndarray:
-        return B.bucket_edges(values, bits, self.exponent)
-
-    def answered(self, edges: np.ndarray, answers: dict[int, bytes], own: np.ndarray) -> np.ndarray:
-        """Own knowledge, and the bits that buckets sent."""
+    def answered(self, values: np.ndarray, bits: int, answers: dict[int, bytes], own: np.ndarray) -> np.ndarray:
+        """Own knowledge, and the bits that buckets sent about ascending values."""
         out = own.copy()
-        for bucket, bits in answers.items():
-            lo, hi = edges[bucket], edges[bucket + 1]
-            out[lo:hi] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=hi - lo).astype(bool)
+        buckets, edge = B.bucket_edges(values, bits, self.exponent)
+        for bucket, lo, hi in zip(buckets.tolist(), edge[:-1].tolist(), edge[1:].tolist()):
+            if bucket in answers:
+                out[lo:hi] |= np.unpackbits(np.frombuffer(answers[bucket], np.uint8), count=hi - lo).astype(bool)
         return out
 
     def extend(self, answers: dict[int, bytes]) -> None:
         """The windows that hold a hit anchor: ``start`` by ``order`` gives ``one``, ``two``, ascending and distinct."""
-        hit = self.answered(self.edges(self.anchors, self.bits), answers, self.twice)
+        hit = self.answered(self.anchors, self.bits, answers, self.twice)
         at = self.anchor_at[hit[np.searchsorted(self.anchors, self.anchor_of)]]
         n = len(self.words)
         near = np.zeros(n + 1, np.int32)
@@ -85,7 +88,7 @@ class _Chunk:
         np.add.at(near, at + 1, -1)
         start = np.flatnonzero((np.cumsum(near[:-1]) > 0) & self.long)
         one = B.rolling(self.words, self.window)[start] if len(start) else np.zeros(0, np.uint64)
-        two = B.rolling(self.words, self.window, True)[start] >> np.uint64(16) if len(start) else one
+        two = B.rolling(B.hashed(self.data, self.at, seed=1)[0], self.window, 1)[start] >> np.uint64(16) if len(start) else one
         order = np.lexsort((two, one))
         start, one, two = start[order], one[order], two[order]
         new = np.ones(len(start), bool)
@@ -96,7 +99,7 @@ class _Chunk:
 
     def removed(self, answers: dict[int, bytes]) -> np.ndarray:
         """Which words repeated windows cover."""
-        repeated = self.answered(self.edges(self.one, 64), answers, self.several)
+        repeated = self.answered(self.one, 64, answers, self.several)
         at = self.start[repeated[self.group]] if len(self.start) else self.start
         cover = np.zeros(len(self.words) + 1, np.int32)
         np.add.at(cover, at, 1)
@@ -120,8 +123,9 @@ def _answers(table: pa.Table, kind: int) -> dict[int, bytes]:
 def _probe(window, bits, exponent):
     def ask(key, table):
         c = _Chunk(table, window, bits, exponent)
-        p, a = c.edges(c.probes, bits), c.edges(c.anchors, bits)
-        return _rows(_ASK_ARROW, [(key[0].as_py(), b, B.pack(c.probes[p[b] : p[b + 1]], b << (bits - exponent)), B.pack(c.anchors[a[b] : a[b + 1]], b << (bits - exponent))) for b in range(1 << exponent) if p[b] < p[b + 1]])
+        buckets, p = B.bucket_edges(c.probes, bits, exponent)
+        a = np.append(np.searchsorted(c.anchors, buckets.astype(np.uint64) << np.uint64(bits - exponent)), len(c.anchors))  # anchors are probes too
+        return _rows(_ASK_ARROW, [(key[0].as_py(), b, B.pack(c.probes[p[i] : p[i + 1]], b << (bits - exponent)), B.pack(c.anchors[a[i] : a[i + 1]], b << (bits - exponent))) for i, b in enumerate(buckets.tolist())])
 
     return ask
 
@@ -145,8 +149,8 @@ def _extend(window, bits, exponent):
     def ask(key, table, answers):
         c = _Chunk(table, window, bits, exponent)
         c.extend(_answers(answers, 1))
-        e = c.edges(c.one, 64)
-        return _rows(_ASK_ARROW, [(key[0].as_py(), b, B.pack(c.one[e[b] : e[b + 1]]), c.two[e[b] : e[b + 1]].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()) for b in range(1 << exponent) if e[b] < e[b + 1]])
+        buckets, e = B.bucket_edges(c.one, 64, exponent)
+        return _rows(_ASK_ARROW, [(key[0].as_py(), b, B.pack(c.one[lo:hi]), c.two[lo:hi].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()) for b, lo, hi in zip(buckets.tolist(), e[:-1].tolist(), e[1:].tolist())])
 
     return ask
 
@@ -221,13 +225,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = True
     """
     ship(docs.sparkSession)
     carry = [c for c in docs.columns if c != "text"] if carry is None else carry
-    size = text_bytes(docs)
-    count = max(32, -(-size // CHUNK))
-    exponent = max(3, power_of_two(size / 6 / BUCKET))
-    bits = min(60, max(40, power_of_two(size / 6 + 1) + 10))
     inner = [f"c{i}" for i in range(len(carry))]
     # the operator's own columns have names of its own, so columns of any name can be carried
-    own = docs.select(*[F.col(f"`{c}`").alias(x) for c, x in zip(carry, inner)], F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)).alias("chunk"))
+    own, size = chunks(docs, dict(zip(inner, carry)), CHUNK)
+    exponent = max(3, power_of_two(size / 6 / BUCKET))
+    bits = min(60, max(40, power_of_two(size / 6 + 1) + 10))
     grouped = own.groupBy("chunk")
     ask = grouped.applyInArrow(_probe(window, bits, exponent), _ASK)
     hits = ask.groupBy("bucket").applyInArrow(_match(bits, exponent), _ANSWER).withColumn("round", F.lit(1))

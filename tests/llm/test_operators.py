@@ -175,8 +175,8 @@ def test_bpe_on_odd_texts():
     texts = ["".join(RNG.choice(alphabet, int(n))) for n in RNG.integers(0, 80, 400)]
     words = sorted({w for x in texts for w in x.encode().split()})
     encoder = bpe.Encoder(v)
-    encoder.learn(list(range(len(words))), words)
-    at = {w: encoder.words[i] for i, w in enumerate(words)}
+    encoder.learn(words)
+    at = encoder.words
     for x in texts:
         ids = t.encode(x, add_special_tokens=False).ids
         own = [at[w] for w in x.encode().split() if at[w][0]]
@@ -184,20 +184,76 @@ def test_bpe_on_odd_texts():
         assert b" ".join(o[2] for o in own).decode() == t.decode(ids, skip_special_tokens=False) == bpe.decode(v, ids)
 
 
-def test_class_lm(docs, table):
-    low = lambda t: [w.decode() for w in (t or "").encode().lower().split()]
-    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
-    counts, ends = Counter(), 0
-    for i, t in table:
-        if not held(i):
-            counts.update(low(t))
-            ends += 1
-    n, v = sum(counts.values()) + ends, len(counts) + 1
-    found = class_lm.score(docs, frequent=20, groups=8, classes=6).collect()
-    log = lambda c: math.log10((c + 0.1) / (n + 0.1 * (v + 1)))
-    out = Counter((i, held(i), len(low(t)) + 1, sum(counts[w] > 0 for w in low(t)) + 1, n, round(sum(log(counts[w]) for w in low(t)) + log(ends), 5)) for i, t in table)
-    assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5)) for r in found) == out
-    assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in found)
+def _class_model(texts, learned, frequent, classes, sweeps):
+    """The class model word by word: (log10 probability of each text, what the base counts need)."""
+    low = [[w.decode() for w in (t or "").encode().lower().split()] for t in texts]
+    train = [w for w, own in zip(low, learned) if own]
+    counts, ends = Counter(x for w in train for x in w), len(train)
+    raw = {x: np.frombuffer(x.encode(), np.uint8) for x in counts}
+    h = {x: int(blocks.hashed(d, np.array([0, len(d)]))[0][0]) for x, d in raw.items()}
+    none, end, signed = classes, classes + 1, lambda v: v - 2**64 if v >> 63 else v
+    top = sorted(counts, key=lambda x: (-counts[x], signed(h[x])))[:frequent]
+    number = {x: i for i, x in enumerate(top)}
+    between = np.zeros((len(top) + 2,) * 2)
+    for w in train:
+        s = [len(top) + 1, *(number.get(x, len(top)) for x in w), len(top) + 1]
+        for a, b in zip(s, s[1:]):
+            between[a, b] += 1
+    core = class_lm.exchange(between, classes + 2, alone=2)
+    label = {x: int(core[number[x]]) if x in number else none for x in counts}
+
+    def model():
+        m = np.zeros((classes + 2,) * 2)
+        for w in train:
+            s = [end, *(label[x] for x in w), end]
+            for a, b in zip(s, s[1:]):
+                m[a, b] += 1
+        row, col = m.sum(1), m.sum(0)
+        share = lambda x: (x + 0.1) / (x.sum() + 0.1 * len(x))
+        t = class_lm.TRANSITION
+        return m, (m + t * share(col)[None]) / (row[:, None] + t), (m + t * share(row)[:, None]) / (col[None] + t), col
+
+    for k in range(sweeps):
+        _, forward, backward, _ = model()
+        around = {x: ([0] * (classes + 2), [0] * (classes + 2)) for x in counts}
+        for w in train:
+            s = [end, *(label[x] for x in w), end]
+            for i, x in enumerate(w):
+                around[x][0][s[i]] += 1
+                around[x][1][s[i + 2]] += 1
+        new = {}
+        for x, (before, behind) in around.items():
+            gain = [sum(n * math.log(backward[c, d]) for c, n in enumerate(before) if n) + sum(n * math.log(forward[d, c]) for c, n in enumerate(behind) if n) for d in range(classes)]
+            new[x] = label[x] if k == 0 and x in number else int(np.argmax(np.round(gain, 9)))
+        label = new
+    _, forward, _, size = model()
+    n, v = sum(counts.values()) + ends, len(counts) + (ends > 0)
+    below, out = n + 0.1 * (v + 1), []
+    for w in low:
+        total, before = 0.0, end
+        for x in [*w, None]:
+            c, own = (ends, end) if x is None else (counts[x], label.get(x, none))
+            by_class = 0 if own == none or not size[own] else forward[before, own] * c / size[own]
+            total += math.log10((1 - class_lm.BASE) * by_class + class_lm.BASE * (c + 0.1) / below)
+            before = own
+        out.append(total)
+    return out, (low, counts, ends, n, below)
+
+
+@pytest.mark.parametrize(("frequent", "classes", "sweeps"), [(20, 6, 1), (30, 5, 3)])
+def test_class_lm(docs, table, frequent, classes, sweeps):
+    held = [zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0 for i, _ in table]
+    scores, (low, counts, ends, n, below) = _class_model([t for _, t in table], [not x for x in held], frequent, classes, sweeps)
+    found = class_lm.score(docs, frequent=frequent, classes=classes, sweeps=sweeps).collect()
+    log = lambda c: math.log10((c + 0.1) / below)
+    out = Counter((i, x, len(w) + 1, sum(counts[y] > 0 for y in w) + 1, n, round(sum(log(counts[y]) for y in w) + log(ends), 4), round(s, 4)) for (i, _), x, w, s in zip(table, held, low, scores))
+    assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4), round(r["score"], 4)) for r in found) == out
+
+
+def test_class_lm_gains_on_held_out_texts(spark):
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    r = class_lm.score(d).filter("held_out").agg(F.sum("base_score").alias("b"), F.sum("score").alias("s"), F.sum("n_tokens").alias("n")).first()
+    assert (r["s"] - r["b"]) / r["n"] > 0.25  # log10 a token
 
 
 def test_exchange_finds_classes():
@@ -205,7 +261,7 @@ def test_exchange_finds_classes():
     counts[:10, 10:20] = 9  # words of one kind are followed by the other
     counts[10:20, :10] = 7
     counts[20, :10] = counts[10:20, 20] = 3
-    label = class_lm.exchange(counts, 3, 10)
+    label = class_lm.exchange(counts, 3)
     assert len(set(label[:10])) == 1 and len(set(label[10:20])) == 1 and label[0] != label[10] and label[20] == 2
 
 
@@ -363,6 +419,47 @@ def test_empty_tables(spark, docs, labels):
         assert df.count() == 0
 
 
+def _thue_morse(n):
+    one = bytes(97 + (i.bit_count() & 1) for i in range(n))
+    return one.decode(), bytes(195 - c for c in one).decode()
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_in_the_order_of_thue_and_morse(spark, n):
+    """No polynomial modulo 2**64 tells such words apart."""
+    a, b = _thue_morse(n)
+    filler = [f"v{i}" for i in range(34)]
+    d = spark.createDataFrame([(1, " ".join([*filler, a])), (2, " ".join([*filler, b])), (3, f"{a} {b} {a}")], "doc_id long, text string")
+    assert not substring_dedup.remove_repeats(d).filter("n_removed > 0").count()
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    found = {r["doc_id"]: r["ids"] for r in bpe.encode(d, public_tokenizers.path("word_bpe_49k.json")).collect()}
+    assert found == {r["doc_id"]: t.encode(r["text"], add_special_tokens=False).ids for r in d.collect()}
+    # windows of words in that order: 64 of them
+    x, y = ([f"w{c}" for c in s[:64]] for s in (a, b))
+    d = spark.createDataFrame([(1, " ".join(x)), (2, " ".join(y))], "doc_id long, text string")
+    assert not substring_dedup.remove_repeats(d, 64).filter("n_removed > 0").count()
+
+
+def test_equal_hashes_do_not_join_words():
+    words = [b"ab", b"cd", b"ab", b"x" * 100, b"y" * 100, b"ab", b"x" * 100, b"cdcdcdcdcd", b"cdcdcdcdce"]
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    begin, end, _ = blocks.words(data, np.array([0, len(data)]))
+    for h in (np.zeros(len(words), np.uint64), np.array([len(w) for w in words], np.uint64), blocks.word_hashes(data, begin, end)):
+        first, of = bpe.distinct_words(data, begin, end, h)
+        assert [words[first[k]] for k in of] == words and len(first) == len(set(words))
+
+
+def test_rows_repeated_without_end(spark, monkeypatch):
+    """One id and text in most rows: dealt by place, results the same."""
+    passage = " ".join(f"p{i}" for i in range(50))
+    d = spark.createDataFrame([(7, passage)] * 60 + [(8, f"own {passage} tail"), (9, "a b c"), (None, ""), (None, "")], "doc_id long, text string").repartition(6)
+    monkeypatch.setattr("prosemill.llm.shared.REPEATED", 10)
+    same(substring_dedup.remove_repeats(d), [(7, 50, 50)] * 60 + [(8, 52, 50), (9, 3, 0), (None, 0, 0), (None, 0, 0)], "doc_id", "n_words", "n_removed")
+    many = {round(r["score"], 6) for r in class_lm.score(d).filter("doc_id = 7").collect()}
+    monkeypatch.undo()
+    assert many == {round(r["score"], 6) for r in class_lm.score(d).filter("doc_id = 7").collect()} and len(many) == 1
+
+
 def test_hashes_of_slices():
     text = "ab cd  ab\tcd".encode()
     data, at = np.frombuffer(text, np.uint8), np.array([0, len(text)])
