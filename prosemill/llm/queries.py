@@ -80,9 +80,9 @@ FROM d LEFT JOIN p USING (r) LEFT JOIN x USING (r)
 """
 
 _OP8_SQL = """
-WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
-k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM t),
-p AS (SELECT conv_id, k, list({'r': role, 't': text}) OVER (PARTITION BY conv_id ORDER BY k) AS l, count(*) OVER (PARTITION BY conv_id) AS n FROM k),
+WITH t AS (SELECT DISTINCT conv_id, CASE WHEN conv_id IS NULL THEN row(turn, coalesce(role, ''), coalesce(text, '')) END AS solo, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+k AS (SELECT *, row_number() OVER (PARTITION BY conv_id, solo ORDER BY turn NULLS FIRST) AS k FROM t),
+p AS (SELECT conv_id, solo, k, list({'r': role, 't': text}) OVER (PARTITION BY conv_id, solo ORDER BY k) AS l, count(*) OVER (PARTITION BY conv_id, solo) AS n FROM k),
 w AS (SELECT min(conv_id) AS conv_id, n AS n_turns, count(*) AS n_copies, l FROM p WHERE k = n GROUP BY n, l),
 m AS (SELECT * FROM w ANTI JOIN (SELECT DISTINCT l FROM p WHERE k < n) q USING (l))
 SELECT conv_id, n_turns, n_copies, array_to_string(list_transform(l, lambda x: '<|' || x.r || '|>' || chr(10) || x.t || chr(10)), '') AS text FROM m

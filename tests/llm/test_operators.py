@@ -338,6 +338,20 @@ def test_chat(spark):
     assert not chat.render(d.filter("false")).count()
 
 
+def test_chat_equals_its_sql(spark):
+    import duckdb
+
+    from prosemill.llm.queries import oracle_sql
+
+    rows = [(1, 0, None, ""), (2, 0, "", None), (3, 0, None, None), (4, 0, "", ""), (5, 0, "a", "x"), (5, 1, None, "y"), (6, 0, "a", "x"), (6, 1, "", "y"), (7, 0, "a", "x"), (None, 0, "a", "x"), (None, 1, "b", "z"), (None, 1, "b", "z"), (None, 2, "b", "z"), (8, None, "a", "x"), (9, 3, "a", "x " * 50_000), (9, 4, "a", "x")]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    db = duckdb.connect()
+    db.register("conversations", d.toArrow())
+    expected = db.execute(oracle_sql()["op8_chat_format"]).fetchall()
+    same(chat.render(d), expected, "conv_id", "n_turns", "n_copies", "text")
+    assert (1, 1, 4, "<||>\n\n") in expected and (None, 1, 2, "<|b|>\nz\n") in expected
+
+
 def test_quality_counts_and_ratio(docs, labels, table):
     found = quality_rules.judge(docs, labels).collect()
     out = []
