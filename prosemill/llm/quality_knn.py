@@ -13,8 +13,13 @@ each label, those of the least id hashes, taken from the learning folds alone.
 Documents pass through two narrow scans; nothing of theirs is shuffled.
 
 Null, empty and one-byte texts have no terms: they score the sample's mean
-label. A label that is repeated counts once, as 1 if any of its rows is. Without
-labels every score is 0.5. Repeated rows each get their score.
+label. Neighbours as near as the last of the nearest vote too, so ties need no
+order. A label that is repeated counts once, as 1 if any of its rows is; of
+several texts of one id the one of the least hash is learned from; labels of
+absent ids count for nothing. Without labels every score is 0.5. Very long texts
+are read in parts. Repeated rows each get their score. Ids are of any type; extra
+columns are carried or left out, whatever their names. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -78,7 +83,8 @@ def labelled(docs: DataFrame, labels: DataFrame, name: str, per_label: int | dic
     own = labels.filter(F.col(name).isNotNull() & F.col("doc_id").isNotNull() & (crc_mod("doc_id", folds) != 0)).groupBy("doc_id").agg((F.max(name) > 0).cast("int").alias("label"))
     parts = [own.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label if isinstance(per_label, int) else per_label[k]) for k in (0, 1)]
     # bounded by the limits, so it can be sent
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(parts[0].union(parts[1])), "doc_id")
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(parts[0].union(parts[1])), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x")).select("doc_id", "label", "x.text")
 
 
 def latent(counts: np.ndarray, dimensions: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -107,10 +113,10 @@ def vote(z: np.ndarray, known: np.ndarray, label: np.ndarray, prior: float) -> n
     """The label mean of the nearest, weighted by powers of their cosines."""
     cosine = np.maximum(z @ known.T, 0)
     k = min(NEIGHBOURS, len(known))
-    near = np.argpartition(-cosine, k - 1, axis=1)[:, :k] if k < len(known) else np.tile(np.arange(len(known)), (len(z), 1))
-    weight = np.take_along_axis(cosine, near, 1).astype(np.float64) ** SHARPNESS
+    last = np.partition(cosine, len(known) - k, axis=1)[:, len(known) - k]
+    weight = np.where(cosine >= last[:, None], cosine, 0).astype(np.float64) ** SHARPNESS
     total = weight.sum(1)
-    return np.where(total > 0, (weight * label[near]).sum(1) / np.maximum(total, 1e-300), prior)
+    return np.where(total > 0, weight @ label / np.maximum(total, 1e-300), prior)
 
 
 def _score(model, names: list[str]):
@@ -131,8 +137,9 @@ def _score(model, names: list[str]):
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, folds: int = FOLDS) -> dict | None:
-    sample = labelled(docs, labels, "quality", per_label, folds).mapInArrow(_sample_terms, "doc_id long, label int, terms array<int>, counts array<float>")
-    rows = sample.dropDuplicates(["doc_id"]).toArrow()  # 2 * per_label rows at most
+    sample = labelled(docs, labels, "quality", per_label, folds)
+    schema = T.StructType([sample.schema["doc_id"], T.StructField("label", T.IntegerType()), T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.FloatType()))])
+    rows = sample.mapInArrow(_sample_terms, schema).toArrow()  # 2 * per_label rows at most
     if not rows.num_rows:
         return None
     rows = rows.sort_by("doc_id")

@@ -7,14 +7,20 @@ in one text: an insult beside the mention of a group weighs more than both alone
 
 Two steps learn from the labelled sample, up to ``PER_LABEL`` rows of each label
 from the learning folds (those of the least id hashes). A scan counts in how many
-toxic and other texts each bucket stands; the up to ``FEATURES`` buckets with the
-highest chi-squared, ``LEAST`` at least, are kept. The machine is fitted on those
-by minibatches of Adagrad with a fixed seed. One more narrow scan scores every
-document; nothing of theirs is shuffled.
-
-Null and empty texts have no terms and score the machine's bias. A label that is
-repeated counts once, as toxic if any of its rows is. Without labels of both
-kinds the score is the share of toxic rows (0.5 without any).
+toxic and other texts each bucket stands. Of m buckets in two texts or more (and
+absent from as many), those whose chi-squared passes 2 ln m are kept, about the
+largest that m buckets reach by chance, whatever the size of the sample; of more
+than ``FEATURES`` the best, ties by number. The machine is fitted on those by
+``STEPS`` minibatches of Adagrad with a fixed seed. One more narrow scan scores
+every document; nothing of theirs is shuffled.
+
+Null, empty and blank texts have no terms and score the machine's bias. A label
+that is repeated counts once, as toxic if any of its rows is; of several texts of
+one id the one of the least hash is learned from; labels of absent ids count for
+nothing. Without labels of both kinds the score is the share of toxic rows (0.5
+without any). Very long texts are read in parts. Repeated rows each get their
+score. Ids are of any type; extra columns are carried or left out, whatever their
+names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +38,7 @@ from prosemill.session import ship
 
 #: Labelled rows of each label that the machine learns from at most.
 PER_LABEL = {0: 12_000, 1: 8_000}
-BUCKETS, FEATURES, LEAST, FACTORS = 1 << 18, 1024, 25.0, 8
+BUCKETS, FEATURES, FACTORS, STEPS = 1 << 18, 1024, 8, 900
 FOLDS, THRESHOLD = 5, 0.5
 _SEPARATOR = np.ones(256, bool)
 _SEPARATOR[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
@@ -105,35 +111,35 @@ def margin(x: np.ndarray, bias: float, weight: np.ndarray, factor: np.ndarray) -
     return bias + x @ weight + 0.5 * ((inner**2).sum(1) - (x @ (factor**2)).sum(1))
 
 
-def train(rows: list[np.ndarray], label: np.ndarray, n: int, epochs: int = 12, batch: int = 256, rate: float = 0.1, shrink: float = 1e-4, seed: int = 11) -> tuple[float, np.ndarray, np.ndarray]:
+def train(rows: list[np.ndarray], label: np.ndarray, n: int, steps: int = STEPS, batch: int = 256, rate: float = 0.1, shrink: float = 1e-4, seed: int = 11) -> tuple[float, np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
     share = np.clip(label.mean(), 1e-3, 1 - 1e-3)
     bias, weight = float(np.log(share / (1 - share))), np.zeros(n, np.float32)
     factor = rng.normal(0, 0.02, (n, FACTORS)).astype(np.float32)
     seen = [1e-6, np.full(n, 1e-6, np.float32), np.full((n, FACTORS), 1e-6, np.float32)]
-    epochs = max(epochs, min(120, 60_000 // max(1, len(rows))))  # a small sample is gone through more often
-    for _ in range(epochs):
-        order = rng.permutation(len(rows))
-        for lo in range(0, len(rows), batch):
-            own = order[lo : lo + batch]
-            x = np.zeros((len(own), n), np.float32)
-            for i, k in enumerate(own):
-                x[i, rows[k]] = 1
-            p = 1 / (1 + np.exp(-np.clip(margin(x, bias, weight, factor), -30, 30)))
-            error = ((p - label[own]) / len(own)).astype(np.float32)
-            inner = x @ factor
-            by_weight = x.T @ error + shrink * weight
-            by_factor = x.T @ (error[:, None] * inner) - (x.T @ error)[:, None] * factor + shrink * factor
-            for k, gradient in enumerate((float(error.sum()), by_weight, by_factor)):
-                seen[k] = seen[k] + gradient**2
-            bias -= rate * float(error.sum()) / seen[0] ** 0.5
-            weight -= rate * by_weight / np.sqrt(seen[1])
-            factor -= rate * by_factor / np.sqrt(seen[2])
+    order = np.zeros(0, np.int64)
+    for _ in range(steps):
+        while len(order) < min(batch, len(rows)):
+            order = np.concatenate([order, rng.permutation(len(rows))])
+        own, order = order[:batch], order[batch:]
+        x = np.zeros((len(own), n), np.float32)
+        for i, k in enumerate(own):
+            x[i, rows[k]] = 1
+        p = 1 / (1 + np.exp(-np.clip(margin(x, bias, weight, factor), -30, 30)))
+        error = ((p - label[own]) / len(own)).astype(np.float32)
+        inner = x @ factor
+        by_weight = x.T @ error + shrink * weight
+        by_factor = x.T @ (error[:, None] * inner) - (x.T @ error)[:, None] * factor + shrink * factor
+        for k, gradient in enumerate((float(error.sum()), by_weight, by_factor)):
+            seen[k] = seen[k] + gradient**2
+        bias -= rate * float(error.sum()) / seen[0] ** 0.5
+        weight -= rate * by_weight / np.sqrt(seen[1])
+        factor -= rate * by_factor / np.sqrt(seen[2])
     return bias, weight, factor
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
-    sample = cut(labelled(docs, labels, "toxic", PER_LABEL, FOLDS).dropDuplicates(["doc_id"]))
+    sample = cut(labelled(docs, labels, "toxic", PER_LABEL, FOLDS))
     n0, n1 = (sample.groupBy().agg(F.count(F.when(F.col("label") == k, 1)).alias("n")).first()["n"] for k in (0, 1))
     constant = {"bias": 0.0 if not n0 + n1 else float(np.log((n1 + 0.5) / (n0 + 0.5))), "chosen": np.zeros(0, np.int64), "weight": np.zeros(0, np.float32), "factor": np.zeros((0, FACTORS), np.float32)}
     if not n0 or not n1:
@@ -142,11 +148,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     a, b, n = F.col("a"), F.col("b"), n0 + n1
     cross = a * (n1 - b) - b * (n0 - a)
     chi = n * cross * cross / ((a + b) * (n - a - b) * n0 * n1)
-    best = counted.filter(a + b < n).withColumn("chi", chi).filter(F.col("chi") >= LEAST).orderBy(F.desc("chi"), "bucket").limit(FEATURES).collect()
+    tested = cut(counted.filter((a + b >= 2) & (a + b <= n - 2)).withColumn("chi", chi))
+    chance = 2 * np.log(max(1, tested.count()))
+    best = tested.filter(F.col("chi") > float(chance)).orderBy(F.desc("chi"), "bucket").limit(FEATURES).collect()
     if not best:
         return constant
     chosen = np.array(sorted(r["bucket"] for r in best), np.int64)
-    rows = sample.mapInArrow(_sample_features(chosen), "doc_id long, label int, has array<int>").toArrow().sort_by("doc_id")
+    schema = T.StructType([sample.schema["doc_id"], T.StructField("label", T.IntegerType()), T.StructField("has", T.ArrayType(T.IntegerType()))])
+    rows = sample.mapInArrow(_sample_features(chosen), schema).toArrow().sort_by("doc_id")
     has = [x.values.to_numpy() for x in rows["has"]]
     bias, weight, factor = train(has, rows["label"].to_numpy().astype(np.float32), len(chosen))
     return {"bias": bias, "chosen": chosen, "weight": weight, "factor": factor}

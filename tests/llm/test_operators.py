@@ -419,13 +419,108 @@ def test_factors_learn_pairs():
         has = [k for k in range(6) if rng.random() < 0.5]
         rows.append(np.array(has, np.int32))
         y.append(float(0 in has and 1 in has))  # neither term is enough alone
-    model = toxicity_fm.train(rows, np.array(y, np.float32), 6, epochs=60)
+    model = toxicity_fm.train(rows, np.array(y, np.float32), 6, steps=400)
     x = np.zeros((1500, 6), np.float32)
     for i, h in enumerate(rows):
         x[i, h] = 1
     assert ((toxicity_fm.margin(x, *model) > 0) == np.array(y)).mean() > 0.97
 
 
+def test_vote():
+    rng = np.random.default_rng(1)
+    known = quality_knn.unit(rng.normal(size=(60, 5)).astype(np.float32))
+    known[40:50] = known[3]  # ties
+    label = rng.integers(0, 2, 60).astype(float)
+    z = np.concatenate([quality_knn.unit(rng.normal(size=(30, 5)).astype(np.float32)), np.zeros((1, 5), np.float32)])
+    out = []
+    for q in z:
+        cosines = [max(0.0, float(np.dot(q, k))) for k in known]
+        last = sorted(cosines)[-quality_knn.NEIGHBOURS]
+        votes = [(c**quality_knn.SHARPNESS, y) for c, y in zip(cosines, label) if c >= last - 1e-7]
+        total = sum(v for v, _ in votes)
+        out.append(sum(v * y for v, y in votes) / total if total else 0.3)
+    assert np.allclose(quality_knn.vote(z, known, label, 0.3), out, atol=1e-5)
+    assert quality_knn.vote(z, known[:1], label[:1], 0.3).shape == (31,)
+
+
+def test_knn_scores_by_the_formula(docs, labels, table):
+    """All of it but the singular vectors, which are checked for what they span."""
+    m = quality_knn.fit(docs, labels)
+    text = {i: t for i, t in table}
+    y = defaultdict(int)
+    for r in labels.collect():
+        if r["doc_id"] is not None and r["quality"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5:
+            y[r["doc_id"]] = max(y[r["doc_id"]], r["quality"])
+    assert list(m["label"]) == [y[i] for i in sorted(y)]
+
+    def counts(t):
+        raw, out = (t or "").encode(), np.zeros(quality_knn.TERMS)
+        for a, b in zip(raw, raw[1:]):
+            out[(((a * 0x9E3779B1 + b * 0x85EBCA77) % 2**32) >> 8) % (quality_knn.TERMS - quality_knn.ECHOES)] += 1
+        w = split(t)
+        out[quality_knn.TERMS - quality_knn.ECHOES :] = sum(a == b for a, b in zip(w, w[1:]))
+        return out
+
+    sample = np.array([counts(text[i]) for i in sorted(y)])
+    idf = np.log((1 + len(sample)) / (1 + (sample > 0).sum(0))) + 1
+    assert np.allclose(idf, m["idf"], atol=1e-4)
+    place = lambda c: quality_knn.unit(quality_knn.weigh(c[None], idf) @ m["base"])[0]
+    assert np.allclose([place(c) for c in sample], m["known"], atol=1e-3)
+    assert np.allclose(m["base"].T @ m["base"], np.eye(m["base"].shape[1]), atol=1e-3)
+    want = quality_knn.vote(np.array([place(counts(t)) for _, t in table], np.float32), m["known"], m["label"], m["prior"])
+    got = sorted((r["score"], r["predicted"]) for r in quality_knn.classify(docs, labels).collect())
+    assert np.allclose([g for g, _ in got], sorted(want), atol=2e-3) and all(p == (g >= 0.3) for g, p in got)
+
+
+def test_machine_selects_and_scores(spark):
+    """Terms by their chi-squared, scores by all pairs, on texts where only the pair is toxic."""
+    rng = np.random.default_rng(3)
+    rows, y = [], []
+    for i in range(1500):
+        w = [f"n{k}" for k in rng.integers(0, 300, 20)] + [x for x in ("Alpha", "omega") if rng.random() < 0.5]
+        y.append(int("Alpha" in w and "omega" in w))
+        rows.append((f"id{i}", " ".join(rng.permutation(w))))
+    d = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
+    labels = spark.createDataFrame([(f"id{i}", v) for i, v in enumerate(y)] + [("absent", 1)], "doc_id string, toxic int")
+    got = {r["doc_id"]: r for r in toxicity_fm.classify(d, labels).collect()}
+    held = [i for i in range(1500) if zlib.crc32(f"id{i}".encode()) % 5 == 0]
+    assert np.mean([got[f"id{i}"]["predicted"] == y[i] for i in held]) > 0.97
+    m = toxicity_fm.fit(d, labels)
+
+    def buckets(t):
+        out = set()
+        for w in re.findall("[0-9a-z\x80-\xff]+", t.lower().encode().decode("latin1")):
+            raw = np.frombuffer(w.encode("latin1"), np.uint8)
+            for tag, size in ((0, len(raw)), (1, 4), (2, 5)):
+                h = blocks.mix(blocks.word_hashes(raw, np.array([0]), np.array([min(size, len(raw))])) + np.uint64(tag))
+                out.add(int(h[0]) % toxicity_fm.BUCKETS)
+        return out
+
+    own = [buckets(t) for _, t in rows]
+    learn = [i for i in range(1500) if i not in set(held)]
+    n, n1 = len(learn), sum(y[i] for i in learn)
+    a, b = Counter(x for i in learn if not y[i] for x in own[i]), Counter(x for i in learn if y[i] for x in own[i])
+    chi = {x: n * (a[x] * n1 - b[x] * (n - n1)) ** 2 / ((a[x] + b[x]) * (n - a[x] - b[x]) * n1 * (n - n1)) for x in a.keys() | b.keys() if 2 <= a[x] + b[x] <= n - 2}
+    assert set(m["chosen"].tolist()) == {x for x, c in chi.items() if c > 2 * math.log(len(chi))}
+    at = {int(x): i for i, x in enumerate(m["chosen"])}
+    for i in range(60):
+        has = [at[x] for x in own[i] if x in at]
+        z = m["bias"] + sum(float(m["weight"][j]) for j in has) + sum(float(m["factor"][j] @ m["factor"][k]) for j, k in combinations(has, 2))
+        assert abs(got[f"id{i}"]["score"] - 1 / (1 + math.exp(-z))) < 1e-3
+
+
+@pytest.mark.parametrize("classify", [quality_knn.classify, toxicity_fm.classify])
+def test_any_ids_repeated_ids_and_absent_labels(spark, docs, labels, classify):
+    """Ids as text, one id with several texts: the same scores however rows are dealt out."""
+    d = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    d = d.union(d.filter("doc_id % 4 = 2").withColumn("text", F.concat(F.lit("more of it "), F.reverse("text"))))
+    named = labels.select(F.col("doc_id").cast("string").alias("doc_id"), "quality", "toxic").union(spark.createDataFrame([("no such", 1, 1)], "doc_id string, quality int, toxic int"))
+    runs = [Counter((r["doc_id"], round(r["score"], 3), r["predicted"]) for r in classify(d.repartition(n), named).collect()) for n in (1, 7)]
+    assert runs[0] == runs[1]
+    one = d.filter("doc_id = '9'")
+    assert classify(one, named).count() == one.count()
+
+
 def test_empty_tables(spark, docs, labels):
     none, no_labels = docs.filter("false"), labels.filter("false")
     bench = spark.createDataFrame([], "item_id long, text string")
