@@ -369,12 +369,12 @@ def test_quality_counts_and_ratio(docs, labels, table):
         out.append((i, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, rep, len(w) < 50 or 100 * rep > 50 * len(w)))
     same(found, out, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     # the ratio, by the formula, over the hashes that Spark gives
-    words = sorted({x for _, t in table for x in split(t)})
-    h = {r["w"]: (r["h"], r["e"]) for r in docs.sparkSession.createDataFrame([(x,) for x in words], "w string").select("w", F.xxhash64("w").alias("h"), F.xxhash64(F.substring("w", -2, 2)).alias("e")).collect()}
-    pairs = sorted({(k, h[a][j], h[b][j]) for _, t in table for a, b in zip(split(t), split(t)[1:]) for k, j in ((2, 0), (3, 1))})
-    two = {(r["k"], r["a"], r["b"]): r["x"] for r in docs.sparkSession.createDataFrame(pairs, "k int, a long, b long").select("k", "a", "b", F.xxhash64("k", "a", "b").alias("x")).collect()}
+    every = sorted({x for _, t in table for a, b in zip(split(t), [*split(t)[1:], None]) for x in ((1, a, ""), *([(2, a, b), (3, a[-2:], b[-2:])] if b else []))})
+    rows = docs.sparkSession.createDataFrame(every, "k int, a string, b string").select("*", F.when(F.col("k") == 1, F.xxhash64("k", "a")).otherwise(F.xxhash64("k", "a", "b")).alias("x")).collect()
+    at = {(r["k"], r["a"], r["b"]): r["x"] for r in rows}
     size = quality_rules.BUCKETS
-    grams = lambda t: [h[x][0] % size for x in split(t)] + [two[k, h[a][j], h[b][j]] % size for a, b in zip(split(t), split(t)[1:]) for k, j in ((2, 0), (3, 1))]
+    pairs = lambda t: list(zip(split(t), split(t)[1:]))
+    grams = lambda t: [at[g] % size for g in [*((1, x, "") for x in split(t)), *((2, a, b) for a, b in pairs(t)), *((3, a[-2:], b[-2:]) for a, b in pairs(t))]]
     good = {r["doc_id"] for r in labels.filter("quality = 1").collect()}
     raw, target = Counter(), Counter()
     for i, t in table:
