@@ -22,8 +22,7 @@ def _columns(docs: DataFrame) -> list:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    judged = quality_rules.judge(docs, table(spark, sf_dir, "labels"), carry=docs.columns)
-    return judged.filter("kept").select(_columns(docs))
+    return quality_rules.keep(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
