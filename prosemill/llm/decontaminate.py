@@ -10,9 +10,13 @@ fingerprint was hit is compared as text.
 
 Hashes are taken in place in an exploded index, so positions never leave the
 generated code of one stage; only hits are shuffled, by document. The benchmark's
-windows are counted: up to ``SENT`` are broadcast, more are joined by shuffles.
+windows and the item ids that they name are counted: up to ``SENT`` together are
+broadcast, more are joined by shuffles.
 
-Null text has no words. A repeated row gives its result again; rows that share a
+Null, empty and blank texts have no words. A very long text is one row, its hits
+rows of their own. Windows may overlap: each occurrence counts, so there are no
+ties. Extra columns are carried or left out, whatever their names. An empty
+benchmark marks nothing; an empty table gives an empty result. A repeated row gives its result again; rows that share a
 ``doc_id`` but not a text stay apart. Items without words occur nowhere; repeated
 items count once; a window of an item without an id marks words and names no item.
 """
@@ -24,10 +28,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prosemill.llm.shared import ascii_lower
+from prosemill.llm.shared import ascii_lower, cut
 
 WINDOW, GRAM = 10, 5
-#: Distinct benchmark windows that are broadcast at most.
+#: Distinct benchmark windows and item ids in them that are broadcast at most.
 SENT = 200_000
 SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same for texts whose A-Z are not lower-cased.
@@ -101,8 +105,8 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     One pass splits and hashes a document for all window lengths; at each word, the fingerprints of all
     lengths are looked up, each in the marks of its length.
     """
-    windows = item_windows(benchmark).persist()
-    counts = {r["length"]: r["count"] for r in windows.groupBy("length").count().collect()}  # 10 rows at most
+    windows = cut(item_windows(benchmark))
+    counts = {r["length"]: r["n"] for r in windows.groupBy("length").agg((F.count("*") + F.sum(F.size("items"))).alias("n")).collect()}  # 10 rows at most
     small, lengths = sum(counts.values()) <= SENT, sorted(counts) or [WINDOW]
     base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of("text").alias("words"))
     placed = _with_grams(base, lengths).withColumn("i", F.explode(F.sequence(F.lit(0), F.size("words") - min(lengths))))

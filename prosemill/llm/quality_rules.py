@@ -124,7 +124,10 @@ def judge(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None, th
     n = F.greatest(3 * F.col("n_words") - 2, F.lit(1)) * F.col("copies")
     out = summed.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).withColumn("llr", F.round(F.col("w") / n * UNIT, 9))
     out = out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold)).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
-    return out.select(*[F.col(x).alias(c) for c, x in zip(carry, inner)], *counts, "base_failed", "kept", "llr")
+    # a generator of one row: without it the optimizer would copy all base counts into a caller's filter on ``kept``
+    names = [*counts, "base_failed", "kept", "llr"]
+    verdict = out.select(*inner, F.explode(F.array(F.struct(*names))).alias("verdict"))
+    return verdict.select(*[F.col(x).alias(c) for c, x in zip(carry, inner)], *[F.col(f"verdict.{n}").alias(n) for n in names])
 
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

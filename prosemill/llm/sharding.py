@@ -14,10 +14,14 @@ A group larger than an even share of what is left has a shard of its own (fewer
 than ``shards`` groups can), since no cut can make its shard smaller and the
 others are then filled evenly.
 
-Null text has no bytes and stands with empty texts. Repeated rows are rows of
-one group. Fewer groups than shards leave shards empty. Slots number a shard's
-rows from 0 without gaps: rows are dealt to ``LANES`` lanes by a hash of their
-id, lanes are numbered inside, and the counts of the lanes before are added.
+Null text has no bytes and stands with empty texts. A very long text is a group
+as any other. Repeated rows are rows of one group. Groups whose 64-bit text hash
+is equal are one. Fewer groups than shards leave shards empty; an empty table
+gives an empty result. Slots number a shard's rows from 0 without gaps: rows are
+dealt to ``LANES`` lanes by a hash of their id, text and place in the table (a row
+repeated without end fills no lane), which is written down once; lanes are
+numbered inside, and the counts of the lanes before are added. Extra columns are
+carried or left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -109,7 +113,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, lanes: int = LANES, carry: lis
     carry = ["doc_id"] if carry is None else carry
     inner = [f"c{i}" for i in range(len(carry))]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = cut(docs.select(*[F.col(f"`{c}`").alias(x) for c, x in zip(carry, inner)], F.pmod(F.xxhash64("doc_id", text), F.lit(lanes)).alias("lane"), F.xxhash64(F.lit("order"), "doc_id").alias("turn"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("key")))
+    rows = cut(docs.select(*[F.col(f"`{c}`").alias(x) for c, x in zip(carry, inner)], F.pmod(F.xxhash64("doc_id", text, F.monotonically_increasing_id()), F.lit(lanes)).alias("lane"), F.xxhash64(F.lit("order"), "doc_id").alias("turn"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("key")))
     groups = cut(rows.groupBy("key").agg(F.sum("size").alias("bytes")))
     total = groups.agg(F.sum("bytes")).first()[0] or 0
     alone: list[int] = []

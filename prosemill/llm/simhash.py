@@ -12,8 +12,10 @@ Equal fingerprints collapse before anything is compared. A bucket of more than
 spanning tree of what it linked, not its pairs; in a tree no node has more than
 three edges, so no key grows hot in the component rounds.
 
-Null, empty and blank texts have fingerprint zero and link like any other.
-Repeated rows share a fingerprint. An empty table gives an empty result.
+Null, empty and blank texts have fingerprint zero and link like any other. A very
+long text is read in parts. Repeated rows share a fingerprint; ties for the least
+id go by the hash of the text. Extra columns are carried or left out, whatever
+their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,33 +38,108 @@ from prosemill.session import ship
 RADIUS, SHINGLE, SEED = 3, 3, 42
 #: Fingerprints of a tile, rows of a comparison task, and what a bucket should hold on average at most.
 TILE, TASK_ROWS, BUCKET = 4096, 60_000, 64
+#: Bytes of a slice that is hashed in numpy, shingles whose bits are counted at once.
+LONG, AT_ONCE = 256, 1 << 16
+#: The primes of XXH64.
+_PRIMES = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _ALL = np.uint64(2**64 - 1)
 _BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """The SimHash of one UTF-8 text."""
-    words = text.lower().split()  # of bytes: A-Z and the six separators only
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, SEED)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts, stops = np.concatenate([[0], ends[:-shingle]]), ends[shingle - 1 :] - 1
-    digest, n = xxhash.xxh64_intdigest, len(stops)
-    set_bits = np.zeros(64, np.int64)
-    for lo in range(0, n, 1 << 16):
-        part = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[lo : lo + (1 << 16)].tolist(), stops[lo : lo + (1 << 16)].tolist())], "<u8")
-        set_bits += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(_BITS[set_bits * 2 > n].sum(dtype=np.uint64))
+def xxh64(data: np.ndarray, begin: np.ndarray, end: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """XXH64 of many slices of ``data``, a step of all of them at a time; slices over ``LONG`` bytes one by one."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in _PRIMES)
+    turn = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+    at, size = B.lanes(data), end - begin
+    out = np.full(len(size), (seed + _PRIMES[4]) % 2**64, np.uint64)
+    wide = np.flatnonzero((size >= 32) & (size <= LONG))
+    if len(wide):
+        lanes = [np.full(len(wide), x % 2**64, np.uint64) for x in (seed + _PRIMES[0] + _PRIMES[1], seed + _PRIMES[1], seed, seed - _PRIMES[0])]
+        for stripe in range(int(size[wide].max()) // 32):
+            live = np.flatnonzero(size[wide] >= 32 * (stripe + 1))
+            for k in range(4):
+                lanes[k][live] = turn(lanes[k][live] + at[begin[wide[live]] + 32 * stripe + 8 * k] * p2, 31) * p1
+        h = sum((turn(v, n) for v, n in zip(lanes, (1, 7, 12, 18))), np.zeros(len(wide), np.uint64))
+        for v in lanes:
+            h = (h ^ (turn(v * p2, 31) * p1)) * p1 + p4
+        out[wide] = h
+    out += size.astype(np.uint64)
+    place, left = begin + (size & ~31), size & 31
+    for step in range(3):
+        live = np.flatnonzero(left >= 8 * (step + 1))
+        out[live] = turn(out[live] ^ (turn(at[place[live] + 8 * step] * p2, 31) * p1), 27) * p1 + p4
+    place, left = place + (left & ~7), left & 7
+    live = np.flatnonzero(left >= 4)
+    out[live] = turn(out[live] ^ ((at[place[live]] & np.uint64(0xFFFFFFFF)) * p1), 23) * p2 + p3
+    place, left = place + (left & ~3), left & 3
+    for step in range(3):
+        live = np.flatnonzero(left > step)
+        out[live] = turn(out[live] ^ (data[place[live] + step].astype(np.uint64) * p5), 11) * p1
+    out ^= out >> np.uint64(33)
+    out *= p2
+    out ^= out >> np.uint64(29)
+    out *= p3
+    out ^= out >> np.uint64(32)
+    if len(far := np.flatnonzero(size > LONG)):
+        raw = data.tobytes()
+        out[far] = np.fromiter((xxhash.xxh64_intdigest(raw[a:b], seed) for a, b in zip(begin[far].tolist(), end[far].tolist())), np.uint64, len(far))
+    return out
+
+
+def _set_bits(data: np.ndarray, at: np.ndarray, shingle: int, whole: bool = True) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """How many shingles of each text set each bit, how many it has, and the last words of the last text, joined.
+
+    A ``whole`` text of fewer words than a shingle is a shingle itself.
+    """
+    data = _LOWER[data]
+    begin, end, pointers = B.words(data, at)
+    # words with one space behind each: shingles are slices of that
+    inside = ~B.SPACE[data]
+    keep = inside.copy()
+    keep[1:] |= inside[:-1]
+    place = np.concatenate([[0], np.cumsum(keep)])
+    joined = np.where(inside, data, 0x20).astype(np.uint8)[keep]
+    begin, end = place[begin], place[end]
+    n = np.diff(pointers)
+    count = np.where(n >= shingle, n - shingle + 1, np.minimum(n, int(whole)))
+    edge = np.concatenate([[0], np.cumsum(count)])
+    first = np.repeat(pointers[:-1] - edge[:-1], count) + np.arange(edge[-1])
+    last = np.minimum(first + shingle - 1, np.repeat(pointers[1:], count) - 1)
+    out = np.zeros((len(n), 64), np.int64)
+    for lo in range(0, len(first), AT_ONCE):
+        hi = min(len(first), lo + AT_ONCE)
+        bits = np.unpackbits(xxh64(joined, begin[first[lo:hi]], end[last[lo:hi]]).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        docs = np.arange(np.searchsorted(edge, lo, "right") - 1, np.searchsorted(edge, hi, "left"))
+        docs = docs[count[docs] > 0]
+        out[docs] += np.add.reduceat(bits, np.maximum(edge[docs] - lo, 0), axis=0, dtype=np.int64)
+    tail = begin[max(pointers[-2], len(begin) - shingle + 1) :]
+    return out, count, joined[tail[0] : end[-1]].tobytes() if len(tail) else b""
+
+
+def simhashes(data: np.ndarray, at: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
+    """The SimHash of each text of a column. A text over ``B.SLICE`` bytes is read in parts that begin with the last words of the part before."""
+    out = np.zeros(len(at) - 1, np.uint64)
+    for lo, hi in B.slices(at, B.SLICE):
+        if at[hi] - at[lo] <= B.SLICE:
+            bits, count, _ = _set_bits(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], shingle)
+        else:
+            bits, count, tail = np.zeros((1, 64), np.int64), np.zeros(1, np.int64), b""
+            for _, _, a, b in B.pieces(data, at[lo : hi + 1]):
+                part = np.concatenate([np.frombuffer(tail + b" ", np.uint8), data[a:b]])
+                more, n, tail = _set_bits(part, np.array([0, len(part)]), shingle, whole=False)
+                bits, count = bits + more, count + n
+            if not count[0] and tail:  # fewer words than a shingle has
+                bits, count, _ = _set_bits(np.frombuffer(tail, np.uint8), np.array([0, len(tail)]), shingle)
+        out[lo:hi] = (_BITS * (bits * 2 > count[:, None])).sum(axis=1, dtype=np.uint64)
+    return out
 
 
 def _fingerprints(names: list[str]):
     def run(batches):
         for batch in batches:
-            data, at = B.column(batch, "text")
-            fp = np.array([fingerprint(data[a:b].tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist())], np.uint64).view(np.int64)
+            fp = simhashes(*B.column(batch, "text")).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(fp, pa.int64())], [*names, "fp"])
 
     return run

@@ -156,6 +156,15 @@ def test_decontamination(spark, docs, table):
     assert not decontaminate.contamination(docs, b.filter("false")).filter("contaminated").count()
 
 
+def test_one_window_named_by_very_many_items(spark, monkeypatch):
+    """Ids are counted with the windows that name them: this benchmark isn't sent."""
+    b = spark.createDataFrame([(f"i{k:04}", "one two three") for k in range(300)], "item_id string, text string")
+    d = spark.createDataFrame([(1, "zero One two, three"), (2, "one two")], "doc_id long, text string")
+    monkeypatch.setattr(decontaminate, "SENT", 100)
+    ids = ",".join(f"i{k:04}" for k in range(300))
+    same(decontaminate.contamination(d, b), [(1, 3, 300, hashlib.sha256(ids.encode()).hexdigest()), (2, 0, 0, hashlib.sha256(b"").hexdigest())], "doc_id", "n_hit", "n_items", "items_sha256")
+
+
 def test_bpe(docs, table):
     path = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
@@ -272,6 +281,22 @@ def _fingerprint(t):
     return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
 
 
+def test_simhashes_in_parts(monkeypatch):
+    raw = bytes(RNG.integers(0, 256, 3000).astype(np.uint8))
+    begin = RNG.integers(0, 2000, 1500)
+    end = begin + RNG.integers(0, 600, 1500)
+    data = np.frombuffer(raw, np.uint8)
+    assert (simhash.xxh64(data, begin, end) == np.array([xxhash.xxh64_intdigest(raw[a:b], 42) for a, b in zip(begin, end)], np.uint64)).all()
+    gaps = [" ", "\n", "  ", " \t"]
+    texts = ["", "a", " a b", "a  b\n\nc d ", " \t", "x" * 500, "y" * 90 + " z"] + ["".join(VOCABULARY[i] + gaps[RNG.integers(0, 4)] for i in RNG.integers(0, len(VOCABULARY), int(n))) for n in RNG.integers(0, 300, 80)]
+    column = np.frombuffer("".join(texts).encode(), np.uint8), np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    want = np.array([_fingerprint(t) for t in texts], np.uint64)
+    for size, at_once in ((1 << 18, 1 << 16), (64, 1 << 16), (1000, 7)):
+        monkeypatch.setattr(blocks, "SLICE", size)
+        monkeypatch.setattr(simhash, "AT_ONCE", at_once)
+        assert (simhash.simhashes(*column) == want).all()
+
+
 def _components(fps):
     parent = {f: f for f in fps}
 
