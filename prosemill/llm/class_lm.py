@@ -15,21 +15,23 @@ classes' own shares. A word without a training count has no class: only the base
 model gives it weight, and the word after it sees the shares of the classes. The
 end of a text is a class of its own.
 
-1. Each chunk of documents sends the hashes of its distinct words with their
-   training counts to hash buckets, which name the frequent ones.
-2. One narrow scan counts the bigrams of frequent words, of which the driver
-   gets at most (FREQUENT + 2) ** 2, clusters them.
-3. In each sweep chunks send, for each word, how often each class stands before
+1. Texts are read once, some megabytes at a time: such a chunk becomes the hashes
+   of its distinct words and the number of each token's word, and is written down
+   by chunk. Everything below reads that; texts are not shuffled.
+2. Each chunk sends its words with their training counts to hash buckets, which
+   name the frequent ones.
+3. The bigrams of frequent words are counted; the driver gets at most
+   (FREQUENT + 2) ** 2 sums and clusters them.
+4. In each sweep chunks send, for each word, how often each class stands before
    and behind it; buckets sum these, choose, and answer with the classes.
-4. Class bigrams are counted, and chunks score their documents.
+5. Class bigrams are counted, and chunks score their documents.
 
 A chunk names a word once, so a word that a third of the text consists of costs
 each chunk one entry. Words are told apart by 64 bits of their hash: with n
 distinct words two fall together with a chance of about n * n / 2 ** 65.
 
-Null, empty and blank texts are one token, the end. Repeated rows count each;
-where one id and text is repeated more than ``REPEATED`` times its rows are dealt
-to chunks by their place. A text longer than a chunk makes a chunk of its length.
+Null, empty and blank texts are one token, the end. Repeated rows count each. A
+text longer than a chunk makes a chunk of its length.
 Ties of frequency go to the lesser hash. Extra columns are carried or left out,
 whatever their names. An empty table gives an empty result; without training text
 all counts are 0 and the base model alone is left.
@@ -41,18 +43,21 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prosemill.llm import blocks as B
-from prosemill.llm.shared import chunks, crc_mod, cut, power_of_two
+from prosemill.llm.shared import crc_mod, cut, power_of_two, text_bytes
 from prosemill.session import ship
 
 FREQUENT, CLASSES, SWEEPS = 1000, 48, 2
 #: Added to counts, as in the base score; pseudo-counts of transitions; weight of the base model.
 ADD, TRANSITION, BASE = 0.1, 5.0, 0.2
 CHUNK, BUCKET, BLOCK = 4 << 20, 500_000, 20_000
+#: Chunks of a partition, about.
+TOGETHER = 8
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -68,6 +73,7 @@ def _schema(text: str) -> pa.Schema:
     return pa.schema([(c.split()[0], types[c.split()[1]]) for c in text.split(", ")])
 
 
+_ROW = "chunk long, words binary, tokens binary, sizes binary, learn binary, carried binary"
 _ASK = "chunk long, bucket int, words binary, counts binary"
 _TOLD = "top binary, n long, v long"
 _BESIDE = "chunk long, bucket int, words binary, kinds binary, ids binary, few binary, many binary"
@@ -80,14 +86,45 @@ def _table(schema: str, rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows), fields)] if rows else [pa.array([], f.type) for f in fields], schema=fields)
 
 
+def _fold(names: list[str]):
+    """Documents to chunks. The carried columns travel as a block of Arrow bytes."""
+
+    def folded(table: pa.Table, chunk: int) -> pa.RecordBatch:
+        h, pointers = _words(table)
+        distinct, of = np.unique(h, return_inverse=True)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.select(names).schema) as out:
+            out.write_table(table.select(names))
+        kind = "<u2" if len(distinct) <= 1 << 16 else "<u4"
+        learn = ~table["held"].combine_chunks().to_numpy(zero_copy_only=False)
+        row = (chunk, B.pack(distinct), of.astype(kind).tobytes(), np.diff(pointers).astype("<i8").tobytes(), learn.tobytes(), sink.getvalue().to_pybytes())
+        return _table(_ROW, [row]).to_batches()[0]
+
+    def run(batches):
+        first, held, size = TaskContext.get().partitionId() << 32, [], 0
+        for batch in batches:
+            _, at = B.column(batch, "text")
+            for lo, hi in B.slices(at, CHUNK):
+                held.append(batch.slice(lo, hi - lo))
+                size += int(at[hi] - at[lo])
+                if size >= CHUNK:
+                    yield folded(pa.Table.from_batches(held), first)
+                    first, held, size = first + 1, [], 0
+        if held:
+            yield folded(pa.Table.from_batches(held), first)
+
+    return run
+
+
 class _Chunk:
     """The distinct words of a chunk, which of them each token is, and which tokens are learned from."""
 
     def __init__(self, table: pa.Table, exponent: int):
-        h, self.pointers = _words(table)
-        self.distinct, self.of = np.unique(h, return_inverse=True)
-        self.size = np.diff(self.pointers)
-        self.learn = ~table["held"].combine_chunks().to_numpy(zero_copy_only=False)
+        row = {c: table[c][0].as_py() for c in ("words", "tokens", "sizes", "learn")}
+        self.distinct = B.unpack(row["words"]) if len(row["words"]) > 1 else np.zeros(0, np.uint64)
+        self.of = np.frombuffer(row["tokens"], "<u2" if len(self.distinct) <= 1 << 16 else "<u4").astype(np.int64)
+        self.size, self.learn = np.frombuffer(row["sizes"], "<i8"), np.frombuffer(row["learn"], bool)
+        self.pointers = np.concatenate([[0], np.cumsum(self.size)])
         self.buckets, self.edges = B.bucket_edges(self.distinct, 64, exponent)
         self.base = 64 - exponent
 
@@ -154,21 +191,18 @@ class Symbols:
         return out
 
 
-def _bigrams(symbols: Symbols):
-    size = symbols.end + 1
+def _pairs(s: np.ndarray, size: int) -> pa.Table:
+    pair, n = np.unique(s[:-1] * size + s[1:], return_counts=True)
+    return pa.table({"pair": pa.array(pair, pa.int64()), "n": pa.array(n, pa.int64())})
 
-    def run(batches):
-        for batch in batches:
-            data, at = B.column(batch, "text")
-            total = np.zeros(size * size, np.int64)
-            for lo, hi in B.slices(at, 4 << 20):
-                h, pointers = _words(pa.table({"text": batch.column("text").slice(lo, hi - lo)}))
-                s = np.insert(symbols.of(h), np.concatenate([pointers, pointers[-1:]])[:-1], symbols.end)
-                total += np.bincount(s[:-1] * size + s[1:], minlength=size * size)
-            pair = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int64()), pa.array(total[pair], pa.int64())], ["pair", "n"])
 
-    return run
+def _bigrams(symbols: Symbols):
+    def bigrams(key, table):
+        c = _Chunk(table, 0)
+        s, _, _ = c.sequence(symbols.of(c.distinct), symbols.end)
+        return _pairs(s, symbols.end + 1)
+
+    return bigrams
 
 
 def _entropy(x: np.ndarray) -> np.ndarray:
@@ -318,9 +352,7 @@ def _recount(exponent: int, classes: int):
     def recount(key, table, answers):
         c = _Chunk(table, exponent)
         s, _, _ = c.sequence(c.answered(answers, "labels", classes), classes + 1)
-        total = _matrix(s, classes + 2)
-        pair = np.flatnonzero(total)
-        return pa.table({"pair": pa.array(pair, pa.int64()), "n": pa.array(total[pair], pa.int64())})
+        return _pairs(s, classes + 2)
 
     return recount
 
@@ -337,8 +369,8 @@ def _score(model: Model, exponent: int):
         before = np.concatenate([[model.end], own[:-1]])  # an end stands before each text too
         step = model.step(before, own, count)
         total = [np.add.reduceat(x, at) if len(at) else x for x in ((count > 0).astype(np.int64), np.log10(count + ADD), step)]
-        carried = [table[x].combine_chunks() for x in table.column_names if x[0] == "c" and x[1:].isdigit()]
-        return pa.table([*carried, table["held"].combine_chunks(), pa.array(c.size + 1, pa.int64()), *map(pa.array, total)], names=[*(f"c{i}" for i in range(len(carried))), "held", *names])
+        carried = pa.ipc.open_stream(table["carried"][0].as_py()).read_all()
+        return pa.table([*carried.columns, pa.array(~c.learn), pa.array(c.size + 1, pa.int64()), *map(pa.array, total)], names=[*carried.column_names, "held", *names])
 
     return score
 
@@ -375,17 +407,20 @@ def score(docs: DataFrame, held_out: int = 10, carry: list[str] | None = None, f
     ship(docs.sparkSession)
     inner = [f"c{i}" for i in range(len(carry))]
     held = crc_mod("doc_id", held_out) == 0
-    own, size = chunks(docs, dict(zip(inner, carry)), CHUNK, held=held)
+    text, size = F.col("text").cast("string"), text_bytes(docs)
     exponent = max(3, power_of_two(size / 24 / BUCKET))
-    plain = own.select("held", "text", "chunk").groupBy("chunk")
+    own = docs.select(*[F.col(f"`{c}`").alias(x) for c, x in zip(carry, inner)], held.alias("held"), text.alias("text"))
+    # the order of chunks stays known, so no pass below shuffles them again
+    rows = own.mapInArrow(_fold(inner), _ROW).repartition(max(32, size // CHUNK // TOGETHER), "chunk").sortWithinPartitions("chunk")
+    rows = cut(rows)
+    plain = rows.drop("carried").groupBy("chunk")
     told = cut(plain.applyInArrow(_ask(exponent), _ASK).groupBy("bucket").applyInArrow(_count(exponent, frequent), _TOLD))
     n_words, kinds = told.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     ends = docs.filter(~held).count()
     tokens, vocabulary = n_words + ends, kinds + (ends > 0)
     best = told.select("top").mapInArrow(_unfold, "h long, n long").orderBy(F.desc("n"), "h").limit(frequent).collect()
     symbols = Symbols(np.array([r["h"] for r in best], np.int64).view(np.uint64))
-    pairs = docs.filter(~held).select(F.col("text").cast("string").alias("text")).mapInArrow(_bigrams(symbols), "pair long, n long")
-    between = _summed(pairs, symbols.end + 1)
+    between = _summed(plain.applyInArrow(_bigrams(symbols), "pair long, n long"), symbols.end + 1)
     core = exchange(between, classes + 2, alone=2)
     member = np.zeros((len(core), classes + 2))
     member[np.arange(len(core)), core] = 1.0
@@ -402,7 +437,7 @@ def score(docs: DataFrame, held_out: int = 10, carry: list[str] | None = None, f
     model = Model(_summed(final, classes + 2), tokens, vocabulary, ends)
     names = {f.name: f.dataType for f in own.schema}
     schema = T.StructType([*(T.StructField(x, names[x]) for x in inner), T.StructField("held", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("logs", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    done = own.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(model, exponent), schema)
+    done = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(model, exponent), schema)
     below = math.log10(model.below)
     return done.select(
         *[F.col(x).alias(c) for c, x in zip(carry, inner)],

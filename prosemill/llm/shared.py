@@ -30,6 +30,11 @@ def crc_mod(doc_id: Column | str, n: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def text_bytes(docs: DataFrame) -> int:
+    """UTF-8 bytes of the texts: one pass, one row back."""
+    return docs.agg(F.sum(F.octet_length(F.col("text").cast("string"))).alias("b")).first()["b"] or 0
+
+
 def chunks(docs: DataFrame, named: dict[str, str], chunk_bytes: int, **more: Column) -> tuple[DataFrame, int]:
     """(rows with ``text`` and ``chunk``, the texts' bytes). ``named``: new names of columns to take along.
 
