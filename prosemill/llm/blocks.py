@@ -188,6 +188,29 @@ def unpack(blob: bytes, base: int = 0) -> np.ndarray:
     return np.cumsum(wide.reshape(-1).view("<u8"), dtype=np.uint64) + np.uint64(base)
 
 
+def squeeze(values: np.ndarray) -> bytes:
+    """Numbers below 2**35 in one to five bytes each, seven bits a byte, the lowest first."""
+    x = values.astype(np.uint64)
+    size = 1 + (x >= 1 << 7) + (x >= 1 << 14).astype(np.int64) + (x >= 1 << 21) + (x >= 1 << 28)
+    end = np.cumsum(size)
+    out = np.zeros(int(end[-1]) if len(end) else 0, np.uint8)
+    for k in range(5):
+        own = np.flatnonzero(size > k)
+        out[end[own] - size[own] + k] = ((x[own] >> np.uint64(7 * k)) & np.uint64(127)).astype(np.uint8) | ((size[own] > k + 1).astype(np.uint8) << 7)
+    return out.tobytes()
+
+
+def expand(raw: bytes) -> np.ndarray:
+    x = np.frombuffer(raw, np.uint8)
+    last = np.flatnonzero(x < 128)
+    first = np.concatenate([[0], last[:-1] + 1])[: len(last)]
+    out = np.zeros(len(last), np.int64)
+    for k in range(5):
+        own = np.flatnonzero(last - first >= k)
+        out[own] |= (x[first[own] + k] & 127).astype(np.int64) << (7 * k)
+    return out
+
+
 def bucket_edges(values: np.ndarray, bits: int, exponent: int) -> tuple[np.ndarray, np.ndarray]:
     """The occupied of 2**exponent buckets of ascending ``bits``-bit values, and where each begins (and the last ends)."""
     own = values >> np.uint64(bits - exponent) if exponent else np.zeros(len(values), np.uint64)

@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prosemill.llm import blocks as B
-from prosemill.llm.shared import crc_mod, cut, power_of_two, text_bytes
+from prosemill.llm.shared import crc_mod, cut, cut_by, power_of_two, text_bytes
 from prosemill.session import ship
 
 FREQUENT, CLASSES, SWEEPS = 1000, 48, 2
@@ -76,7 +76,7 @@ def _schema(text: str) -> pa.Schema:
 _ROW = "chunk long, words binary, tokens binary, sizes binary, learn binary, carried binary"
 _ASK = "chunk long, bucket int, words binary, counts binary"
 _TOLD = "top binary, n long, v long"
-_BESIDE = "chunk long, bucket int, words binary, kinds binary, ids binary, few binary, many binary"
+_BESIDE = "chunk long, bucket int, words binary, kinds binary, ids binary, counts binary"
 _ANSWER = "chunk long, bucket int, labels binary, counts binary"
 
 
@@ -91,13 +91,15 @@ def _fold(names: list[str]):
 
     def folded(table: pa.Table, chunk: int) -> pa.RecordBatch:
         h, pointers = _words(table)
-        distinct, of = np.unique(h, return_inverse=True)
+        distinct, of, times = np.unique(h, return_inverse=True, return_counts=True)
+        order = np.argsort(-times, kind="stable")  # frequent words get short numbers
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(len(order))
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, table.select(names).schema) as out:
             out.write_table(table.select(names))
-        kind = "<u2" if len(distinct) <= 1 << 16 else "<u4"
         learn = ~table["held"].combine_chunks().to_numpy(zero_copy_only=False)
-        row = (chunk, B.pack(distinct), of.astype(kind).tobytes(), np.diff(pointers).astype("<i8").tobytes(), learn.tobytes(), sink.getvalue().to_pybytes())
+        row = (chunk, distinct[order].astype("<u8").tobytes(), B.squeeze(number[of]), np.diff(pointers).astype("<i8").tobytes(), learn.tobytes(), sink.getvalue().to_pybytes())
         return _table(_ROW, [row]).to_batches()[0]
 
     def run(batches):
@@ -121,8 +123,11 @@ class _Chunk:
 
     def __init__(self, table: pa.Table, exponent: int):
         row = {c: table[c][0].as_py() for c in ("words", "tokens", "sizes", "learn")}
-        self.distinct = B.unpack(row["words"]) if len(row["words"]) > 1 else np.zeros(0, np.uint64)
-        self.of = np.frombuffer(row["tokens"], "<u2" if len(self.distinct) <= 1 << 16 else "<u4").astype(np.int64)
+        words = np.frombuffer(row["words"], "<u8")
+        order = np.argsort(words)
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(len(order))
+        self.distinct, self.of = words[order], number[B.expand(row["tokens"])]
         self.size, self.learn = np.frombuffer(row["sizes"], "<i8"), np.frombuffer(row["learn"], bool)
         self.pointers = np.concatenate([[0], np.cumsum(self.size)])
         self.buckets, self.edges = B.bucket_edges(self.distinct, 64, exponent)
@@ -143,7 +148,7 @@ class _Chunk:
 
     def answered(self, answers: pa.Table, name: str, default: int) -> np.ndarray:
         out = np.full(len(self.distinct), default, np.int64)
-        found = {b: x for b, x in zip(answers["bucket"].to_pylist(), answers[name])}
+        found = dict(zip(answers["bucket"].to_pylist(), answers[name]))
         for b, lo, hi in self.slices():
             if b in found and (raw := found[b].as_py()) is not None:
                 out[lo:hi] = np.frombuffer(raw, f"<u{len(raw) // (hi - lo)}")
@@ -153,8 +158,8 @@ class _Chunk:
 def _ask(exponent: int):
     def ask(key, table):
         c = _Chunk(table, exponent)
-        counts = np.bincount(c.of[np.repeat(c.learn, c.size)], minlength=len(c.distinct)).astype("<u4")
-        return _table(_ASK, [(key[0].as_py(), b, c.packed(b, lo, hi), counts[lo:hi].tobytes()) for b, lo, hi in c.slices()])
+        counts = np.bincount(c.of[np.repeat(c.learn, c.size)], minlength=len(c.distinct))
+        return _table(_ASK, [(key[0].as_py(), b, c.packed(b, lo, hi), B.squeeze(counts[lo:hi])) for b, lo, hi in c.slices()])
 
     return ask
 
@@ -164,7 +169,7 @@ def _count(exponent: int, frequent: int):
         base = key[0].as_py() << (64 - exponent)
         distinct, of = np.unique(np.concatenate([B.unpack(x.as_py(), base) for x in table["words"]]), return_inverse=True)
         total = np.zeros(len(distinct), np.int64)
-        np.add.at(total, of, np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table["counts"]]))
+        np.add.at(total, of, np.concatenate([B.expand(x.as_py()) for x in table["counts"]]))
         best = np.lexsort((distinct, -total))[:frequent]
         best = best[total[best] > 0]
         top = np.stack([distinct[best].astype("<u8"), total[best].astype("<u8")]).tobytes()
@@ -289,24 +294,13 @@ def _beside(symbols: Symbols, core: np.ndarray, exponent: int, classes: int, fir
         s, of, place = c.sequence(label, end)
         pairs, n = np.unique(np.concatenate([of * (2 * size) + s[place - 1], of * (2 * size) + size + s[place + 1]]), return_counts=True)
         kinds = np.bincount(pairs // (2 * size), minlength=len(c.distinct))
-        ids, few, large = (pairs % (2 * size)).astype(np.uint8), np.minimum(n, 255).astype(np.uint8), n >= 255
-        at, over = np.concatenate([[0], np.cumsum(kinds)]), np.concatenate([[0], np.cumsum(large)])
-        many, kinds = n[large].astype("<u4"), kinds.astype(np.uint8)
-        out = []
-        for b, lo, hi in c.slices():
-            x, y = at[lo], at[hi]
-            out.append((key[0].as_py(), b, c.packed(b, lo, hi), kinds[lo:hi].tobytes(), ids[x:y].tobytes(), few[x:y].tobytes(), many[over[x] : over[y]].tobytes()))
-        if answers is not None:
-            out.append((key[0].as_py(), -1, _matrix(s, size).tobytes(), None, None, None, None))
-        return _table(_BESIDE, out)
+        ids, at = (pairs % (2 * size)).astype(np.uint8), np.concatenate([[0], np.cumsum(kinds)])
+        kinds = kinds.astype(np.uint8)
+        return _table(_BESIDE, [(key[0].as_py(), b, c.packed(b, lo, hi), kinds[lo:hi].tobytes(), ids[at[lo] : at[hi]].tobytes(), B.squeeze(n[at[lo] : at[hi]])) for b, lo, hi in c.slices()])
 
     return (lambda key, table: beside(key, table, None)) if first else beside
 
 
-def _matrix(s: np.ndarray, size: int) -> np.ndarray:
-    return np.bincount(s[:-1] * size + s[1:], minlength=size * size).astype("<i8")
-
-
 def _choose(model: Model, symbols: Symbols, core: np.ndarray | None, exponent: int, with_counts: bool):
     """Buckets choose classes: by the highest gain, but for frequent words in the first sweep, which have theirs."""
     gains, none = model.gains(), model.none
@@ -317,12 +311,10 @@ def _choose(model: Model, symbols: Symbols, core: np.ndarray | None, exponent: i
         asked = [B.unpack(x.as_py(), b << (64 - exponent)) for x in table["words"]]
         distinct, of = np.unique(np.concatenate(asked), return_inverse=True)
         entry, ids, counts, lo = [], [], [], 0
-        for x, kinds, own, few, many in zip(asked, table["kinds"], table["ids"], table["few"], table["many"]):
+        for x, kinds, own, n in zip(asked, table["kinds"], table["ids"], table["counts"]):
             entry.append(np.repeat(of[lo : lo + len(x)], np.frombuffer(kinds.as_py(), np.uint8)).astype(np.int32))
             ids.append(np.frombuffer(own.as_py(), np.uint8))
-            n = np.frombuffer(few.as_py(), np.uint8).astype(np.uint32)
-            n[n == 255] = np.frombuffer(many.as_py(), "<u4")
-            counts.append(n)
+            counts.append(B.expand(n.as_py()))
             lo += len(x)
         entry, ids, counts = (np.concatenate(x) for x in (entry, ids, counts))
         order = np.argsort(entry, kind="stable")
@@ -381,14 +373,6 @@ def _unfold(batches):
         yield pa.RecordBatch.from_arrays([pa.array(both[0].astype(np.uint64).view(np.int64)), pa.array(both[1].astype(np.int64))], ["h", "n"])
 
 
-def _unfold_matrix(batches):
-    for batch in batches:
-        if batch.num_rows:
-            total = sum(np.frombuffer(x.as_py(), "<i8") for x in batch.column("words"))
-            pair = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int64()), pa.array(total[pair], pa.int64())], ["pair", "n"])
-
-
 def _summed(pairs: DataFrame, size: int) -> np.ndarray:
     """A count matrix from rows (pair, n); its size is fixed."""
     out = np.zeros(size * size)
@@ -411,8 +395,7 @@ def score(docs: DataFrame, held_out: int = 10, carry: list[str] | None = None, f
     exponent = max(3, power_of_two(size / 24 / BUCKET))
     own = docs.select(*[F.col(f"`{c}`").alias(x) for c, x in zip(carry, inner)], held.alias("held"), text.alias("text"))
     # the order of chunks stays known, so no pass below shuffles them again
-    rows = own.mapInArrow(_fold(inner), _ROW).repartition(max(32, size // CHUNK // TOGETHER), "chunk").sortWithinPartitions("chunk")
-    rows = cut(rows)
+    rows = cut_by(own.mapInArrow(_fold(inner), _ROW), "chunk", size // CHUNK // TOGETHER)
     plain = rows.drop("carried").groupBy("chunk")
     told = cut(plain.applyInArrow(_ask(exponent), _ASK).groupBy("bucket").applyInArrow(_count(exponent, frequent), _TOLD))
     n_words, kinds = told.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
@@ -427,14 +410,10 @@ def score(docs: DataFrame, held_out: int = 10, carry: list[str] | None = None, f
     model = Model(member.T @ between @ member, tokens, vocabulary, ends)
     beside = plain.applyInArrow(_beside(symbols, core, exponent, classes, True), _BESIDE)
     for k in range(sweeps):
-        chosen = beside.groupBy("bucket").applyInArrow(_choose(model, symbols, None if k else core, exponent, k == sweeps - 1), _ANSWER)
-        answers = cut(chosen)
-        if k < sweeps - 1:
-            both = cut(plain.cogroup(answers.groupBy("chunk")).applyInArrow(_beside(symbols, core, exponent, classes, False), _BESIDE))
-            model = Model(_summed(both.filter("bucket = -1").select("words").mapInArrow(_unfold_matrix, "pair long, n long"), classes + 2), tokens, vocabulary, ends)
-            beside = both.filter("bucket >= 0")
-    final = plain.cogroup(answers.groupBy("chunk")).applyInArrow(_recount(exponent, classes), "pair long, n long")
-    model = Model(_summed(final, classes + 2), tokens, vocabulary, ends)
+        answers = cut(beside.groupBy("bucket").applyInArrow(_choose(model, symbols, None if k else core, exponent, k == sweeps - 1), _ANSWER))
+        told = answers.groupBy("chunk")
+        model = Model(_summed(plain.cogroup(told).applyInArrow(_recount(exponent, classes), "pair long, n long"), classes + 2), tokens, vocabulary, ends)
+        beside = plain.cogroup(told).applyInArrow(_beside(symbols, core, exponent, classes, False), _BESIDE)
     names = {f.name: f.dataType for f in own.schema}
     schema = T.StructType([*(T.StructField(x, names[x]) for x in inner), T.StructField("held", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("logs", T.DoubleType()), T.StructField("score", T.DoubleType())])
     done = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(model, exponent), schema)

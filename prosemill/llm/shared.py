@@ -52,6 +52,21 @@ def chunks(docs: DataFrame, named: dict[str, str], chunk_bytes: int, **more: Col
     return cut(own) if hot else own, size
 
 
+def cut_by(df: DataFrame, key: str, parts: int) -> DataFrame:
+    """``cut``, in partitions by a column and sorted by it, so that grouping by it later shuffles nothing.
+
+    Adaptive execution forgets the partitioning of what is written down, and a join takes a side as it lies only if
+    that has as many partitions as the session gives a shuffle.
+    """
+    conf = df.sparkSession.conf
+    was, least = conf.get("spark.sql.adaptive.enabled"), int(conf.get("spark.sql.shuffle.partitions"))
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(df.repartition(max(parts, least), key).sortWithinPartitions(key))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", was)
+
+
 def power_of_two(n: float) -> int:
     """The exponent of the least power of two that is n at least."""
     return max(0, int(-(-n // 1) - 1).bit_length())

@@ -603,6 +603,8 @@ def test_hashes_of_slices():
     assert r[0] == r[2] != r[1]
     values = np.sort(RNG.integers(0, 2**63, 1000).astype(np.uint64))
     assert (blocks.unpack(blocks.pack(values)) == values).all()
+    numbers = np.concatenate([[0, 1, 127, 128, 16383, 16384, 2**21 - 1, 2**21, 2**28 - 1, 2**28, 2**35 - 1], RNG.integers(0, 300, 500)])
+    assert (blocks.expand(blocks.squeeze(numbers)) == numbers).all() and not len(blocks.expand(blocks.squeeze(numbers[:0])))
 
 
 def test_long_texts_are_cut_between_words():
