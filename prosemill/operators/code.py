@@ -18,7 +18,14 @@ from prosemill.operators.repo import directory, extension, language
 from prosemill.session import ship
 
 # Keywords that keep their spelling, comment marks.
-KEYWORDS = "as async await break const continue crate dyn else enum extern false fn for if impl in let loop match mod move mut pub ref return self Self static struct super trait true type unsafe use where case catch class default export extends finally from function get import interface implements new null private protected public set switch this throw try undefined var and def elif except False is lambda None not or pass raise True with yield".split()
+KEYWORDS = [
+    "as", "async", "await", "break", "const", "continue", "crate", "dyn", "else", "enum", "extern", "false", "fn",
+    "for", "if", "impl", "in", "let", "loop", "match", "mod", "move", "mut", "pub", "ref", "return", "self", "Self",
+    "static", "struct", "super", "trait", "true", "type", "unsafe", "use", "where", "case", "catch", "class",
+    "default", "export", "extends", "finally", "from", "function", "get", "import", "interface", "implements", "new",
+    "null", "private", "protected", "public", "set", "switch", "this", "throw", "try", "undefined", "var", "and",
+    "def", "elif", "except", "False", "is", "lambda", "None", "not", "or", "pass", "raise", "True", "with", "yield",
+]
 SLASHED = ("rs", "ts", "tsx", "js", "jsx", "java", "go", "c", "h", "cpp", "hpp", "cs", "swift", "kt", "php")
 HASHED = ("py", "rb", "sh", "bash", "toml", "yaml", "yml")
 JS_EXTENSIONS = ("ts", "tsx", "js", "jsx", "mjs", "cjs")

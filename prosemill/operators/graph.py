@@ -8,10 +8,16 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prosemill.session import cut
+from prosemill.session import cut, ship
+
+#: Edges of a graph that is walked in one task with others, edges of such a task, edges that one task may join up.
+MANY, TOGETHER, LOCAL = 10_000, 200_000, 500_000
 
 
 def resolved(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -51,36 +57,118 @@ def orphans(nodes: DataFrame, edges: DataFrame, key: str = "path") -> DataFrame:
     return nodes.select(key).join(edges.select(F.col("to").alias(key)).distinct(), key, "left_anti")
 
 
-def reachable(edges: DataFrame, starts: DataFrame, by: list[str] = (), most: int = 10_000) -> DataFrame:
-    """(by, node) reached from (by, node) ``starts`` along (by, from, to): breadth first, new nodes only."""
-    by = list(by)
-    seen = cut(starts.select(*by, "node").distinct())
-    front = seen
-    for _ in range(most):
+def _reach(edges: DataFrame, starts: DataFrame, by: list[str]) -> DataFrame:
+    """``reachable`` by joins, a step of all graphs in each round. A round's rows are new, so it ends."""
+    seen = front = cut(starts.select(*by, "node").distinct())
+    while True:
         step = front.join(edges.select(*by, F.col("from").alias("node"), "to"), [*by, "node"]).select(*by, F.col("to").alias("node")).distinct()
         front = cut(step.join(seen, [*by, "node"], "left_anti"))
         if not front.limit(1).count():
-            break
+            return seen
         seen = cut(seen.union(front))
-    return seen
+
+
+def _codes(*columns: pa.Array) -> tuple[np.ndarray, int]:
+    """A number for each distinct tuple of values."""
+    code, n = np.zeros(len(columns[0]), np.int64), 1
+    for c in columns:
+        own = c.dictionary_encode(null_encoding="encode")
+        own = own.combine_chunks() if isinstance(own, pa.ChunkedArray) else own
+        values, code = np.unique(code * max(1, len(own.dictionary)) + own.indices.to_numpy(zero_copy_only=False), return_inverse=True)
+        n = len(values)
+    return code, n
+
+
+def _reach_together(by: list[str]):
+    """Many small graphs at once: what is seen grows along all edges until nothing is new."""
+
+    def reach(edges: pa.Table, starts: pa.Table) -> pa.Table:
+        every = pa.concat_tables([starts.select([*by, "node"]), *(edges.select([*by, c]).rename_columns([*by, "node"]) for c in ("from", "to"))])
+        code, n = _codes(*(every[c] for c in every.column_names))
+        k, m = starts.num_rows, edges.num_rows
+        a, b = code[k : k + m], code[k + m :]
+        seen = np.zeros(n, bool)
+        seen[code[:k]] = True
+        left = np.arange(m)
+        while len(left):
+            live = seen[a[left]]
+            new = b[left[live]]
+            left = left[~live]
+            if not len(new) or seen[new].all():
+                break
+            seen[new] = True
+        first = np.zeros(n, np.int64)
+        first[code[::-1]] = np.arange(len(code))[::-1]
+        return every.take(pa.array(first[seen]))
+
+    return reach
+
+
+def reachable(edges: DataFrame, starts: DataFrame, by: list[str] = ()) -> DataFrame:
+    """(by, node): what can be reached from the starts, these included, in each graph.
+
+    Graphs of up to ``MANY`` edges are walked together, some hundred thousand edges in a task; larger ones, and edges
+    without ``by``, by one join for each step.
+    """
+    by = list(by)
+    ship(edges.sparkSession)
+    if not by:
+        return _reach(edges, starts, by)
+    sizes = cut(edges.groupBy(*by).agg(F.count("*").alias("n")))
+    told = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.when(F.col("n") > MANY, 1)).alias("large")).first()
+    key = F.pmod(F.xxhash64(*by), F.lit(max(8, told["n"] // TOGETHER)))
+    e, s = edges.select(*by, "from", "to"), starts.select(*by, "node").distinct()
+    large = sizes.filter(F.col("n") > MANY).select(*by)
+    small_e, small_s = (x.join(large, by, "left_anti") if told["large"] else x for x in (e, s))
+    near = small_e.withColumn("_key", key).groupBy("_key").cogroup(small_s.withColumn("_key", key).groupBy("_key")).applyInArrow(_reach_together(by), s.schema)
+    return near.union(_reach(e.join(large, by, "left_semi"), s.join(large, by, "left_semi"), by)) if told["large"] else near
 
 
 def unreachable(nodes: DataFrame, edges: DataFrame, starts: DataFrame, by: list[str] = ()) -> DataFrame:
     return nodes.join(reachable(edges, starts, by), [*by, "node"], "left_anti")
 
 
-def components(nodes: DataFrame, edges: DataFrame, key: str = "path", most: int = 10_000) -> DataFrame:
-    """(key, component): the least key that each node reaches in either direction."""
-    both = cut(edges.select(F.col("from").alias("a"), F.col("to").alias("b")).union(edges.select("to", "from")).distinct())
-    labels = cut(nodes.select(F.col(key), F.col(key).alias("component")).distinct())
-    for _ in range(most):
-        near = both.join(labels, F.col("b") == F.col(key)).groupBy("a").agg(F.min("component").alias("least"))
-        step = labels.join(near, F.col(key) == F.col("a"), "left").select(key, F.col("component").alias("was"), F.least("component", "least").alias("component"))
-        jump = labels.select(F.col(key).alias("via"), F.col("component").alias("over"))
-        step = cut(step.join(jump, F.col("component") == F.col("via"), "left").select(key, "was", F.least("component", "over").alias("component")))
-        labels = step.select(key, "component")
-        if not step.filter("was <> component").limit(1).count():
+def _least_reached(edges: pa.Table) -> pa.Table:
+    """(a, p): the least key that each end reaches."""
+    both = pa.chunked_array([*edges["a"].chunks, *edges["b"].chunks], edges["a"].type)
+    names = both.unique().take(pc.sort_indices(both.unique()))
+    at = pc.index_in(both, names).to_numpy()
+    a, b = at[: edges.num_rows], at[edges.num_rows :]
+    label = np.arange(len(names))
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        for end in (label[a], label[b]):
+            np.minimum.at(label, end, low)
+        while (label[label] != label).any():
+            label = label[label]
+        left = label[a] != label[b]
+        a, b = a[left], b[left]
+    return pa.table({"a": names, "p": names.take(pa.array(label))})
+
+
+def components(nodes: DataFrame, edges: DataFrame, key: str = "path") -> DataFrame:
+    """(key, component): the least key that each node reaches in either direction.
+
+    Each round joins every node to its least neighbour, follows these steps twice, and draws the edges between what is
+    left, so the graph shrinks by more than half; up to ``LOCAL`` edges (they are counted) are finished in one task.
+    """
+    ship(edges.sparkSession)
+    plain = edges.select(F.col("from").alias("a"), F.col("to").alias("b")).filter("a <> b").distinct()
+    labels, left = nodes.select(F.col(key), F.col(key).alias("component")).distinct(), cut(plain)
+    while n := left.count():
+        if n <= LOCAL:
+            step = left.withColumn("_key", F.lit(0)).groupBy("_key").applyInArrow(lambda t: _least_reached(t), left.select("a", F.col("a").alias("p")).schema)
+        else:
+            near = left.union(left.select("b", "a")).groupBy("a").agg(F.min("b").alias("p")).select("a", F.least("a", "p").alias("p"))
+            step = cut(near)
+            for _ in range(2):
+                step = step.join(step.select(F.col("a").alias("p"), F.col("p").alias("q")), "p", "left").select("a", F.coalesce("q", "p").alias("p"))
+        step = cut(step)
+        labels = cut(labels.join(step, F.col("component") == F.col("a"), "left").select(key, F.coalesce("p", "component").alias("component")))
+        if n <= LOCAL:
             break
+        to = step.select(F.col("a").alias("b"), F.col("p").alias("q"))
+        left = cut(left.join(step, "a").join(to, "b").filter("p <> q").select(F.col("p").alias("a"), F.col("q").alias("b")).distinct())
     return labels
 
 
@@ -181,13 +269,14 @@ def resolve_callees(calls: DataFrame, functions: DataFrame) -> DataFrame:
     parts = F.filter(F.split("raw", "::"), lambda p: p != "")
     n = F.size(parts)
     tries = F.when(F.col("raw").contains("::"), F.array(F.col("raw"), F.when(n >= 2, F.concat(F.get(parts, n - 2), F.lit("::"), F.get(parts, n - 1))), F.get(parts, n - 1))).otherwise(F.array("raw"))
-    keyed = calls.withColumn("raw", F.trim("raw")).filter("raw <> ''").withColumn("call", F.xxhash64("file", "caller", "raw"))
-    wanted = keyed.select("call", "file", F.posexplode(tries).alias("k", "target")).filter("target IS NOT NULL").distinct()
+    call = ["file", "caller", "raw"]
+    keyed = calls.withColumn("raw", F.trim("raw")).filter("raw <> ''")
+    wanted = keyed.select(*call, F.posexplode(tries).alias("k", "target")).filter("target IS NOT NULL").distinct()
     local = functions.groupBy("file", "target").agg(F.min("id").alias("local"), F.count("*").alias("n")).filter("n = 1").drop("n")
     anywhere = functions.groupBy("target").agg(F.min("id").alias("anywhere"), F.count("*").alias("n")).filter("n = 1").drop("n")
     hit = wanted.join(local, ["file", "target"], "left").join(anywhere, "target", "left").withColumn("callee", F.coalesce("local", "anywhere")).filter("callee IS NOT NULL")
-    best = hit.groupBy("call").agg(F.min_by("callee", "k").alias("callee"))
-    return keyed.join(best, "call", "left").drop("call")
+    best = hit.groupBy(*call).agg(F.min_by("callee", "k").alias("callee"))
+    return keyed.join(best, call, "left")
 
 
 def pass_chains(links: DataFrame, most: int = 20) -> DataFrame:

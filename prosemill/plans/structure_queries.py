@@ -99,7 +99,7 @@ def path_functions(spark, sf_dir):
 
 
 # A graph of parts and their suppliers, with kinds by order flags.
-EDGES = "e AS (SELECT DISTINCT 'p' || l_partkey AS \"from\", 's' || l_suppkey AS \"to\", CASE WHEN l_returnflag = 'R' THEN 'use' ELSE 'import' END AS kind FROM lineitem WHERE l_partkey % 5 = 0), v AS (SELECT 'p' || p_partkey AS path FROM part UNION ALL SELECT 's' || s_suppkey FROM supplier WHERE s_suppkey % 4 <> 0)"
+EDGES = "e AS (SELECT DISTINCT 'p' || l_partkey AS \"from\", 's' || l_suppkey AS \"to\", CASE WHEN l_returnflag = 'R' THEN 'use' ELSE 'import' END AS kind FROM lineitem), v AS (SELECT 'p' || p_partkey AS path FROM part UNION ALL SELECT 's' || s_suppkey FROM supplier WHERE s_suppkey % 4 <> 0)"
 
 
 def edges(spark, sf_dir) -> DataFrame:
@@ -188,8 +188,10 @@ def mapping_issues(spark, sf_dir):
     return G.mapping_issues(p, m, p)
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 300 AS a, (o_orderkey // 4) % 300 AS b FROM orders WHERE o_orderkey % 41 = 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), v AS (SELECT range AS n FROM range(300)),
-c(n, m) AS (SELECT n, n FROM v UNION SELECT c.n, u.b FROM c JOIN u ON c.m = u.a) SELECT 'n' || n AS path, 'n' || arg_min(m, 'n' || m) AS component FROM c GROUP BY n""")
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT 'n' || o_custkey AS a, 'n' || o_orderkey AS b FROM orders), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+c(path, component) USING KEY (path) AS (SELECT a, min(least(a, b)) FROM u GROUP BY a UNION
+  SELECT u.a, min(c.component) FROM c JOIN u ON u.b = c.path JOIN recurring.c AS r ON r.path = u.a WHERE c.component < r.component GROUP BY u.a)
+SELECT path, component FROM c""")
 def graph_components(spark, sf_dir):
     """Customers and orders with equal keys are one node, so components chain through them."""
     name = lambda c: F.concat(F.lit("n"), F.col(c).cast("string"))
@@ -282,7 +284,7 @@ def callee_resolution(spark, sf_dir):
     return G.resolve_callees(calls, fs).select("file", "raw", "callee")
 
 
-@query("""WITH RECURSIVE l AS (SELECT 'f' || n_regionkey AS file, n_nationkey AS a, n_nationkey + 5 AS b FROM nation WHERE n_nationkey < 15), r AS (SELECT file, a FROM l WHERE NOT EXISTS (SELECT 1 FROM l m WHERE m.file = l.file AND m.b = l.a)),
+@query("""WITH RECURSIVE l AS (SELECT 'f' || n_regionkey AS file, n_nationkey AS a, n_nationkey + 5 AS b FROM nation), r AS (SELECT file, a FROM l WHERE NOT EXISTS (SELECT 1 FROM l m WHERE m.file = l.file AND m.b = l.a)),
 c(file, root, here, chain) AS (SELECT file, a, a, [a] FROM r UNION ALL SELECT c.file, root, l.b, list_append(chain, l.b) FROM c JOIN l ON l.file = c.file AND l.a = c.here)
 SELECT file, root, array_to_string(arg_max(chain, len(chain)), '>') AS chain FROM c GROUP BY file, root HAVING max(len(chain)) >= 3""")
 def pass_chains(spark, sf_dir):
@@ -353,7 +355,8 @@ def comment_ratio(spark, sf_dir):
     return K.comment_lines(code_files(spark, sf_dir)).select("path", "total", "comments")
 
 
-@query("""SELECT lang || '/m' || doc_id || '.sh' AS path, 'echo 1' || chr(10) AS text FROM documents WHERE doc_id % 4 = 3""")
+@query(r"""SELECT lang || '/m' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.py' ELSE '.sh' END AS path, CASE doc_id % 4 WHEN 3 THEN 'echo 1' || chr(10)
+  ELSE replace('from ..pkg import x~from .m' || (doc_id - 4) || ' import y~~class Base(ABC):~    def go(self, a, b):~        return inner(a, b)~~def f' || doc_id || '(a):~    pass~~def g(a):~    return f' || doc_id || '(a)~', '~', chr(10)) END AS text FROM documents WHERE doc_id % 4 IN (0, 3)""")
 def stripped_comments(spark, sf_dir):
     return K.stripped(code_files(spark, sf_dir))
 
