@@ -17,14 +17,34 @@ WORDY = r"\p{L}\p{N}_'\-"
 EMOJI = "[\U0001f300-\U0001faff☀-➿]"
 
 
-#: Sums up to each element of an array of lengths, itself included. The fold writes its sums into a string, which
-#: grows by plain copies of bytes; an array would be copied element by element.
-_RUNNING = "transform(filter(aggregate({0}, named_struct('t', 0L, 's', ''), (a, x) -> named_struct('t', a.t + x, 's', concat(a.s, cast(a.t + x AS string), ',')), a -> split(trim(TRAILING ',' FROM a.s), ',')), x -> x <> ''), x -> cast(x AS bigint))"
+#: The sum (or greatest) up to each element of a short array of longs, itself included. The fold writes into a string,
+#: which grows by plain copies of bytes; an array would be copied element by element.
+_RUN = "transform(filter(aggregate({0}, named_struct('t', 0L, 's', ''), (a, x) -> named_struct('t', {1}, 's', concat(a.s, cast({1} AS string), ',')), a -> split(trim(TRAILING ',' FROM a.s), ',')), x -> x <> ''), x -> cast(x AS bigint))"
+#: Elements of such a short array: longer ones are folded in blocks, so the work grows with their length alone.
+RUN_BLOCK = 512
+
+
+def add_running(df: DataFrame, arrays: dict[str, str], most: bool = False) -> DataFrame:
+    """For each name the sum (``most``: the greatest) up to each element of an array of longs, itself included."""
+    op = (lambda a, b: f"greatest({a}, {b})") if most else (lambda a, b: f"{a} + {b}")
+    run = lambda x: _RUN.format(x, op("a.t", "x"))
+    df = df.withColumns({f"_w_{n}": F.expr(x) for n, x in arrays.items()})
+    df = df.withColumns({f"_k_{n}": F.expr(f"transform(sequence(0, greatest(size(`_w_{n}`) - 1, 0), {RUN_BLOCK}), b -> " + run(f"slice(`_w_{n}`, b + 1, {RUN_BLOCK})") + ")") for n in arrays})
+    df = df.withColumns({f"_o_{n}": F.expr(run(f"transform(`_k_{n}`, b -> coalesce(get(b, size(b) - 1), 0L))")) for n in arrays})
+    # named a second time outside the lambda: a column used once would be inlined and computed for every element
+    df = df.withColumns({n: F.expr(f"if(size(`_o_{n}`) >= 0, flatten(transform(`_k_{n}`, (b, j) -> transform(b, x -> {op('x', f'coalesce(get(`_o_{n}`, j - 1), 0L)')}))), null)") for n in arrays})
+    return df.drop(*[f"_{x}_{n}" for n in arrays for x in "wko"])
+
 
+def add_hops(df: DataFrame, text: str = "text") -> DataFrame:
+    """Adds ``hops``, the strides by which ``last_before`` finds a place among the parts of a text: halves of its length."""
+    size = F.octet_length(F.coalesce(F.col(text), F.lit("")))
+    return pin(df.withColumn("hops", F.filter(F.array(*[F.lit(1 << k) for k in range(30, -1, -1)]), lambda p: p <= size + 1)), "hops")
 
-def running(lengths: str) -> Column:
-    """The sum up to each element of an array column of longs, itself included."""
-    return F.expr(_RUNNING.format(lengths))
+
+def last_before(starts: str, at: Column) -> Column:
+    """The index of the last of some ascending longs that is ``at`` at most, -1 without one: a binary search by ``hops``."""
+    return F.aggregate("hops", F.lit(-1), lambda i, p: F.when(F.get(starts, i + p) <= at, i + p).otherwise(i))
 
 
 def bytes_of(c: Column) -> Column:
@@ -33,9 +53,7 @@ def bytes_of(c: Column) -> Column:
 
 def add_parts(df: DataFrame, name: str, pieces: Column) -> DataFrame:
     """Adds ``name``, an array of (at, s): the pieces of a text in a row with the byte where each begins."""
-    df = df.withColumn("_pieces", pieces)
-    df = df.withColumn("_ends", running("transform(_pieces, s -> cast(octet_length(s) AS bigint))"))
-    # named a second time outside the lambda: a column used once would be inlined and computed for every element
+    df = add_running(df.withColumn("_pieces", pieces), {"_ends": "transform(_pieces, s -> cast(octet_length(s) AS bigint))"})
     parts = F.when(F.size("_ends") >= 0, F.transform("_pieces", lambda s, i: F.struct((F.get("_ends", i) - bytes_of(s)).alias("at"), s.alias("s"))))
     return df.withColumn(name, parts).drop("_pieces", "_ends")
 
@@ -162,7 +180,7 @@ def add_spans(df: DataFrame, patterns: dict[str, str], text: str = "text") -> Da
     c = F.coalesce(F.col(text), F.lit(""))
     hit = {n: c.rlike(p) for n, p in patterns.items()}
     df = df.withColumns({f"_b_{n}": F.when(hit[n], F.split(c, p, -1)).otherwise(F.array(F.lit(""))) for n, p in patterns.items()} | {f"_m_{n}": F.when(hit[n], F.regexp_extract_all(c, F.lit(p), 0)).otherwise(F.array().cast("array<string>")) for n, p in patterns.items()})
-    df = df.withColumns({f"_at_{n}": running(_STEPS.format(n)) for n in patterns})
+    df = add_running(df, {f"_at_{n}": _STEPS.format(n) for n in patterns})
     df = df.withColumns({n: F.expr(_SPANS.format(n)) for n in patterns})
     return df.drop(*[f"_{x}_{n}" for n in patterns for x in ("b", "m", "at")])
 
@@ -189,7 +207,7 @@ def snippet(text: Column, at: Column, to: Column) -> Column:
 
 
 def capitalized(c: Column) -> Column:
-    return F.concat(F.upper(F.left(c, F.lit(1))), F.substring(c, 2, 1_000_000_000))
+    return F.concat(F.upper(F.left(c, F.lit(1))), F.regexp_replace(c, r"(?s)^.", ""))
 
 
 def yaml_quoted(c: Column) -> Column:

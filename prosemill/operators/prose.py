@@ -34,7 +34,8 @@ def _none() -> Column:
 
 def _sentence_of(at: Column) -> Column:
     """The sentence that a byte stands in, or null."""
-    return F.get(F.filter("sents", lambda s: (s["at"] <= at) & (at < s["at"] + F.octet_length(s["s"]))), 0)
+    last = F.get("sents", X.last_before("sent_at", at))
+    return F.when(at < _whole(last), last)
 
 
 def _whole(s: Column) -> Column:
@@ -190,7 +191,7 @@ def _per_paragraph(detector, category, severity, count, limit, blank=False):
 
 
 def _rule_of_three(cfg: C.Config) -> Column:
-    over = F.transform("paras", lambda p: F.slice(F.regexp_extract_all(p["s"], F.lit(C.RULE_OF_THREE), 0), cfg.rule_of_three + 1, 1_000_000))
+    over = F.transform("paras", lambda p: F.slice(F.regexp_extract_all(p["s"], F.lit(C.RULE_OF_THREE), 0), cfg.rule_of_three + 1, (1 << 31) - 1))
     return F.flatten(F.transform("paras", lambda p, i: F.when(visible(p["at"], "rule-of-three"), F.transform(F.get(over, i), lambda m: _finding("D16", "rule-of-three", "warning", p["at"], p["at"] + F.octet_length(p["s"]), m, "three in a row"))).otherwise(_none())))
 
 
@@ -270,12 +271,13 @@ def _thin_sections(cfg: C.Config) -> Column:
     if not least:
         return _none()
     size = F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("bigint")
-    inside = lambda h, i: F.filter("sec_prose", lambda s: (s["at"] >= h["at"] + F.octet_length(h["s"]) - 1) & (s["at"] < F.coalesce(F.get("sec", i + 1)["at"], size)))
-    return F.transform(F.filter("sec", lambda h, i: F.size(inside(h, i)) < least), lambda h: _finding("D25", "structure", "hint", h["at"], h["at"] + F.octet_length(h["s"]), X.trim(h["s"]), "thin section"))
+    # sentences that begin behind the heading's text and before the next heading
+    inside = lambda h, i: X.last_before("sec_prose", F.coalesce(F.get("sec", i + 1)["at"], size) - 1) - X.last_before("sec_prose", h["at"] + F.octet_length(h["s"]) - 2)
+    return F.transform(F.filter("sec", lambda h, i: inside(h, i) < least), lambda h: _finding("D25", "structure", "hint", h["at"], h["at"] + F.octet_length(h["s"]), X.trim(h["s"]), "thin section"))
 
 
 def _section_stages():
-    return [lambda cfg: {"sec": F.filter("heads", lambda h: visible(h["at"], "structure")), "sec_prose": F.filter(_open_sentences("structure"), lambda s: ~s["s"].rlike(r"(?U)^(?:#|[-*+]\s|[0-9][0-9\s]*[.)]\s)"))}]
+    return [lambda cfg: {"sec": F.filter("heads", lambda h: visible(h["at"], "structure")), "sec_prose": F.transform(F.filter(_open_sentences("structure"), lambda s: ~s["s"].rlike(r"(?U)^(?:#|[-*+]\s|[0-9][0-9\s]*[.)]\s)")), lambda s: s["at"])}]
 
 
 def _triad(cfg: C.Config) -> Column:
@@ -396,16 +398,29 @@ DETECTORS: dict[str, tuple[Callable, Callable]] = {
 STAGES |= {"D6": [_template_stage], "D12": _cadence_stages(), "D14": _repetition_stages(), "D25": _section_stages(), "D33": _opening_stages()}
 
 
-def prepared(docs: DataFrame, patterns: dict[str, str]) -> DataFrame:
-    """Documents with sentences, masks, lines, paragraphs, headings and the matches asked for."""
-    df = X.pin(add_masks(X.add_sentences(docs)), "sents", "masks", "ignored")
+#: What detectors read besides their matches, lines and masks.
+SENTENCES = {"D2", "D3", "D4", "D8", "D9", "D10", "D12", "D13", "D14", "D24a", "D24b", "D25", "D31", "D32", "D33"}
+PARAGRAPHS, BLANK_PARAGRAPHS = {"D16", "D17", "D18"}, {"D15"}
+HEADINGS = {"D19a", "D19b", "D19c", "D19e", "D19f", "D19g", "D19h", "D25", "D26"}
+
+
+def prepared(docs: DataFrame, patterns: dict[str, str], detectors: set[str]) -> DataFrame:
+    """Documents with masks, lines and matches and, as far as detectors read them, sentences, paragraphs and headings."""
+    df = add_masks(X.add_sentences(docs) if detectors & SENTENCES else docs)
+    df = X.pin(df, *(["sents"] if detectors & SENTENCES else []), "masks", "ignored", "mask_at", "mask_to", "named_masks")
+    if detectors & SENTENCES:
+        df = df.withColumn("sent_at", F.transform("sents", lambda s: s["at"]))
     c = F.coalesce(F.col("text"), F.lit(""))
     df = X.add_parts(df, "rows", F.split(c, r"(?<=\n)"))
-    df = X.add_parts(df, "_cut", F.split(c, r"(?<=\n\n)(?!\z)|(?=\n\n)"))
-    df = df.withColumn("paras", F.filter("_cut", lambda p: p["s"] != "\n\n")).drop("_cut")
-    df = X.add_parts(df, "_cut", F.split(c, r"(?U)(?<=\n)(?=[^\S\n]*(?:\n|\z))|(?<=\n[^\S\n]{0,40}\n)(?=[^\n]*\S)"))
-    df = df.withColumn("blank_paras", F.filter("_cut", lambda p: p["s"].rlike(r"(?U)\S"))).drop("_cut")
-    df = df.withColumn("heads", F.filter("rows", lambda x: x["s"].rlike(r"(?U)^\s*#")))
+    df = df.withColumn("row_at", F.transform("rows", lambda r: r["at"]))
+    if detectors & PARAGRAPHS:
+        df = X.add_parts(df, "_cut", F.split(c, r"(?<=\n\n)(?!\z)|(?=\n\n)"))
+        df = df.withColumn("paras", F.filter("_cut", lambda p: p["s"] != "\n\n")).drop("_cut")
+    if detectors & BLANK_PARAGRAPHS:
+        df = X.add_parts(df, "_cut", F.split(c, r"(?U)(?<=\n)(?=[^\S\n]*(?:\n|\z))|(?<=\n[^\S\n]{0,40}\n)(?=[^\n]*\S)"))
+        df = df.withColumn("blank_paras", F.filter("_cut", lambda p: p["s"].rlike(r"(?U)\S"))).drop("_cut")
+    if detectors & HEADINGS:
+        df = df.withColumn("heads", F.filter("rows", lambda x: x["s"].rlike(r"(?U)^\s*#")))
     return X.add_spans(df, patterns) if patterns else df
 
 
@@ -414,15 +429,16 @@ def findings(docs: DataFrame, cfg: C.Config | None = None, detectors: list[str]
     cfg = cfg or C.Config()
     chosen = list(DETECTORS) if detectors is None else detectors
     patterns = {k: v for d in chosen for k, v in DETECTORS[d][1](cfg).items()}
-    df = prepared(docs.select(*keep, "text"), patterns)
+    df = prepared(docs.select(*keep, "text"), patterns, set(chosen))
     steps = [STAGES.get(d, []) for d in chosen if DETECTORS[d][1] is _PLAIN or DETECTORS[d][1](cfg)]
     for k in range(max(map(len, steps), default=0)):
         df = df.withColumns({n: c for own in steps if k < len(own) for n, c in own[k](cfg).items()})
     arrays = [DETECTORS[d][0](cfg).cast(_EMPTY) for d in chosen if DETECTORS[d][1] is _PLAIN or DETECTORS[d][1](cfg) or d in ("D15", "D16", "D17", "D18") or d.startswith("D19")]
-    # one array, one generator: the text stays in its row until locations are known
-    rows = df.select(*keep, "text", "ignored", F.explode(F.concat(*arrays) if len(arrays) > 1 else arrays[0]).alias("f"))
-    c = F.coalesce(F.col("text"), F.lit(""))
-    out = rows.select(*keep, "ignored", "f.*", X.line_of(c, F.col("f.at")).alias("line"), X.column_of(c, F.col("f.at")).alias("column"))
+    # one array, one generator; a finding's line is looked up among the lines' starts
+    rows = df.select(*keep, "rows", "row_at", "hops", "ignored", F.explode(F.concat(*arrays) if len(arrays) > 1 else arrays[0]).alias("f"))
+    rows = rows.withColumn("k", X.last_before("row_at", F.col("f.at")))
+    row = F.get("rows", F.col("k"))
+    out = rows.select(*keep, "ignored", "f.*", (F.col("k") + 1).alias("line"), (F.length(X.prefix(row["s"], F.col("f.at") - row["at"])) + 1).alias("column"))
     whole = F.col("snippet") == "Document-level analysis"
     return out.filter(whole | ~F.array_contains("ignored", F.col("line"))).drop("ignored")
 

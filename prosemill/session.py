@@ -7,6 +7,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 #: Rows of an Arrow batch where the session has Spark's default: texts are long, and a batch stands in several buffers at once.
@@ -29,6 +30,19 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table as it was read, dealt out anew if it lies in fewer parts than half the cores.
+
+    A small file can be one row group, which one task reads however many splits it has; work on texts is worth a
+    shuffle of it. Tables of more splits than twice the cores are left alone, so what is shuffled is bounded.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().toRdd().getNumPartitions() > 2 * cores:
+        return df
+    filled = df.select(F.spark_partition_id().alias("p")).agg(F.count_distinct("p")).first()[0]
+    return df.repartition(2 * cores) if 2 * filled < cores else df
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; a folder of our own only in local mode without that setting."""
     context = spark.sparkContext
