@@ -9,34 +9,39 @@ from pyspark.sql import DataFrame, SparkSession
 
 from prosemill.llm import bpe, chat, class_lm, decontaminate, quality_knn, quality_rules, sharding, simhash, substring_dedup, toxicity_fm
 from prosemill.llm.shared import UPPER, table
+from prosemill.session import spread
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def op1_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_knn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_knn.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
+    return substring_dedup.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"), with_text=False)
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assign(table(spark, sf_dir, "documents"))
+    return sharding.assign(documents(spark, sf_dir))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+    return decontaminate.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+    return bpe.encode(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
 def op6_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return class_lm.score(table(spark, sf_dir, "documents"))
+    return class_lm.score(documents(spark, sf_dir))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(documents(spark, sf_dir))
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,11 +49,11 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity_fm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity_fm.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_rules.judge(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 _ALL = (op1_quality_knn, op2_substring_dedup, op3_sharding, op4_decontamination, op5_bpe, op6_class_lm, op7_simhash, op8_chat_format, op9_toxicity_fm, op10_quality_rules)
