@@ -311,6 +311,12 @@ def unvalidated(params: DataFrame, uses: DataFrame, by: list[str]) -> DataFrame:
     return joined.filter((F.col("n") > 0) & (F.col("checked").isNull() | (F.col("checked") >= F.col("indexed")))).select(*params.columns)
 
 
+def unchecked_unwraps(defs: DataFrame, transformations: DataFrame, by: list[str]) -> DataFrame:
+    """(by, parameter, unwrap_line, param_line): what is unwrapped while its latest definition is a parameter."""
+    found = flows(defs, transformations.filter(F.col("kind").isin("unwrap", "expect")), by).filter("def_kind = 'param'")
+    return found.select(*by, F.col("variable").alias("parameter"), F.col("line").alias("unwrap_line"), F.col("def_line").alias("param_line"))
+
+
 def escalations(uses: DataFrame, by: list[str]) -> DataFrame:
     """(by, variable, warning_line, error_line): uses in a warning context before uses in an error context."""
     key = [*by, "variable"]

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prosemill.operators import braces as B
 from prosemill.operators import code as K
 from prosemill.operators import flowspec as S
 from prosemill.operators import graph as G
 from prosemill.operators import repo as R
+from prosemill.plans import audit as A
 from prosemill.plans.catalog import query, table
 from prosemill.sources import sinks
 from prosemill.streaming import live
@@ -505,3 +507,101 @@ def text_search(spark, sf_dir):
     from prosemill.functions.text import contains_text
 
     return contains_text(table(spark, sf_dir, "documents").select("doc_id", "source"), "C1", "source")
+
+
+# Sources whose shape follows the document: as many guards as its id leaves over 4, a parameter unwrapped for odd ids.
+GUARDS = 4
+
+
+def logic_files(spark, sf_dir) -> DataFrame:
+    """One Rust and one TypeScript file for each document."""
+    d = table(spark, sf_dir, "documents")
+    i, n = F.col("doc_id").cast("string"), (F.col("doc_id") % GUARDS).cast("int")
+    each = lambda text: F.array_join(F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda k: text(k.cast("string"))), "")
+    lit = F.lit
+    rust = F.concat(
+        lit("pub trait Step"), i, lit(" { fn step(&self) -> i32; }\nimpl Step"), i, lit(" for Walk { fn step(&self) -> i32 { 1 } }\n"),
+        lit("fn pass"), i, lit("(a: i32, b: &str) -> i32 {\n    inner(a.clone(), b)\n}\nfn work(x: Option<i32>, v: &[i32]) -> i32 {\n"),
+        F.when(F.col("doc_id") % 2 == 1, "    let y = x.unwrap();\n").otherwise("    let y = 7;\n"),
+        each(lambda k: F.concat(lit("    if y == "), k, lit(" { return "), k, lit("; }\n"))),
+        lit("    let total = v[y];\n    match total { 0 => panic!(\"todo\"), _ => {} }\n    total\n}\n"),
+    )
+    script = F.concat(
+        lit("import app from './app';\nexport interface Shape"), i, lit(" { area(): number }\nexport class Box implements Shape"), i, lit(" {\n  area(): number { return this.size(); }\n"),
+        lit("  send(q: Query) { return this.post(q); }\n}\nexport function main(a: Args): Result {\n"),
+        each(lambda k: F.concat(lit("  if (a.n === "), k, lit(") { throw new Error(a.name, "), k, lit("); }\n"))),
+        lit("  for (const z of a.items) { if (!z) continue; visit(z, a); }\n  return done(a);\n}\n"),
+    )
+    both = d.select("doc_id", F.explode(F.array(F.struct(lit("rs").alias("ext"), rust.alias("text")), F.struct(lit("ts").alias("ext"), script.alias("text")))).alias("f"))
+    return both.select(F.concat(lit("src/f"), i, lit("."), F.col("f.ext")).alias("path"), F.col("f.text").alias("text"), "doc_id")
+
+
+@query(f"""WITH k AS (SELECT doc_id, doc_id % {GUARDS} AS n FROM documents)
+SELECT 'src/f' || doc_id || '.rs' AS path, 'work' AS function, CAST(n + 2 AS BIGINT) AS n_exits, CAST(2 * n + 1 AS BIGINT) AS n_conditions, CAST(n + 2 AS BIGINT) AS n_paths FROM k
+UNION ALL SELECT 'src/f' || doc_id || '.ts', 'main', CAST(n + 1 AS BIGINT), CAST(2 * n + 4 AS BIGINT), CAST(n + 1 AS BIGINT) FROM k""")
+def source_control_flow(spark, sf_dir):
+    """Exits, conditional edges and paths of the branching functions: a guard adds an exit, a path and two edges."""
+    nodes, edges = B.source_cfg(logic_files(spark, sf_dir))
+    by = ["path", "function"]
+    found = G.simple_paths(edges, nodes.filter("kind = 'entry'").select(*by, "node"), G.exit_nodes(nodes), by).groupBy(*by).agg(F.count("*").alias("n_paths"))
+    exits = G.exit_nodes(nodes).groupBy(*by).agg(F.count("*").alias("n_exits"))
+    conditions = edges.groupBy(*by).agg(F.count("condition").alias("n_conditions"))
+    return found.join(exits, by).join(conditions, by).filter(F.col("function").isin("work", "main")).select(*by, "n_exits", F.when(F.col("function") == "work", F.col("n_conditions") - 1).otherwise(F.col("n_conditions")).alias("n_conditions"), "n_paths")
+
+
+@query(f"""WITH k AS (SELECT doc_id, doc_id % {GUARDS} AS n, doc_id % 2 = 1 AS odd FROM documents)
+SELECT 'src/f' || doc_id || '.rs' AS path, variable, kind, n FROM (
+  SELECT doc_id, unnest(['x', 'v', 'y', 'total']) AS variable, unnest(['param', 'param', 'let', 'let']) AS kind, CAST(1 AS BIGINT) AS n FROM k
+  UNION ALL SELECT doc_id, unnest(['x', 'x']), unnest(['read', 'unwrap']), 1 FROM k WHERE odd
+  UNION ALL SELECT doc_id, 'y', 'condition', n FROM k WHERE n > 0
+  UNION ALL SELECT doc_id, unnest(['v', 'y', 'total', 'total']), unnest(['read', 'index', 'condition', 'read']), 1 FROM k)""")
+def rust_dataflow(spark, sf_dir):
+    flow = B.rust_flow(logic_files(spark, sf_dir)).filter("function = 'work'")
+    return flow.groupBy("path", "variable", "kind").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'src/f' || doc_id || '.rs' AS path, 'x' AS parameter, 7 AS unwrap_line, 6 AS param_line FROM documents WHERE doc_id % 2 = 1")
+def unchecked_unwraps(spark, sf_dir):
+    flow = B.rust_flow(logic_files(spark, sf_dir))
+    _, _, changes = A.parts(flow)
+    defs = flow.filter(F.col("kind").isin("param", "let", "assign", "loop"))
+    return G.unchecked_unwraps(defs, changes, ["path", "function"]).drop("function")
+
+
+@query(f"""WITH k AS (SELECT doc_id, 'src/f' || doc_id || '.rs' AS path, doc_id % {GUARDS} AS n FROM documents), g AS (SELECT *, unnest(range(1, n + 1)) AS i FROM k)
+SELECT 'exit-path' AS category, path, 'work' AS function, 6 AS line, array_to_string(list_transform(range(1, i), lambda j: '!y == ' || j), ' && ') || CASE WHEN i > 1 THEN ' && ' ELSE '' END || 'y == ' || i AS detail FROM g
+UNION ALL SELECT 'exit-path', path, 'work', 6, array_to_string(list_concat(list_transform(range(1, n + 1), lambda j: '!y == ' || j), [m]), ' && ') FROM k, (SELECT unnest(['0', '_']) AS m)
+UNION ALL SELECT 'validation-gap', path, 'work', 6, 'v' FROM k UNION ALL SELECT 'validation-gap', path, 'work', 6, 'x' FROM k WHERE doc_id % 2 = 1
+UNION ALL SELECT 'validation-gap', path, 'pass' || doc_id, 3, unnest(['a', 'b']) FROM k""")
+def logic_findings(spark, sf_dir):
+    return A.logic_audit(logic_files(spark, sf_dir))
+
+
+@query(f"""WITH k AS (SELECT doc_id, doc_id % {GUARDS} AS n FROM documents), s AS (
+  SELECT doc_id, unnest(['Shape' || doc_id, 'Box', 'main', 'app', 'Query', 'Args', 'Result', 'Shape' || doc_id, 'area', 'this.size', 'this.post', 'visit', 'done']) AS symbol,
+    unnest(['export', 'export', 'export', 'import', 'type-annotation', 'type-annotation', 'type-annotation', 'implements', 'call', 'call', 'call', 'call', 'call']) AS usage_kind,
+    unnest([NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 0, 0, 0, 1, 0]) AS arg_count, 1 AS n FROM k
+  UNION ALL SELECT doc_id, 'Error', 'call', 1, n FROM k WHERE n > 0)
+SELECT 'src/f' || doc_id || '.ts' AS path, symbol, usage_kind, CAST(arg_count AS INTEGER) AS arg_count, CAST(n AS BIGINT) AS n FROM s""")
+def ts_symbols(spark, sf_dir):
+    return B.ts_symbols(logic_files(spark, sf_dir)).groupBy("path", "symbol", "usage_kind", "arg_count").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT 'src/f' || doc_id || '.rs' AS path, unnest(['Walk::step', 'pass' || doc_id, 'work', 'Step' || doc_id, 'Walk']) AS target, unnest(['method', 'function', 'function', 'trait', 'implements']) AS kind, unnest([NULL, 'inner', NULL, NULL, NULL]) AS forwards, unnest([FALSE, FALSE, TRUE, FALSE, FALSE]) AS placeholder FROM documents
+UNION ALL SELECT 'src/f' || doc_id || '.ts', unnest(['Box::area', 'Box::send', 'main', 'Shape' || doc_id, 'Box', 'Box']), unnest(['method', 'method', 'function', 'interface', 'class', 'implements']), unnest([NULL, 'Box::post', NULL, NULL, NULL, NULL]), FALSE FROM documents""")
+def source_functions(spark, sf_dir):
+    return B.source_index(logic_files(spark, sf_dir)).select("path", "target", "kind", "forwards", "placeholder")
+
+
+@query("""WITH d AS (SELECT count(*) AS n FROM documents)
+SELECT category, language, CAST(m * n AS BIGINT) AS n FROM d, (SELECT unnest(['pass-through', 'pass-through', 'placeholder', 'lonely-abstraction', 'lonely-abstraction']) AS category, unnest(['rust', 'typescript', 'rust', 'rust', 'typescript']) AS language, 1 AS m)""")
+def source_audit(spark, sf_dir):
+    """Findings by category and language; bodies are too short here to count as duplicated."""
+    return A.audit(logic_files(spark, sf_dir), min_tokens=1_000).groupBy("category", "language").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'walk' AS category, 'no-such-folder' AS name")
+def walk_issues(spark, sf_dir):
+    from prosemill.sources.files import walk_issues as issues
+
+    return issues(spark, [f"{sf_dir}/no-such-folder"]).select("category", F.substring_index("path", "/", -1).alias("name"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +25,22 @@ def tree(spark: SparkSession, root: str, glob: str = "*", ignore=(), max_kb: int
     return out.filter(~matches(F.col("path"), ignore)) if ignore else out
 
 
+def walk_issues(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """(category, path, message) of folders that cannot be listed; what can be listed gives nothing.
+
+    One listing for each folder, on the driver, as Spark's own file index does before a scan.
+    """
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    left, out = [jvm.org.apache.hadoop.fs.Path(r) for r in roots], []
+    while left:
+        folder = left.pop()
+        try:
+            left += [x.getPath() for x in folder.getFileSystem(conf).listStatus(folder) if x.isDirectory()]
+        except Py4JJavaError as error:
+            out.append(("walk", folder.toString(), str(error.java_exception.getMessage()).split("\n")[0]))
+    return spark.createDataFrame(out, "category string, path string, message string")
+
+
 def snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of a graph snapshot in JSON."""
     whole = spark.read.schema(f"nodes array<struct<path:string,language:string,size_bytes:bigint,lines:int>>, edges array<{EDGES}>").json(path, multiLine=True)

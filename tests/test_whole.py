@@ -1,5 +1,7 @@
 """Queries over small tables against brute force: every row takes part."""
 
+from pyspark.sql import functions as F
+
 from prosemill.operators import code as K
 from prosemill.operators import graph as G
 from prosemill.plans import prose_queries as P
@@ -83,3 +85,49 @@ def test_paths_of_many_guards(spark):
     found = G.simple_paths(e, n.filter("kind = 'entry'").select(*by, "node"), G.exit_nodes(n), by).collect()
     longest = [r for r in found if r["conditions"] == [f"!x == {i}" for i in range(guards)]]
     assert len(found) == guards + 1 and len(longest) == 1 and len(longest[0]["steps"]) > 64
+
+
+def test_components_and_reach_by_rounds(spark, monkeypatch):
+    """The ways beyond the bounds give what the ways within them give."""
+    import random
+
+    random.seed(4)
+    e = [(f"n{random.randrange(300)}", f"n{random.randrange(300)}") for _ in range(170)] + [(f"c{k}", f"c{k + 1}") for k in range(120)]
+    edges = spark.createDataFrame(e, "from string, to string")
+    nodes = edges.select(F.explode(F.array("from", "to")).alias("path")).distinct().union(spark.createDataFrame([("alone",)], "path string"))
+    within = {r["path"]: r["component"] for r in G.components(nodes, edges).collect()}
+    parent = {x: x for pair in e for x in pair}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in e:
+        parent[find(a)] = find(b)
+    least = {}
+    for x in parent:
+        least[find(x)] = min(x, least.get(find(x), x))
+    assert within == {x: least[find(x)] for x in parent} | {"alone": "alone"}
+    own = edges.withColumn("fn", F.when(F.col("from").startswith("c"), 1).otherwise(2))
+    starts = spark.createDataFrame([(1, "c5"), (2, e[0][0]), (3, "lost")], "fn int, node string")
+    near = {tuple(r) for r in G.reachable(own, starts, ["fn"]).collect()}
+    monkeypatch.setattr(G, "LOCAL", 20)
+    monkeypatch.setattr(G, "MANY", 130)
+    assert {r["path"]: r["component"] for r in G.components(nodes, edges).collect()} == within
+    far = {tuple(r) for r in G.reachable(own, starts, ["fn"]).collect()}
+    assert near == far and (1, "c120") in near and (3, "lost") in near and (1, "c4") not in near
+
+
+def test_running_and_places_in_blocks(spark, monkeypatch):
+    from prosemill.functions import text as X
+
+    monkeypatch.setattr(X, "RUN_BLOCK", 4)
+    xs = [3, 1, 4, 1, 5, 9, 2, 6, 5, 3, 5]
+    d = spark.createDataFrame([(xs, "x" * 40), ([], ""), ([7], "y" * 8)], "xs array<bigint>, text string")
+    d = X.add_running(X.add_running(d, {"total": "xs"}), {"most": "xs"}, most=True)
+    d = X.add_hops(d).withColumn("found", F.transform(F.sequence(F.lit(0), F.lit(50)), lambda at: X.last_before("total", at)))
+    for r in d.collect():
+        own = r["xs"]
+        assert r["total"] == [sum(own[: k + 1]) for k in range(len(own))] and r["most"] == [max(own[: k + 1]) for k in range(len(own))]
+        assert r["found"] == [sum(t <= at for t in r["total"]) - 1 for at in range(51)]
