@@ -149,8 +149,8 @@ def _least_reached(edges: pa.Table) -> pa.Table:
 def components(nodes: DataFrame, edges: DataFrame, key: str = "path") -> DataFrame:
     """(key, component): the least key that each node reaches in either direction.
 
-    Each round joins every node to its least neighbour, follows these steps twice, and draws the edges between what is
-    left, so the graph shrinks by more than half; up to ``LOCAL`` edges (they are counted) are finished in one task.
+    Each round joins every node to its least neighbour, follows these steps to their ends, and draws the edges between
+    the nodes that stay, at most half of all; up to ``LOCAL`` edges (they are counted) are finished in one task.
     """
     ship(edges.sparkSession)
     plain = edges.select(F.col("from").alias("a"), F.col("to").alias("b")).filter("a <> b").distinct()
@@ -160,10 +160,11 @@ def components(nodes: DataFrame, edges: DataFrame, key: str = "path") -> DataFra
             step = left.withColumn("_key", F.lit(0)).groupBy("_key").applyInArrow(lambda t: _least_reached(t), left.select("a", F.col("a").alias("p")).schema)
         else:
             near = left.union(left.select("b", "a")).groupBy("a").agg(F.min("b").alias("p")).select("a", F.least("a", "p").alias("p"))
-            step = cut(near)
-            for _ in range(2):
-                step = step.join(step.select(F.col("a").alias("p"), F.col("p").alias("q")), "p", "left").select("a", F.coalesce("q", "p").alias("p"))
-        step = cut(step)
+            step, moved = cut(near), True
+            while moved:  # steps double in length until all end at nodes that stay
+                further = cut(step.join(step.select(F.col("a").alias("p"), F.col("p").alias("q")), "p", "left").select("a", "p", F.coalesce("q", "p").alias("q")))
+                moved, step = further.filter("p <> q").limit(1).count(), further.select("a", F.col("q").alias("p"))
+        step = cut(step) if n <= LOCAL else step
         labels = cut(labels.join(step, F.col("component") == F.col("a"), "left").select(key, F.coalesce("p", "component").alias("component")))
         if n <= LOCAL:
             break

@@ -92,7 +92,7 @@ def test_components_and_reach_by_rounds(spark, monkeypatch):
     import random
 
     random.seed(4)
-    e = [(f"n{random.randrange(300)}", f"n{random.randrange(300)}") for _ in range(170)] + [(f"c{k}", f"c{k + 1}") for k in range(120)]
+    e = [(f"n{random.randrange(300)}", f"n{random.randrange(300)}") for _ in range(170)] + [(f"c{k}", f"c{k + 1}") for k in range(30)]
     edges = spark.createDataFrame(e, "from string, to string")
     nodes = edges.select(F.explode(F.array("from", "to")).alias("path")).distinct().union(spark.createDataFrame([("alone",)], "path string"))
     within = {r["path"]: r["component"] for r in G.components(nodes, edges).collect()}
@@ -110,13 +110,13 @@ def test_components_and_reach_by_rounds(spark, monkeypatch):
         least[find(x)] = min(x, least.get(find(x), x))
     assert within == {x: least[find(x)] for x in parent} | {"alone": "alone"}
     own = edges.withColumn("fn", F.when(F.col("from").startswith("c"), 1).otherwise(2))
-    starts = spark.createDataFrame([(1, "c5"), (2, e[0][0]), (3, "lost")], "fn int, node string")
+    starts = spark.createDataFrame([(1, "c25"), (2, e[0][0]), (3, "lost")], "fn int, node string")
     near = {tuple(r) for r in G.reachable(own, starts, ["fn"]).collect()}
     monkeypatch.setattr(G, "LOCAL", 20)
-    monkeypatch.setattr(G, "MANY", 130)
+    monkeypatch.setattr(G, "MANY", 10)
     assert {r["path"]: r["component"] for r in G.components(nodes, edges).collect()} == within
     far = {tuple(r) for r in G.reachable(own, starts, ["fn"]).collect()}
-    assert near == far and (1, "c120") in near and (3, "lost") in near and (1, "c4") not in near
+    assert near == far and (1, "c30") in near and (3, "lost") in near and (1, "c4") not in near
 
 
 def test_running_and_places_in_blocks(spark, monkeypatch):
