@@ -135,16 +135,24 @@ def pieces(data: np.ndarray, at: np.ndarray, separator: np.ndarray = SPACE, limi
         yield lo, hi, a, end
 
 
-def hashed(data: np.ndarray, at: np.ndarray, separator: np.ndarray = SPACE, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of every word of a column, and where each document's words begin."""
-    out, pointers, base = [np.zeros(0, np.uint64)], np.zeros(len(at), np.int64), 0
+def located(data: np.ndarray, at: np.ndarray, separator: np.ndarray = SPACE, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The hash, start and end of every word of a column, and where each document's words begin."""
+    out, begins, ends, pointers, base = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(len(at), np.int64), 0
     for lo, hi, a, b in pieces(data, at, separator):
         part, offsets = data[a:b], np.clip(at[lo : hi + 1] - a, 0, b - a)
         begin, end, p = words(part, offsets, separator)
         out.append(word_hashes(part, begin, end, seed))
+        begins.append(begin + a)
+        ends.append(end + a)
         pointers[lo + 1 : hi + 1] = p[1:] + base
         base += len(begin)
-    return np.concatenate(out), pointers
+    return np.concatenate(out), np.concatenate(begins), np.concatenate(ends), pointers
+
+
+def hashed(data: np.ndarray, at: np.ndarray, separator: np.ndarray = SPACE, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word of a column, and where each document's words begin."""
+    h, _, _, pointers = located(data, at, separator, seed)
+    return h, pointers
 
 
 def rolling(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:

@@ -37,7 +37,7 @@ from prosemill.llm import blocks as B
 from prosemill.session import ship
 
 #: Text bytes whose new words are merged together, and words remembered between such steps.
-STEP, REMEMBERED = 2 << 20, 120_000
+STEP, REMEMBERED = 2 << 20, 300_000
 #: White_Space of Unicode.
 _BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -244,8 +244,7 @@ def _run(spec, names: list[str], with_ids: bool):
             data, at = B.column(batch, "text")
             for lo, hi in B.slices(at, STEP):
                 part, offsets = data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
-                hashes, pointers = B.hashed(part, offsets)
-                begin, end = _bounds(part, offsets)
+                hashes, begin, end, pointers = B.located(part, offsets)
                 first, of = distinct_words(part, begin, end, hashes)
                 raw = part.tobytes()
                 keys = [raw[a:b] for a, b in zip(begin[first].tolist(), end[first].tolist())]
@@ -276,16 +275,6 @@ def _run(spec, names: list[str], with_ids: bool):
     return run
 
 
-def _bounds(part: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of all words."""
-    begins, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for lo, hi, a, b in B.pieces(part, offsets):
-        begin, end, _ = B.words(part[a:b], np.clip(offsets[lo : hi + 1] - a, 0, b - a))
-        begins.append(begin + a)
-        ends.append(end + a)
-    return np.concatenate(begins), np.concatenate(ends)
-
-
 def encode(docs: DataFrame, vocabulary: str, carry: list[str] | None = None, with_ids: bool = True) -> DataFrame:
     """The carried columns (``doc_id`` if None), ``n_tokens``, the digests of ids and of the decoded text, and ``ids``."""
     spark: SparkSession = docs.sparkSession
