@@ -1,6 +1,7 @@
 """BPE encoding and decoding by a pair occurrence index.
 
-The distinct words of a partition's texts are laid out as one array of symbols.
+The distinct words of a partition's texts that the process has not met yet are laid
+out, some megabytes of text at a time, as one array of symbols.
 An index maps each adjacent pair that has a merge rank to all its positions;
 ranks are applied in ascending order, each to all its positions at once, and
 the lists of the pairs that a merge creates are extended. Merges of a trained
@@ -226,20 +227,20 @@ class Encoder:
                 self.words[k] = (sum(x[0] for x in of), b" ".join([x[1] for x in of]), b" ".join([x[2] for x in of]))
 
 
-_vocabularies: dict[str, Vocabulary] = {}
+_encoders: dict[str, Encoder] = {}
 
 
-def vocabulary(text: str) -> Vocabulary:
-    """The vocabulary of a tokenizer file's text, built once in a process."""
-    if text not in _vocabularies:
-        _vocabularies.clear()
-        _vocabularies[text] = Vocabulary(text)
-    return _vocabularies[text]
+def encoder_of(text: str) -> Encoder:
+    """The encoder of a tokenizer file's text: one in a process, so that a worker's next partition finds the words that it has met."""
+    if text not in _encoders:
+        _encoders.clear()
+        _encoders[text] = Encoder(Vocabulary(text))
+    return _encoders[text]
 
 
 def _run(spec, names: list[str], with_ids: bool):
     def run(batches):
-        encoder = Encoder(vocabulary(spec.value))
+        encoder = encoder_of(spec.value)
         for batch in batches:
             data, at = B.column(batch, "text")
             for lo, hi in B.slices(at, STEP):
