@@ -98,17 +98,21 @@ def crate_uses(edges: DataFrame, files: DataFrame, crates: DataFrame) -> DataFra
 
     ``crates`` (name, root, src): a crate's name, root file and source folder, also as ``crate`` for files below it.
     """
-    uses = edges.filter("kind = 'use'").withColumn("edge", F.xxhash64("from", "line", "to_raw"))
+    edge = ["from", "line", "to_raw"]
+    uses = edges.filter("kind = 'use'")
     parts = F.split("to_raw", "::")
-    own = uses.withColumn("head", F.get(parts, 0)).withColumn("rest", F.slice(parts, F.lit(2), F.size(parts)))
-    named = own.filter(~F.col("head").isin("crate", "self", "super")).join(F.broadcast(crates), F.col("head") == F.col("name"))
-    inner = own.filter("head = 'crate'").join(F.broadcast(crates), F.expr("startswith(`from`, concat(src, '/'))"))
+    own = uses.select(*edge).distinct().withColumn("head", F.get(parts, 0)).withColumn("rest", F.slice(parts, F.lit(2), F.size(parts)))
+    named = own.filter(~F.col("head").isin("crate", "self", "super")).join(crates, F.col("head") == F.col("name"))
+    # the folders above a file are the source folders that it can stand in
+    folders = F.split("from", "/")
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(folders) - 1, F.lit(1))), lambda k: F.array_join(F.slice(folders, F.lit(1), k), "/"))
+    inner = own.filter("head = 'crate'").withColumn("folder", F.explode(above)).join(crates, F.col("folder") == F.col("src")).drop("folder")
     both = named.unionByName(inner)
-    options = both.select("edge", "src", "root", "rest", F.explode(F.sequence(F.lit(0), F.size("rest"))).alias("n"))
+    options = both.select(*edge, "src", "root", "rest", F.explode(F.sequence(F.lit(0), F.size("rest"))).alias("n"))
     module = F.array_join(F.slice("rest", F.lit(1), F.col("n")), "/")
-    options = options.select("edge", "n", F.explode(F.when(F.col("n") == 0, F.array("root")).otherwise(F.array(F.concat_ws("/", "src", F.concat(module, F.lit(".rs"))), F.concat_ws("/", "src", module, F.lit("mod.rs"))))).alias("path"))
-    best = options.join(files.select("path").distinct(), "path").groupBy("edge").agg(F.max_by("path", "n").alias("to"))
-    return uses.drop("to", "resolved").join(best, "edge", "left").drop("edge").withColumn("resolved", F.col("to").isNotNull())
+    options = options.select(*edge, "n", F.explode(F.when(F.col("n") == 0, F.array("root")).otherwise(F.array(F.concat_ws("/", "src", F.concat(module, F.lit(".rs"))), F.concat_ws("/", "src", module, F.lit("mod.rs"))))).alias("path"))
+    best = options.join(files.select("path").distinct(), "path").groupBy(*edge).agg(F.max_by("path", "n").alias("to"))
+    return uses.drop("to", "resolved").join(best, edge, "left").withColumn("resolved", F.col("to").isNotNull())
 
 
 def nodes(files: DataFrame) -> DataFrame:
@@ -204,7 +208,7 @@ def lcov(rows: DataFrame) -> DataFrame:
     return (
         own.groupBy("report", "record")
         .agg(
-            F.max(F.when(F.col("t").startswith("SF:"), F.substring("t", 4, 10_000))).alias("file"),
+            F.max(F.when(F.col("t").startswith("SF:"), F.regexp_replace("t", "(?s)^SF:", ""))).alias("file"),
             F.countDistinct(F.when(field(da) != "", field(da))).alias("lines_found"),
             F.countDistinct(F.when(field(da, 2).try_cast("long") > 0, field(da))).alias("lines_hit"),
             F.countDistinct(F.when(F.col("t").startswith("FN:"), field(r"^FN:[^,]*,(.*)$"))).alias("functions_found"),

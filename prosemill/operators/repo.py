@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prosemill.config import glob_regex
@@ -164,8 +164,10 @@ def organize_summary(found: DataFrame) -> DataFrame:
 
 
 def organize_prompt(found: DataFrame, limit: int = 10) -> DataFrame:
-    """One text for each issue: up to ``limit`` files in order of path."""
-    top = found.groupBy("issue").agg(F.slice(F.sort_array(F.collect_list(F.struct("path", "action", "target"))), 1, limit).alias("xs"), F.count("*").alias("n"))
+    """One text for each issue: up to ``limit`` files in order of path. Only those are gathered."""
+    first = Window.partitionBy("issue").orderBy("path", "action", "target")
+    shown = found.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= limit)
+    top = shown.groupBy("issue").agg(F.sort_array(F.collect_list(F.struct("path", "action", "target"))).alias("xs"))
     line = F.array_join(F.transform("xs", lambda x: F.concat(F.lit("- "), x["path"], F.lit(": "), x["action"], F.lit(" -> "), F.coalesce(x["target"], F.lit("")))), "\n")
     return top.select("issue", F.concat(F.lit("## "), "issue", F.lit("\n"), line).alias("prompt"))
 
