@@ -1,6 +1,7 @@
 """Queries over small tables against brute force: every row takes part."""
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from prosemill.operators import code as K
@@ -89,6 +90,25 @@ def test_paths_of_many_guards(spark):
     assert len(found) == guards + 1 and len(longest) == 1 and len(longest[0]["steps"]) > 64
 
 
+@pytest.mark.parametrize("query", ["cfg_dead_branches"])
+def test_repeated_lines_take_the_first_row(spark, tmp_path, query):
+    """Rows of one order and line stand in files and splits that Spark reads in another order than the table's."""
+    import random
+
+    random.seed(7)
+    rows = [(random.randrange(120), random.randrange(1, 8), float(random.randrange(1, 51)), random.choice("FO")) for _ in range(3000)]
+    for k, (a, b) in enumerate([(0, 200), (200, 1100), (1100, 3000)]):  # Spark takes the largest file first
+        stored(spark, tmp_path / "x", **{f"part-{k}": (rows[a:b], "l_orderkey long, l_linenumber int, l_quantity double, l_linestatus string")})
+    (tmp_path / "lineitem.parquet").mkdir()
+    for k in range(3):
+        next((tmp_path / f"x/part-{k}.parquet").glob("part-*.parquet")).rename(tmp_path / f"lineitem.parquet/part-{k}.parquet")
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute(f"CREATE VIEW lineitem AS FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    want = sorted(con.execute(ORACLES[query]).fetchall())
+    assert want and sorted(tuple(r) for r in QUERIES[query](spark, str(tmp_path)).collect()) == want
+
+
 def test_components_and_reach_by_rounds(spark, monkeypatch):
     """The ways beyond the bounds give what the ways within them give."""
     import random
