@@ -90,7 +90,7 @@ def test_paths_of_many_guards(spark):
     assert len(found) == guards + 1 and len(longest) == 1 and len(longest[0]["steps"]) > 64
 
 
-@pytest.mark.parametrize("query", ["cfg_dead_branches", "cfg_paths", "cfg_reachable"])
+@pytest.mark.parametrize("query", ["cfg_dead_branches", "cfg_paths", "cfg_reachable", "cfg_stats"])
 def test_repeated_lines_take_the_first_row(spark, tmp_path, query):
     """Rows of one order and line stand in files and splits that Spark reads in another order than the table's."""
     import random
