@@ -174,6 +174,10 @@ def test_calls_to_action_with_upper_case_suffixes(spark, tmp_path):
     agrees(spark, tmp_path, "call_to_action", SHOUTED)
 
 
+def test_weasels_with_upper_case_suffixes(spark, tmp_path):
+    agrees(spark, tmp_path, "weasel", SHOUTED)
+
+
 def test_ranges_in_any_case_are_found_and_disarmed(spark, tmp_path):
     texts = ["From here to there to nowhere.", "FROM a to b to c, from d to e to f", "frfrom x to y to z", "frfromom x to y to z", None, ""]
     agrees(spark, tmp_path, "exaggerated_ranges", texts)
