@@ -110,6 +110,20 @@ def test_repeated_lines_take_the_first_row(spark, tmp_path, query):
     assert want and sorted(tuple(r) for r in QUERIES[query](spark, str(tmp_path)).collect()) == want
 
 
+def agrees_on_lines(spark, path, query, rows):
+    """A query over some lines, and its SQL; of an order and line there is one row at most."""
+    d = stored(spark, path, lineitem=(rows, "l_orderkey long, l_linenumber int, l_quantity double, l_linestatus string"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS FROM read_parquet('{d}/lineitem.parquet/*.parquet')")
+    want = con.execute(ORACLES[query]).fetchall()
+    assert want and set(map(tuple, (got := QUERIES[query](spark, d).collect()))) == set(want) and len(got) == len(want)
+
+
+def test_paths_end_at_lines_without_a_status(spark, tmp_path):
+    rows = [(1, 1, 5.0, None), (1, 2, 5.0, "F"), (2, 1, 5.0, "O"), (2, 2, 5.0, None), (2, 3, 5.0, "F"), (3, 1, 30.0, "F"), (3, 2, 5.0, None), (3, 3, None, "O"), (3, 4, 5.0, "F"), (None, 1, 5.0, "O"), (None, 2, 5.0, "F")]
+    agrees_on_lines(spark, tmp_path, "cfg_paths", rows)
+
+
 def test_components_and_reach_by_rounds(spark, monkeypatch):
     """The ways beyond the bounds give what the ways within them give."""
     import random
