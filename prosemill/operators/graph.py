@@ -198,8 +198,11 @@ def exit_nodes(nodes: DataFrame) -> DataFrame:
 
 
 def cfg_stats(nodes: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
-    n = nodes.groupBy(*by).agg(F.count("*").alias("n_nodes"), F.count(F.when(F.col("kind").isin("return", "exit", "panic", "diverge"), 1)).alias("n_exits"))
-    return n.join(edges.groupBy(*by).agg(F.count("*").alias("n_edges")), by, "left").na.fill(0, ["n_edges"])
+    """(by, n_nodes, n_exits, n_edges) of each graph with nodes; null keys are a graph, too."""
+    kind = F.when(F.col("kind").isin("return", "exit", "panic", "diverge"), "exit").otherwise("node")
+    parts = nodes.select(*by, kind.alias("_part")).union(edges.select(*by, F.lit("edge")))
+    count = lambda *kinds: F.count(F.when(F.col("_part").isin(*kinds), 1))
+    return parts.groupBy(*by).agg(count("node", "exit").alias("n_nodes"), count("exit").alias("n_exits"), count("edge").alias("n_edges")).filter("n_nodes > 0")
 
 
 def dead_branches(nodes: DataFrame, edges: DataFrame, entries: DataFrame, by: list[str]) -> DataFrame:

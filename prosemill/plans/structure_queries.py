@@ -207,7 +207,7 @@ def _cfg(spark, sf_dir):
     place = (F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     first = F.min(F.struct(*place, (F.col("l_quantity") > 25).alias("big"), F.col("l_linestatus").alias("s")))
     li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("fn"), F.col("l_linenumber").alias("node")).agg(first.alias("first")).select("fn", "node", "first.big", "first.s")
-    nodes = li.select("fn", "node", F.when(F.col("node") == 1, "entry").when(F.col("s") == "F", "return").otherwise("block").alias("kind"), F.col("node").alias("line"), F.col("big").cast("int").alias("n_statements"), "s")
+    nodes = li.select("fn", "node", F.when(F.col("node") == 1, "entry").when((F.col("s") == "F") & F.col("node").isNotNull(), "return").otherwise("block").alias("kind"), F.col("node").alias("line"), F.col("big").cast("int").alias("n_statements"), "s")
     to = F.when(F.col("big"), F.col("node") + 2).otherwise(F.col("node") + 1)
     e = li.select("fn", F.col("node").alias("from"), to.alias("to"), F.when(F.col("big"), "true-branch").otherwise("next").alias("kind"), F.when(F.col("big"), F.lit("q > 25")).alias("condition"))
     return nodes, e

@@ -124,6 +124,11 @@ def test_paths_end_at_lines_without_a_status(spark, tmp_path):
     agrees_on_lines(spark, tmp_path, "cfg_paths", rows)
 
 
+def test_stats_of_lines_without_order_or_number(spark, tmp_path):
+    rows = [(None, 1, 5.0, "O"), (None, 2, 5.0, "F"), (1, None, 5.0, "F"), (1, 2, 30.0, "F"), (2, 1, None, "F"), (3, 4, 5.0, None)]
+    agrees_on_lines(spark, tmp_path, "cfg_stats", rows)
+
+
 def test_components_and_reach_by_rounds(spark, monkeypatch):
     """The ways beyond the bounds give what the ways within them give."""
     import random
